@@ -101,3 +101,217 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") * 2 + F.col("copy")).alias("offset"),
         F.col("arrived").alias("timestamp"),
     )
+
+
+# ------------------------------------------------------------------ metadata
+
+
+def _text(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenant per customer; some have blank names or share a slug."""
+    key = F.col("c_custkey")
+    created = F.timestamp_add("MINUTE", (key * 37 % 100000).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return table(spark, sf_dir, "customer").select(
+        _text("t-", key).alias("id"),
+        F.when(key % 211 == 0, " ").otherwise(F.col("c_name")).alias("name"),
+        F.when(key % 97 == 0, "shared").otherwise(F.lower(F.replace("c_name", F.lit("#"), F.lit("-")))).alias("slug"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "suspended")
+        .when(F.col("c_mktsegment") == "HOUSEHOLD", "disabled").otherwise("active").alias("status"),
+        created.alias("created_at"),
+        created.alias("updated_at"),
+    )
+
+
+def services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A service per part; some have no tenant or one that does not exist."""
+    key = F.col("p_partkey")
+    created = F.timestamp_add("MINUTE", (key % 100000).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return table(spark, sf_dir, "part").select(
+        _text("s-", key).alias("id"),
+        F.when(F.col("p_size") == 1, "").otherwise(_text("t-", key * 7 % 1600)).alias("tenant_id"),
+        F.col("p_name").alias("name"),
+        created.alias("created_at"),
+        created.alias("updated_at"),
+    )
+
+
+def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key per order: pending ones are revoked, urgent ones expire after a year."""
+    created = F.col("o_orderdate").cast("timestamp")
+    return table(spark, sf_dir, "orders").select(
+        _text("k-", F.col("o_orderkey")).alias("id"),
+        _text("t-", F.col("o_custkey")).alias("tenant_id"),
+        F.sha2(_text("key-", F.col("o_orderkey")), 256).alias("key_hash"),
+        F.col("o_orderpriority").alias("name"),
+        F.when(F.col("o_orderstatus") == "P", "revoked").otherwise("active").alias("status"),
+        created.alias("created_at"),
+        F.lit(None).cast("timestamp").alias("last_used_at"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.timestamp_add("DAY", F.lit(365), created)).alias("expires_at"),
+    )
+
+
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A retention policy per customer; some tenants have a second one."""
+    key = F.col("c_custkey")
+    created = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return table(spark, sf_dir, "customer").select(
+        _text("p-", key).alias("id"),
+        F.when(key % 53 == 0, "t-1").otherwise(_text("t-", key)).alias("tenant_id"),
+        F.col("c_nationkey").alias("retention_days"),
+        (F.col("c_acctbal") > 0).alias("enabled"),
+        created.alias("created_at"),
+        created.alias("updated_at"),
+    )
+
+
+def key_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per line item, carrying the key of its order; line 7 carries an unknown one."""
+    number = F.col("l_orderkey") + F.when(F.col("l_linenumber") == 7, 100000000).otherwise(0)
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", _text(" key-", number, "\t").alias("api_key")
+    )
+
+
+def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
+    return brands.select(_text("app-", F.col("p_brand")).alias("id"), F.col("p_brand").alias("name"))
+
+
+def environments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "part").select("p_type").distinct()
+    return kinds.select(_text("env-", F.col("p_type")).alias("id"), F.lower("p_type").alias("name"))
+
+
+def app_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        _text("s-", F.col("p_partkey")).alias("id"),
+        _text("app-", F.col("p_brand")).alias("application_id"),
+        _text("env-", F.col("p_type")).alias("environment_id"),
+        F.col("p_name").alias("name"),
+        F.timestamp_add("MINUTE", (F.col("p_partkey") % 100000).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("created_at"),
+    )
+
+
+def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule per part over one of nine services, two of which never log."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        _text("r-", key).alias("id"),
+        F.col("p_name").alias("name"),
+        _text("svc-", key % 9).alias("service"),
+        F.when(key % 2 == 0, "gt").otherwise("gte").alias("condition"),
+        (F.col("p_size") % 5).cast("int").alias("threshold"),
+        (F.col("p_size") * 30).cast("int").alias("window_minutes"),
+        (key % 5 != 0).alias("enabled"),
+    )
+
+
+def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(
+        _text("q-", F.col("s_suppkey")).alias("id"),
+        F.col("s_name").alias("name"),
+        _text('{"service":"svc-', F.col("s_suppkey") % 7, '","level":"error","q":"timeout","size":50}').alias("query"),
+    )
+
+
+def tenant_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change per order: create, update or delete of a tenant."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("seq"),
+        F.when(F.col("o_orderstatus") == "O", "create").when(F.col("o_orderstatus") == "F", "update").otherwise("delete").alias("op"),
+        _text("t-", F.col("o_custkey") + key % 3 * 1000).alias("id"),
+        F.when(key % 41 == 0, "").otherwise(_text("Tenant ", key)).alias("name"),
+        _text("slug-", key % 2000).alias("slug"),
+        F.when(key % 4 == 0, "suspended").otherwise("").alias("status"),
+        F.lit(None).cast("timestamp").alias("created_at"),
+        F.lit(None).cast("timestamp").alias("updated_at"),
+    )
+
+
+# ----------------------------------------------------------------- telemetry
+
+
+def request_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per line item; ``run`` is the line number."""
+    flag, state = F.col("l_returnflag"), F.col("l_linestatus")
+    code = F.when(flag == "A", 202).when(flag == "R", F.when(state == "F", 400).otherwise(503)).otherwise(F.when(state == "F", 202).otherwise(0))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_linenumber").alias("run"),
+        F.col("l_shipdate").cast("timestamp").alias("ts"),
+        (F.round(F.col("l_extendedprice") * 100).cast("long") * 100).alias("latency_ns"),
+        code.alias("status_code"),
+        ((flag == "N") & (state == "O")).alias("failed"),
+    )
+
+
+def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scrape per event.  Counters rise with the event number and restart every 5000."""
+    odd = F.col("user_id") % 2 == 1
+    kind = F.col("event_type")
+    status = F.when(F.col("user_id") % 5 == 0, "failure").otherwise("success")
+
+    def labels(**pairs):
+        return F.create_map(*[c for k, v in pairs.items() for c in (F.lit(k), F.lit(v) if isinstance(v, str) else v)])
+
+    series = [
+        ("click", False, "http_requests_total", labels(service="ingestor", code="202")),
+        ("click", True, "http_requests_total", labels(service="analytics", code="200")),
+        ("error", False, "http_errors_total", labels(service="ingestor", error_code="VALIDATION_ERROR")),
+        ("error", True, "kafka_dlq_messages_total", labels(topic="app-logs-dlq")),
+        ("view", False, "kafka_messages_consumed_total", labels(topic="app-logs", consumer_group="log-processors")),
+        ("view", True, "kafka_consumer_lag", labels(topic="app-logs", partition=(F.col("user_id") % 3).cast("string"))),
+        ("purchase", False, "bulk_documents_total", labels(status=status)),
+        ("purchase", True, "bulk_batches_total", labels(status=status)),
+        ("signup", False, "elasticsearch_indexing_total", labels(mode="bulk", status=status)),
+        ("signup", True, "redis_operations_total", labels(operation="record_batch", status=status)),
+    ]
+    metric, tags = F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
+    for event_type, is_odd, name, value in series:
+        here = (kind == event_type) & (odd if is_odd else ~odd)
+        metric, tags = F.when(here, name).otherwise(metric), F.when(here, value).otherwise(tags)
+    return table(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        metric.alias("metric"),
+        tags.alias("labels"),
+        (F.col("event_id") % 5000).cast("double").alias("value"),
+    )
+
+
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations in seconds by metric, with the hour they fall into."""
+    return table(spark, sf_dir, "events").select(
+        F.when(F.col("event_type") == "click", "http_request_duration_seconds").otherwise("bulk_batch_duration_seconds").alias("metric"),
+        F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"),
+        (F.col("value") / 100).alias("seconds"),
+    )
+
+
+def bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly scrapes of cumulative duration buckets, with the bounds of the HTTP histogram."""
+    from pyspark.sql import Window
+
+    from tidelog.operators import telemetry
+
+    hourly = telemetry.histogram_buckets(durations(spark, sf_dir), ["metric", "hour"], "seconds", telemetry.HTTP_SECONDS)
+    # One row per metric, bound and hour, so the running sum is small.
+    so_far = Window.partitionBy("metric", "le").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
+    return hourly.select(
+        F.col("hour").alias("ts"),
+        "metric",
+        F.create_map(F.lit("service"), F.lit("ingestor")).alias("labels"),
+        "le",
+        F.sum("bucket_count").over(so_far).cast("double").alias("value"),
+    )
+
+
+def offset_observations(raw: DataFrame, as_of) -> DataFrame:
+    """Latest and committed offset as seen at each record; the last day is not committed yet."""
+    done = F.col("timestamp") < as_of - F.expr("INTERVAL 1 DAY")
+    return raw.select(
+        "topic", "partition", (F.col("offset") + 1).alias("latest"),
+        F.when(done, F.col("offset") + 1).otherwise(F.lit(0)).alias("committed"),
+    )

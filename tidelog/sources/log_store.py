@@ -55,7 +55,7 @@ def write_documents(accepted: DataFrame, root: str, batch_id: int) -> None:
     (
         accepted.select(*columns)
         .withColumn("batch_id", F.lit(batch_id).cast("long"))
-        .hint("rebalance", "event_date")
+        .hint("rebalance", F.col("event_date"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date", "batch_id")
