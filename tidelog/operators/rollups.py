@@ -137,7 +137,8 @@ def wanted_services(services: str | list[str] | None) -> list[str] | None:
 def requested_services_zero_fill(totals: DataFrame, services: list[str]) -> DataFrame:
     """One row per requested service; an unknown one has zeros."""
     measures = [c for c in totals.columns if c not in ("tenant_id", "service")]
-    wanted = totals.sparkSession.createDataFrame([(s,) for s in services], "service string")
+    names = F.array(*[F.lit(s) for s in services])
+    wanted = totals.sparkSession.range(1).select(F.explode(names).alias("service"))
     return wanted.join(totals.drop("tenant_id"), "service", "left").fillna(0, measures)
 
 

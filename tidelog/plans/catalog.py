@@ -1,6 +1,6 @@
 """All registered queries; importing a family registers it."""
 
-from tidelog.plans import ingest_queries  # noqa: F401
+from tidelog.plans import ingest_queries, metric_queries, search_queries  # noqa: F401
 from tidelog.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
