@@ -1,6 +1,12 @@
 """All registered queries; importing a family registers it."""
 
-from tidelog.plans import ingest_queries, metric_queries, search_queries  # noqa: F401
+from tidelog.plans import (  # noqa: F401
+    ingest_queries,
+    metadata_queries,
+    metric_queries,
+    search_queries,
+    telemetry_queries,
+)
 from tidelog.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -16,6 +16,9 @@ level, so dropping a day is dropping one folder; metric tables are not touched.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,11 +72,18 @@ def _write_part(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
 
 def write_metrics(accepted: DataFrame, root: str, batch_id: int) -> None:
     """Partial aggregates of one batch; all are combined on the map side."""
-    _write_part(rollups.counters(accepted), root, COUNTERS, batch_id)
-    _write_part(rollups.unique_ips(accepted), root, IPS, batch_id)
-    _write_part(windows.error_ticks(accepted), root, TICKS, batch_id)
+    for table, rows in _metric_parts(accepted).items():
+        _write_part(rows, root, table, batch_id)
+
+
+def _metric_parts(accepted: DataFrame) -> dict[str, DataFrame]:
     newest = windows.recent_errors(accepted, payload="value").drop("position")
-    _write_part(newest.withColumnRenamed("value", "payload"), root, RECENT, batch_id)
+    return {
+        COUNTERS: rollups.counters(accepted),
+        IPS: rollups.unique_ips(accepted),
+        TICKS: windows.error_ticks(accepted),
+        RECENT: newest.withColumnRenamed("value", "payload"),
+    }
 
 
 def write_dlq(rejects: DataFrame, root: str, batch_id: int, processor_id: str | None = None) -> None:
@@ -81,7 +91,7 @@ def write_dlq(rejects: DataFrame, root: str, batch_id: int, processor_id: str |
 
 
 def process_batch(raw: DataFrame, root: str, batch_id: int, processor_id: str | None = None) -> None:
-    """One micro-batch: documents, then metrics, then dead letters.
+    """One micro-batch: documents first, then metrics and dead letters side by side.
 
     Records are parsed once; an exception leaves the batch to be run again as a
     whole, which replaces whatever it had written.
@@ -89,9 +99,18 @@ def process_batch(raw: DataFrame, root: str, batch_id: int, processor_id: str |
     rows = ingest.classify(raw).persist()
     try:
         accepted = rows.where(F.col("reject_reason").isNull())
+        rejects = ingest.dlq_envelope(rows.where(F.col("reject_reason").isNotNull()), processor_id=processor_id)
         write_documents(accepted, root, batch_id)
-        write_metrics(accepted, root, batch_id)
-        write_dlq(rows.where(F.col("reject_reason").isNotNull()), root, batch_id, processor_id)
+        parts = {**_metric_parts(accepted), DEAD: rejects}
+        # The parts are small, independent jobs; run one after another they
+        # would leave most of the cluster idle.
+        with ThreadPoolExecutor(max_workers=len(parts)) as pool:
+            writes = [
+                pool.submit(inheritable_thread_target(raw.sparkSession)(_write_part), rows_, root, table, batch_id)
+                for table, rows_ in parts.items()
+            ]
+            for write in writes:
+                write.result()
     finally:
         rows.unpersist()
 
