@@ -5,6 +5,7 @@ from tidelog.plans import (  # noqa: F401
     metadata_queries,
     metric_queries,
     search_queries,
+    stream_queries,
     telemetry_queries,
 )
 from tidelog.plans.registry import ORACLES, QUERIES

@@ -78,7 +78,7 @@ def sink_dlq(spark, sf):
     return log_store.read_dlq(spark, zones.store_root(spark, sf))
 
 
-_COUNTERS_BODY = """
+COUNTERS_SQL = """
 SELECT tenant_id, 'logs_total' AS metric, '' AS dim, count(*) AS value FROM accepted GROUP BY ALL
 UNION ALL SELECT tenant_id, 'logs_service', service, count(*) FROM accepted GROUP BY ALL
 UNION ALL SELECT tenant_id, 'logs_level', lower(level), count(*) FROM accepted GROUP BY ALL
@@ -86,12 +86,12 @@ UNION ALL SELECT tenant_id, 'errors_service', service, count(*) FROM accepted WH
 UNION ALL SELECT tenant_id, 'leaderboard_errors', message, count(*) FROM accepted WHERE level IN ('ERROR', 'FATAL') GROUP BY ALL"""
 
 
-@query("sink_metrics", with_tables(CLASSIFIED, _COUNTERS_BODY))
+@query("sink_metrics", with_tables(CLASSIFIED, COUNTERS_SQL))
 def sink_metrics(spark, sf):
     return log_store.read_counters(spark, zones.store_root(spark, sf))
 
 
-@query("metric_key", with_tables(CLASSIFIED + f", counters AS ({_COUNTERS_BODY})", """
+@query("metric_key", with_tables(CLASSIFIED + f", counters AS ({COUNTERS_SQL})", """
 SELECT CASE WHEN tenant_id = 'default' THEN '' ELSE 'tenant:' || tenant_id || ':' END
   || CASE metric WHEN 'logs_total' THEN 'stats:logs:total' WHEN 'logs_service' THEN 'stats:logs:' || dim
        WHEN 'logs_level' THEN 'stats:logs:level:' || lower(dim) WHEN 'errors_service' THEN 'stats:errors:' || dim

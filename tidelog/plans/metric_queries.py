@@ -56,7 +56,7 @@ def unique_ips_live(spark, sf):
 
 # ----------------------------------------------------- five-minute counters
 
-_ISLANDS = f""",
+ISLANDS = f""",
 marked AS (
   SELECT tenant_id, service, ingested_at,
     CASE WHEN ingested_at - lag(ingested_at) OVER w <= INTERVAL 5 MINUTES THEN 0 ELSE 1 END AS fresh
@@ -75,12 +75,12 @@ idle AS (
 )"""
 
 
-@query("errors_idle_5m", with_tables(DOCUMENTS + _ISLANDS, "SELECT tenant_id, service, errors FROM idle"))
+@query("errors_idle_5m", with_tables(DOCUMENTS + ISLANDS, "SELECT tenant_id, service, errors FROM idle"))
 def errors_idle_5m(spark, sf):
     return WI.errors_idle_5m(WI.error_ticks(zones.messages(spark, sf)), zones.clock(spark, sf))
 
 
-@query("error_islands", with_tables(DOCUMENTS + _ISLANDS, f"""
+@query("error_islands", with_tables(DOCUMENTS + ISLANDS, f"""
 SELECT tenant_id, service, {rfc3339('first_ts')} AS first_ts, {rfc3339('last_ts')} AS last_ts, errors FROM islands"""))
 def error_islands(spark, sf):
     islands = WI.error_islands(WI.error_ticks(zones.messages(spark, sf)))
@@ -145,7 +145,7 @@ def top_n_per_tenant(spark, sf):
     return RU.top_n_per_tenant(zones.messages(spark, sf))
 
 
-@query("live_metrics", with_tables(DOCUMENTS + _ISLANDS, f"""
+@query("live_metrics", with_tables(DOCUMENTS + ISLANDS, f"""
 SELECT a.service, (SELECT count(*) FROM accepted WHERE tenant_id = 'default') AS tenant_total_logs, count(*) AS total_logs,
   count(*) FILTER ({_ERR}) AS total_errors, coalesce(any_value(i.errors), 0) AS errors_last_5m
 FROM accepted a LEFT JOIN idle i ON i.tenant_id = 'default' AND i.service = a.service WHERE a.tenant_id = 'default' GROUP BY a.service"""))
@@ -155,7 +155,7 @@ def live_metrics(spark, sf):
     return RU.live_metrics(messages, idle)
 
 
-@query("requested_services_zero_fill", with_tables(DOCUMENTS + _ISLANDS, f"""
+@query("requested_services_zero_fill", with_tables(DOCUMENTS + ISLANDS, f"""
 SELECT s AS service, (SELECT count(*) FROM accepted WHERE tenant_id = 'tenant-a') AS tenant_total_logs,
   (SELECT count(*) FROM accepted WHERE tenant_id = 'tenant-a' AND service = s) AS total_logs,
   (SELECT count(*) FROM accepted WHERE tenant_id = 'tenant-a' AND service = s AND {_ERR}) AS total_errors,

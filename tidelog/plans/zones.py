@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidelog.plans import derive
 from tidelog.session import pin_utc, shared_dir
 from tidelog.sources import log_store, raw_events
+from tidelog.streaming import ingest_stream
 
 _written: set[str] = set()
 
@@ -49,6 +50,21 @@ def store_root(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+def files_per_batch(spark: SparkSession, sf_dir: str) -> int:
+    """A third of the raw files, so that draining them takes several batches."""
+    return max(1, len(raw_zone(spark, sf_dir).inputFiles()) // 3)
+
+
+def streamed_root(spark: SparkSession, sf_dir: str) -> str:
+    """The tables a drained ingest stream left behind."""
+    root = scratch(spark, sf_dir, "streamed")
+    if root not in _written:
+        raw = raw_events.stream_raw_files(spark, raw_zone_path(spark, sf_dir), files_per_batch(spark, sf_dir))
+        ingest_stream.drain(ingest_stream.start_ingest(raw, root, root + "-checkpoint", flush_interval=None))
+        _written.add(root)
+    return root
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted messages as stored, repeated ids included."""
     return log_store.read_messages(spark, store_root(spark, sf_dir))
