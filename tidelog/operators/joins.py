@@ -1,0 +1,20 @@
+"""Broadcasting behind a check of the size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 100_000
+
+
+def checked_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``small`` marked for broadcast if it really has at most ``max_rows`` rows.
+
+    The rows are counted (and kept for the join that follows).  Beyond the limit
+    the frame comes back unmarked and Spark shuffles both sides.  Meant for
+    narrow rows, so that the row limit bounds the size as well.
+    """
+    kept = small.persist()
+    within = kept.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(kept) if within else kept

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.text import is_error, ws_trim
@@ -128,23 +128,30 @@ def alert_evaluation(messages: DataFrame, rules: DataFrame, as_of: Column | str
     """Enabled rules with the errors of their window and whether they fire.
 
     ``rules`` has ``service`` beside the rule columns; ``condition`` is ``gt`` or
-    ``gte``.  Errors are counted per service and whole minute of age first.  An
+    ``gte``.  Errors are counted per service and whole minute of age first: an
     error lies in a window of w minutes exactly when its age in whole minutes is
-    below w, so the join only sees one row per service and minute.
+    below w.  The distinct windows are then laid between the ages, and one running
+    sum per service answers all of them, so no rule is paired with any error.
     """
     now = F.unix_micros(as_timestamp(as_of))
     age = F.floor((now - F.unix_micros("ingested_at")) / F.lit(60_000_000))
     errors = messages.where(is_error(F.col("level")) & (F.unix_micros("ingested_at") <= now))
-    ages = errors.groupBy(F.col("service").alias("_service"), age.alias("_age")).agg(F.count(F.lit(1)).alias("n"))
-    in_window = (F.col("service") == F.col("_service")) & (F.col("_age") < F.col("window_minutes"))
-    matched = rules.where("enabled").join(ages, in_window, "left")
-    counted = matched.groupBy("id", "name", "service", "condition", "threshold", "window_minutes").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("errors")
+    ages = errors.groupBy("service", age.alias("age")).agg(F.count(F.lit(1)).alias("n"))
+    active = rules.where("enabled")
+    asked = active.select("service", F.col("window_minutes").cast("long").alias("age")).distinct()
+    line = ages.withColumn("asked", F.lit(1)).unionByName(
+        asked.withColumn("n", F.lit(0).cast("long")).withColumn("asked", F.lit(0))
     )
+    younger = Window.partitionBy("service").orderBy("age", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    counted = line.withColumn("errors", F.sum("n").over(younger)).where("asked = 0")
+    counted = counted.select("service", F.col("age").cast("int").alias("window_minutes"), "errors")
+    joined = active.join(counted, ["service", "window_minutes"], "left")
     fires = F.when(F.col("condition") == "gt", F.col("errors") > F.col("threshold")).otherwise(
         F.col("errors") >= F.col("threshold")
     )
-    return counted.withColumn("fires", fires)
+    return joined.select(
+        "id", "name", "service", "condition", "threshold", "window_minutes", "errors", fires.alias("fires")
+    )
 
 
 def cascade_delete(

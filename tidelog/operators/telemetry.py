@@ -1,8 +1,7 @@
 """Latency summaries, histograms, counter rates and quantiles over samples.
 
-Exact quantiles never gather a group: equal values are counted first and ranks
-are found by their leading bits (``nearest_rank``), so windows run over counts
-per value range and not over rows.
+Exact quantiles never gather a group: rows are counted by the leading bits of
+their value first (``nearest_rank``), so windows run over counts and not rows.
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.joins import checked_broadcast
+
 # Histogram bounds by metric, in the unit of the metric (fixed values).
 HTTP_SECONDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
 INDEXING_SECONDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5]
@@ -37,38 +38,37 @@ def _rank_of(n: Column, percent: int) -> Column:
 def nearest_rank(samples: DataFrame, by: list[str], value: str, percents: list[int]) -> DataFrame:
     """Exact nearest-rank percentiles of a non-negative integer column.
 
-    1. Count equal values per group (combined on the map side).
-    2. Sum the counts per range of values that share their 13 leading bits; a
-       running sum over these at most some 200,000 ranges of a group finds the
-       range each rank falls into.
-    3. A running sum over the distinct values of just those ranges finds it.
+    1. Count rows per range of values that share their 13 leading bits: at most
+       some 200,000 counts per group, combined on the map side.  A running sum
+       over them finds the range each rank falls into.
+    2. Read the values again, keep those inside the found ranges only, count
+       equal ones, and find each rank by a running sum over its range.
 
     Result: ``by`` and one column ``p50`` ... per percent.
     """
-    counted = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("long").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    values = samples.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("long").alias("_v"))
     shift = F.greatest(F.length(F.bin("_v")) - (_RANGE_BITS + 1), F.lit(0))
-    # shiftleft and shiftright need a constant; 2^shift is exact and does the same.
-    width = F.pow(F.lit(2.0), shift).cast("long")
-    counted = counted.withColumn("_range", F.col("_v") - F.pmod("_v", width))
+    # Integer powers of two below 2^63 are exact as doubles.
+    values = values.withColumn("_range", F.col("_v") - F.pmod("_v", F.pow(F.lit(2.0), shift).cast("long")))
 
-    ranges = counted.groupBy(*by, "_range").agg(F.sum("_n").alias("_n"))
+    ranges = values.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
     up_to = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    ranges = ranges.withColumn("_end", F.sum("_n").over(up_to)).withColumn("_total", F.sum("_n").over(whole))
+    ranges = ranges.withColumn("_end", F.sum("_n").over(up_to)).withColumn(
+        "_total", F.sum("_n").over(Window.partitionBy(*by))
+    )
     start = F.col("_end") - F.col("_n")
     wanted = F.filter(
         F.array(*[F.struct(F.lit(p).alias("p"), _rank_of(F.col("_total"), p).alias("rank")) for p in percents]),
         lambda w: (w["rank"] > start) & (w["rank"] <= F.col("_end")),
     )
-    hit = ranges.withColumn("_wanted", wanted).where(F.size("_wanted") > 0)
-    hit = hit.select(*by, "_range", start.alias("_start"), "_wanted")
+    hit = ranges.select(*by, "_range", start.alias("_start"), wanted.alias("_wanted")).where(F.size("_wanted") > 0)
 
-    inside = counted.join(hit, [*by, "_range"])
+    # One row per group and percent at most.
+    inside = values.join(checked_broadcast(hit), [*by, "_range"])
+    counted = inside.groupBy(*by, "_range", "_start", "_wanted", "_v").agg(F.count(F.lit(1)).alias("_n"))
     in_order = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_end", F.col("_start") + F.sum("_n").over(in_order))
-    found = inside.select(*by, "_v", "_n", "_end", F.explode("_wanted").alias("_w")).where(
+    ranked = counted.withColumn("_end", F.col("_start") + F.sum("_n").over(in_order))
+    found = ranked.select(*by, "_v", "_n", "_end", F.explode("_wanted").alias("_w")).where(
         (F.col("_w.rank") <= F.col("_end")) & (F.col("_w.rank") > F.col("_end") - F.col("_n"))
     )
     return found.groupBy(*by).agg(

@@ -223,7 +223,7 @@ def retention_by_policy(spark, sf):
 def _own_store(spark, sf, name):
     """A store of its own for a destructive run, made from the raw zone."""
     root = zones.scratch(spark, sf, name)
-    log_store.process_batch(zones.raw_zone(spark, sf), root, batch_id=0)
+    zones.load_store(spark, sf, root)
     return root
 
 

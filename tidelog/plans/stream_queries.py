@@ -145,5 +145,5 @@ def sink_log_store(spark, sf):
 @query("rebuild_views", _COUNTERS)
 def rebuild_views(spark, sf):
     root = zones.scratch(spark, sf, "rebuilt")
-    ST.rebuild_views(zones.raw_zone(spark, sf), root)
+    ST.rebuild_views(zones.raw_zone(spark, sf), root, staging=root + "-staging")
     return log_store.read_counters(spark, root)

@@ -42,10 +42,15 @@ def raw_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_events.read_raw_files(spark, raw_zone_path(spark, sf_dir))
 
 
+def load_store(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """The whole raw zone into the store at ``root`` as one batch."""
+    log_store.process_batch(raw_zone(spark, sf_dir), root, batch_id=0, staging=root + "-staging")
+
+
 def store_root(spark: SparkSession, sf_dir: str) -> str:
     root = scratch(spark, sf_dir, "store")
     if root not in _written:
-        log_store.process_batch(raw_zone(spark, sf_dir), root, batch_id=0)
+        load_store(spark, sf_dir, root)
         _written.add(root)
     return root
 

@@ -90,31 +90,42 @@ def write_dlq(rejects: DataFrame, root: str, batch_id: int, processor_id: str |
     _write_part(ingest.dlq_envelope(rejects, processor_id=processor_id), root, DEAD, batch_id)
 
 
-def process_batch(raw: DataFrame, root: str, batch_id: int, processor_id: str | None = None) -> None:
-    """One micro-batch: documents first, then metrics and dead letters side by side.
-
-    Records are parsed once; an exception leaves the batch to be run again as a
-    whole, which replaces whatever it had written.
+def process_batch(
+    raw: DataFrame, root: str, batch_id: int, processor_id: str | None = None, staging: str | None = None
+) -> None:
+    """One batch: documents first, then metrics and dead letters side by side.
+
+    Records are parsed once.  A micro-batch keeps the parsed rows on the
+    executors; a large load names a ``staging`` folder on shared storage, where
+    they outlive any executor.  An exception leaves the batch to be run again as
+    a whole, which replaces whatever it had written.
     """
-    rows = ingest.classify(raw).persist()
+    rows = ingest.classify(raw)
+    if staging:
+        spark, schema = raw.sparkSession, rows.schema
+        rows.write.mode("overwrite").parquet(staging)
+        _write_batch(spark.read.schema(schema).parquet(staging), root, batch_id, processor_id)
+        return
+    rows.persist()
     try:
-        accepted = rows.where(F.col("reject_reason").isNull())
-        rejects = ingest.dlq_envelope(rows.where(F.col("reject_reason").isNotNull()), processor_id=processor_id)
-        write_documents(accepted, root, batch_id)
-        parts = {**_metric_parts(accepted), DEAD: rejects}
-        # The parts are small, independent jobs; run one after another they
-        # would leave most of the cluster idle.
-        with ThreadPoolExecutor(max_workers=len(parts)) as pool:
-            writes = [
-                pool.submit(inheritable_thread_target(raw.sparkSession)(_write_part), rows_, root, table, batch_id)
-                for table, rows_ in parts.items()
-            ]
-            for write in writes:
-                write.result()
+        _write_batch(rows, root, batch_id, processor_id)
     finally:
         rows.unpersist()
 
 
+def _write_batch(rows: DataFrame, root: str, batch_id: int, processor_id: str | None) -> None:
+    accepted = rows.where(F.col("reject_reason").isNull())
+    rejects = rows.where(F.col("reject_reason").isNotNull())
+    write_documents(accepted, root, batch_id)
+    parts = {**_metric_parts(accepted), DEAD: ingest.dlq_envelope(rejects, processor_id=processor_id)}
+    # The parts are small, independent jobs; run one after another they would
+    # leave most of the cluster idle.
+    target = inheritable_thread_target(rows.sparkSession)(_write_part)
+    with ThreadPoolExecutor(max_workers=len(parts)) as pool:
+        for write in [pool.submit(target, part, root, table, batch_id) for table, part in parts.items()]:
+            write.result()
+
+
 # ------------------------------------------------------------------ reading
 
 

@@ -41,12 +41,12 @@ def start_ingest(
     return writer.trigger(processingTime=flush_interval).start()
 
 
-def rebuild_views(raw: DataFrame, root: str) -> None:
+def rebuild_views(raw: DataFrame, root: str, staging: str) -> None:
     """Store, metrics and rejects again from the event log, in batch.
 
     Uses the functions of the stream, so the merged results are the same.
     """
-    log_store.process_batch(raw, root, batch_id=0)
+    log_store.process_batch(raw, root, batch_id=0, staging=staging)
 
 
 # ------------------------------------------------------------ stateful views
