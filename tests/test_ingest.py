@@ -56,12 +56,23 @@ def test_good_event_is_parsed(spark):
         (event(message='brackets }] and "quotes"'), None),
         (event(level="not-a-level", timestamp="not-a-time"), None),
         (event(trace_id=""), None),
+        (event().replace('"message": "ok"', '"message": "ok", "x": NaN'), I.ERR_JSON),
+        (event().replace('"level"', '"Level"').replace('"service"', '"SERVICE"'), None),
+        (event(Level=7, level=None), I.ERR_JSON),
+        (event(LEVELS="x"), None),
     ],
 )
 def test_parse_errors(spark, value, error):
     assert parsed(spark, [value])[0]["parse_error"] == error
 
 
+def test_field_names_match_in_any_case(spark):
+    value = '{"Timestamp":"2026-08-28T10:00:00Z","LEVEL" : "INFO","service":"s","message":"the \\"Level\\": x","IP":"1.1.1.1"}'
+    row = parsed(spark, [value])[0]
+    assert (row["timestamp"], row["level"], row["ip"]) == ("2026-08-28T10:00:00Z", "INFO", "1.1.1.1")
+    assert row["message"] == 'the "Level": x'
+
+
 def details(spark, **fields):
     rows = I.ingest_verdict(raw_frame(spark, [event(**fields)])).collect()[0]
     return rows["verdict"], [d["field"] for d in rows["details"] or []]

@@ -15,6 +15,7 @@ def plan(df):
 
 
 def test_search_filters_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     params = S.SearchParams(service="svc-1", level="error", time_from="2024-01-10T00:00:00Z", time_to="2024-01-11T00:00:00Z")
     text = plan(S.search_logs(zones.documents(spark, SF), params))
     assert "EqualTo(service,svc-1)" in text and "EqualTo(level,ERROR)" in text

@@ -8,11 +8,28 @@ from pyspark.sql import functions as F
 from tidelog.functions.text import empty_to_null
 from tidelog.schemas import EVENT_FIELDS
 
-_STRICT = {"allowSingleQuotes": "false"}
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _VARIANTS = ", ".join(f"{name} variant" for name in EVENT_FIELDS)
 _BAD = "unreadable_record"
 
 
+def lower_keys(value: Column) -> Column:
+    """``value`` with the names of known fields in lower case.
+
+    Field names match in any case.  The rewrite is rare, so a text is only
+    touched when it has a known name in another spelling and not in its own.  An
+    unescaped quoted name before a colon cannot be part of a JSON string.
+    """
+    folded = F.lower(value)
+    other = F.lit(False)
+    for name in EVENT_FIELDS:
+        other = other | (folded.contains(f'"{name}"') & ~value.contains(f'"{name}"'))
+    rewritten = value
+    for name in EVENT_FIELDS:
+        rewritten = F.regexp_replace(rewritten, rf'"(?i:{name})"(\s*):', rf'"{name}"$1:')
+    return F.when(other, rewritten).otherwise(value)
+
+
 def decode_whole(value: Column) -> Column:
     """Array holding the one decoded object of ``value``; NULL when it is not exactly one.
 

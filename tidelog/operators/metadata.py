@@ -294,6 +294,7 @@ def reconcile_counts(submitted: DataFrame, stored: DataFrame) -> DataFrame:
     """
     sent = submitted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sent"))
     kept = stored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
+    # The counts are partitioned by id already, so the join shuffles nothing.
     both = sent.join(kept, "doc_id", "full_outer")
     return both.agg(
         F.coalesce(F.sum("sent"), F.lit(0)).alias("submitted"),

@@ -36,18 +36,23 @@ def parse_index_name(names: DataFrame, name: str = "name") -> DataFrame:
     return names.withColumn("day", index_day(F.col(name)))
 
 
-def index_documents(documents: DataFrame) -> DataFrame:
-    """Documents per day: ids are counted once whatever number of copies is stored."""
-    per_id = documents.groupBy("event_date", "doc_id").agg(F.lit(1).alias("one"))
-    return per_id.groupBy("event_date").agg(F.count(F.lit(1)).alias("doc_count"))
+def index_documents(documents: DataFrame, compacted: bool = False) -> DataFrame:
+    """Documents per day: ids are counted once whatever number of copies is stored.
+
+    A compacted store holds every id once and is counted without a shuffle of ids.
+    """
+    if not compacted:
+        # 16 bytes instead of 32 hex digits through the shuffle.
+        documents = documents.select("event_date", F.unhex("doc_id").alias("id")).distinct()
+    return documents.groupBy("event_date").agg(F.count(F.lit(1)).alias("doc_count"))
 
 
-def list_indices(documents: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def list_indices(documents: DataFrame, files: DataFrame | None = None, compacted: bool = False) -> DataFrame:
     """Inventory of the store: ``name, doc_count, store_size_bytes, creation_date, status``.
 
     ``files`` is ``log_store.store_files``; without it sizes and dates are NULL.
     """
-    days = index_documents(documents)
+    days = index_documents(documents, compacted)
     if files is None:
         sized = days.withColumn("store_size_bytes", F.lit(None).cast("long")).withColumn(
             "creation_date", F.lit(None).cast("timestamp")
@@ -140,7 +145,7 @@ def retention_by_policy(
 
     An absent or disabled policy means ``default_days``.
     """
-    per_id = documents.groupBy("tenant_id", "event_date", "doc_id").agg(F.lit(1).alias("one"))
+    per_id = documents.select("tenant_id", "event_date", F.unhex("doc_id").alias("id")).distinct()
     stored = per_id.groupBy("tenant_id", "event_date").agg(F.count(F.lit(1)).alias("doc_count"))
     granted = policies.where("enabled").select("tenant_id", "retention_days")
     joined = stored.join(granted, "tenant_id", "left").withColumn(

@@ -105,9 +105,12 @@ def unique_ips_daily(messages: DataFrame, day: str = "ingested_at", approximate:
 
 
 def unique_ips_live(members: DataFrame, as_of: Column | str | dt.datetime) -> DataFrame:
-    """Sizes of the sets whose last add is at most 24 hours old."""
+    """Sizes of the sets whose last add is at most 24 hours old.
+
+    ``members`` are the rows of ``unique_ips``, one per address.
+    """
     sets = members.groupBy("tenant_id", "day").agg(
-        F.max("last_seen").alias("last_seen"), F.count_distinct("ip").alias("unique_ips")
+        F.max("last_seen").alias("last_seen"), _count().alias("unique_ips")
     )
     oldest = as_timestamp(as_of) - F.expr(f"INTERVAL {IP_SET_TTL_HOURS} HOURS")
     return sets.where(F.col("last_seen") >= oldest).select("tenant_id", "day", "unique_ips")

@@ -149,8 +149,8 @@ def cumulate_buckets(counted: DataFrame, by: list[str], bounds: list[float]) ->
 
 
 def series_key(labels: str = "labels") -> Column:
-    """A map as text with its keys in order, usable as a grouping key."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
+    """A map as its entries in key order, usable as a grouping key."""
+    return F.sort_array(F.map_entries(labels))
 
 
 def counter_increase(samples: DataFrame, series: list[str], ts: str = "ts", value: str = "value") -> DataFrame:

@@ -59,20 +59,6 @@ def src_synthetic_logs(spark, sf):
     return synthetic.synthetic_logs(derive.table(spark, sf, "events"), synthetic.SyntheticConfig(), "event_id", "ts")
 
 
-@query("sink_publish", with_tables(PARSED, """
-SELECT coalesce(trace_id, service) AS key,
-  '{' || CASE WHEN tenant_id IS NULL THEN '' ELSE '"tenant_id":"' || tenant_id || '",' END
-  || '"timestamp":"' || "timestamp" || '","level":"' || level || '","service":"' || service || '","message":"' || message || '"'
-  || CASE WHEN trace_id IS NULL THEN '' ELSE ',"trace_id":"' || trace_id || '"' END
-  || CASE WHEN ip IS NULL THEN '' ELSE ',"ip":"' || ip || '"' END || '}' AS value, 'app-logs' AS topic
-FROM parse_checked WHERE parse_error IS NULL"""))
-def sink_publish(spark, sf):
-    path = zones.scratch(spark, sf, "published")
-    events = I.parse_log(zones.raw_zone(spark, sf)).where("parse_error IS NULL")
-    I.publish_records(events).write.mode("overwrite").parquet(path)
-    return spark.read.schema("key string, value string, topic string").parquet(path)
-
-
 @query("sink_dlq", with_tables(CLASSIFIED, "SELECT * FROM dlq"))
 def sink_dlq(spark, sf):
     return log_store.read_dlq(spark, zones.store_root(spark, sf))
@@ -158,7 +144,8 @@ fields AS (
   SELECT "partition", "offset", readable,
     coalesce(json_extract_string(doc, '$.timestamp'), '') AS ts, coalesce(json_extract_string(doc, '$.level'), '') AS level,
     coalesce(json_extract_string(doc, '$.service'), '') AS service, coalesce(json_extract_string(doc, '$.message'), '') AS message,
-    coalesce(json_extract_string(doc, '$.ip'), '') AS ip FROM first_value
+    coalesce(json_extract_string(doc, '$.ip'), '') AS ip, coalesce(json_extract_string(doc, '$.tenant_id'), '') AS tenant_id,
+    coalesce(json_extract_string(doc, '$.trace_id'), '') AS trace_id FROM first_value
 ),
 findings AS (
   SELECT "partition", "offset", 'timestamp' AS field,
@@ -219,6 +206,20 @@ def tenant_default(spark, sf):
     return parsed.select("partition", "offset", tenant_or_default(F.col("tenant_id")).alias("tenant"))
 
 
+@query("sink_publish", with_tables(_FIRST_VALUE, """
+SELECT coalesce(nullif(trace_id, ''), service) AS key,
+  '{' || CASE WHEN tenant_id = '' THEN '' ELSE '"tenant_id":"' || tenant_id || '",' END
+  || '"timestamp":"' || ts || '","level":"' || upper(trim(level)) || '","service":"' || service || '","message":"' || message || '"'
+  || CASE WHEN trace_id = '' THEN '' ELSE ',"trace_id":"' || trace_id || '"' END
+  || CASE WHEN ip = '' THEN '' ELSE ',"ip":"' || ip || '"' END || '}' AS value, 'app-logs' AS topic
+FROM fields WHERE readable AND ("partition", "offset") NOT IN (SELECT ("partition", "offset") FROM findings)"""))
+def sink_publish(spark, sf):
+    path = zones.scratch(spark, sf, "published")
+    events = I.ingest_verdict(zones.raw_zone(spark, sf)).where(F.col("verdict") == I.QUEUED)
+    I.publish_records(events).write.mode("overwrite").parquet(path)
+    return spark.read.schema("key string, value string, topic string").parquet(path)
+
+
 # ---------------------------------------------------------------- documents
 
 

@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     Only a local master may go without that setting; it then gets a fresh
     folder, so nothing machine-local is ever used on a cluster.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

@@ -51,7 +51,9 @@ def stream_raw_kafka(
 ) -> DataFrame:
     """Needs the Kafka connector package on the class path.
 
-    Executors read the topic partitions; offsets are kept in the query's
+    ``max_offsets_per_trigger`` caps the records of a micro-batch (200 is the
+    classic flush size; a cluster wants far more).  Executors read the topic
+    partitions; offsets are kept in the query's
     checkpoint and move only after a micro-batch has been written.
     """
     reader = spark.readStream.format("kafka").options(**_kafka_options(brokers, topic))

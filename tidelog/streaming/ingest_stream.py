@@ -11,8 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidelog.operators import ingest
 from tidelog.sources import log_store
 
-# Micro-batch defaults (fixed values): records per flush and flush interval.
-BULK_SIZE = 200
+# Flush interval of the micro-batches (fixed value).
 FLUSH_INTERVAL = "100 milliseconds"
 
 
