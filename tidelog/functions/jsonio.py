@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.text import empty_to_null
@@ -13,50 +13,69 @@ _VARIANTS = ", ".join(f"{name} variant" for name in EVENT_FIELDS)
 _BAD = "unreadable_record"
 
 
-def lower_keys(value: Column) -> Column:
+def _absent_but_named(event: Column, value: Column) -> Column:
+    """Some known field was not found although its name occurs, in whatever case."""
+    folded = F.lower(value)
+    found = F.lit(False)
+    for name in EVENT_FIELDS:
+        found = found | (event[name].isNull() & folded.contains(f'"{name}"'))
+    return found
+
+
+def _lower_keys(value: Column) -> Column:
     """``value`` with the names of known fields in lower case.
 
-    Field names match in any case.  The rewrite is rare, so a text is only
-    touched when it has a known name in another spelling and not in its own.  An
-    unescaped quoted name before a colon cannot be part of a JSON string.
+    An unescaped quoted name before a colon cannot be part of a JSON string.
     """
-    folded = F.lower(value)
-    other = F.lit(False)
-    for name in EVENT_FIELDS:
-        other = other | (folded.contains(f'"{name}"') & ~value.contains(f'"{name}"'))
-    rewritten = value
     for name in EVENT_FIELDS:
-        rewritten = F.regexp_replace(rewritten, rf'"(?i:{name})"(\s*):', rf'"{name}"$1:')
-    return F.when(other, rewritten).otherwise(value)
+        value = F.regexp_replace(value, rf'"(?i:{name})"(\s*):', rf'"{name}"$1:')
+    return value
 
 
-def decode_whole(value: Column) -> Column:
-    """Array holding the one decoded object of ``value``; NULL when it is not exactly one.
+def _one_element_array(value: Column) -> Column:
+    return F.from_json(F.concat(F.lit("["), value, F.lit("]")), f"array<struct<{_VARIANTS}>>", _STRICT)
 
-    The text is read as the only element of a JSON array, which refuses a second
-    value or text behind the first.  Text that closes the array itself would slip
+
+def decode_whole(df: DataFrame, value: str) -> DataFrame:
+    """Replace ``value`` by ``_at`` and ``_event``, the one object it consists of.
+
+    ``_at`` is NULL for a text that is not exactly one object (or ``null``).  The
+    text is read as the only element of a JSON array, which refuses a second value
+    or text behind the first.  Text that closes the array itself would slip
     through, so a ``}`` followed by ``]`` is read a second time inside an object.
+    Field names match in any case; a text is only decoded again for that when a
+    field is missing.
+
+    The steps are separate projections, and the last one unnests the array, so
+    that Spark runs the decoder once per row however often its result is used.
     """
-    inside_array = F.from_json(
-        F.concat(F.lit("["), value, F.lit("]")), f"array<struct<{_VARIANTS}>>", _STRICT
-    )
+    text = F.col(value)
+    rest = [c for c in df.columns if c != value]
+    arrays = df.select(*df.columns, _one_element_array(text).alias("_array"))
+    retry = (F.size("_array") == 1) & _absent_but_named(F.get("_array", F.lit(0)), text)
+    arrays = arrays.withColumn("_array", F.when(retry, _one_element_array(_lower_keys(text))).otherwise(F.col("_array")))
     inside_object = F.from_json(
-        F.concat(F.lit('{"body":'), value, F.lit("}")), f"body string, {_BAD} string",
+        F.concat(F.lit('{"body":'), text, F.lit("}")), f"body string, {_BAD} string",
         {**_STRICT, "columnNameOfCorruptRecord": _BAD},
     )
-    suspicious = value.contains("]") & value.rlike(r"\}\s*\]")
-    one = F.size(inside_array) == 1
-    return F.when(one & (~suspicious | inside_object[_BAD].isNull()), inside_array)
+    suspicious = text.contains("]") & text.rlike(r"\}\s*\]")
+    whole = (F.size("_array") == 1) & (~suspicious | inside_object[_BAD].isNull())
+    return arrays.select(*rest, text, F.posexplode_outer(F.when(whole, F.col("_array"))).alias("_at", "_event"))
 
 
-def decode_first(value: Column) -> Column:
-    """The first JSON object of ``value``, whatever follows it.
+def decode_first(df: DataFrame, value: str) -> DataFrame:
+    """Add ``_event``, the first JSON object of ``value``, whatever follows it.
 
-    ``unreadable_record`` is set when there is no readable object at the start.
+    Its ``unreadable_record`` is set when there is no readable object at the start.
     """
-    return F.from_json(
-        value, f"{_VARIANTS}, {_BAD} string", {**_STRICT, "columnNameOfCorruptRecord": _BAD}
-    )
+    schema = f"{_VARIANTS}, {_BAD} string"
+    options = {**_STRICT, "columnNameOfCorruptRecord": _BAD}
+    text = F.col(value)
+    first = df.withColumn("_event", F.from_json(text, schema, options))
+    retry = _absent_but_named(F.col("_event"), text)
+    again = F.when(retry, F.from_json(_lower_keys(text), schema, options)).otherwise(F.col("_event"))
+    # Unnesting keeps the decoder from being inlined wherever a field is used.
+    return first.withColumn("_event", F.explode(F.array(again)))
 
 
 def is_unreadable(decoded: Column) -> Column:

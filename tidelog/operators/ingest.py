@@ -56,9 +56,7 @@ def parse_log(raw: DataFrame, value: str = "value") -> DataFrame:
     """
     envelope = [c for c in raw.columns if c not in EVENT_FIELDS or c == "timestamp"]
     kept = [F.col(c).alias("arrived_at") if c == "timestamp" else F.col(c) for c in envelope]
-    # Unnesting the decoded array keeps the optimizer from inlining the decoder
-    # into every later filter; _at is NULL exactly for undecodable texts.
-    decoded = raw.select(*kept, F.posexplode_outer(jsonio.decode_whole(jsonio.lower_keys(F.col(value)))).alias("_at", "_event"))
+    decoded = jsonio.decode_whole(raw.select(*kept), value)
     broken = F.col("_at").isNull() | jsonio.wrong_type(F.col("_event"))
     texts = [empty_to_null(jsonio.field_text(F.col("_event"), f)).alias(f) for f in EVENT_FIELDS]
     names = [c for c in decoded.columns if c not in ("_at", "_event")]
@@ -122,9 +120,8 @@ def ingest_verdict(raw: DataFrame, value: str = "value") -> DataFrame:
     Only the first JSON value counts, so text behind it is ignored here
     (``parse_log`` rejects it later).  A bare ``null`` is an empty event.
     """
-    first = jsonio.decode_first(jsonio.lower_keys(F.col(value)))
     rest = [c for c in raw.columns if c not in EVENT_FIELDS]
-    decoded = raw.select(*rest, first.alias("_event"))
+    decoded = jsonio.decode_first(raw.select(*rest), value)
     bare_null = F.coalesce(F.col(value), F.lit("")).rlike(r"^\s*null(\s|$)")
     malformed = (jsonio.is_unreadable(F.col("_event")) & ~bare_null) | jsonio.wrong_type(F.col("_event"))
     texts = [F.coalesce(jsonio.field_text(F.col("_event"), f), F.lit("")).alias(f) for f in EVENT_FIELDS]
