@@ -69,6 +69,12 @@ def test_idle_counter_expires(spark, now, count):
     assert column(WI.errors_idle_5m(WI.error_ticks(m), f"2026-08-28T{now}Z"), "errors") == [count]
 
 
+def test_idle_counter_of_an_earlier_moment(spark):
+    m = message_frame(spark, [{"ingested_at": shift(s)} for s in (0, 10, 20, 30)])
+    now = "2026-08-28T10:00:15Z"
+    assert column(WI.errors_idle_5m(WI.error_ticks(m, until=now), now), "errors") == [2]
+
+
 def brute_idle(times, now):
     run, last = 0, None
     for t in sorted(times):

@@ -2,8 +2,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tidelog.operators import ingest
 from tidelog.operators import windows as WI
-from tidelog.sources import log_store, raw_events
+from tidelog.sources import log_store, raw_events, synthetic
 from tidelog.streaming import ingest_stream as ST
 
 from helpers import at, column, event, raw_frame
@@ -157,3 +158,30 @@ def test_compaction_keeps_what_readers_see(spark, tmp_path):
     assert log_store.read_messages(spark, target).count() == 4
     same = [sorted(map(str, log_store.read_documents(spark, r).collect())) for r in (root, target)]
     assert same[0] == same[1]
+
+
+def test_merged_store_reads_the_same_and_goes_on(spark, tmp_path):
+    root, target = str(tmp_path / "store"), str(tmp_path / "merged")
+    for i in range(3):
+        log_store.process_batch(raw_frame(spark, VALUES, f"2026-08-28T1{i}:00:00"), root, i)
+    log_store.compact_store(spark, root, target, last_batch=2)
+    assert tables(spark, target) == tables(spark, root)
+    for r in (root, target):
+        log_store.process_batch(raw_frame(spark, VALUES, "2026-08-28T15:00:00"), r, 3)
+    assert tables(spark, target) == tables(spark, root)
+
+
+def test_published_stream_feeds_the_ingest_stream(spark, tmp_path):
+    path, out = str(tmp_path / "raw"), str(tmp_path / "published")
+    lay(spark, path, [(VALUES[:3], "2026-08-28T10:00:01"), (VALUES[3:], "2026-08-28T10:00:02")])
+    verdicts = ingest.ingest_verdict(raw_events.stream_raw_files(spark, path, 1))
+    records = ingest.publish_records(verdicts.where(F.col("verdict") == ingest.QUEUED))
+    ST.drain(raw_events.start_publish_files(records, out, out + "-checkpoint"))
+    published = spark.read.parquet(out)
+    assert published.count() == 4
+    assert sorted(column(published, "key")) == ["svc-1", "svc-1", "svc-2", "svc-2"]
+
+
+def test_synthetic_stream_is_a_stream(spark):
+    logs = synthetic.synthetic_stream(spark, 5, synthetic.SyntheticConfig())
+    assert logs.isStreaming and logs.columns == ["id", "timestamp", "level", "service", "message", "trace_id", "ip"]

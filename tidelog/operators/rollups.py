@@ -97,6 +97,10 @@ def unique_ips(messages: DataFrame, day: str = "ingested_at") -> DataFrame:
     )
 
 
+def merge_ips(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("tenant_id", "day", "ip").agg(F.max("last_seen").alias("last_seen"))
+
+
 def unique_ips_daily(messages: DataFrame, day: str = "ingested_at", approximate: bool = False) -> DataFrame:
     """Size of each daily set; ``approximate`` trades exactness for one small sketch per set."""
     members = messages.where(F.col("ip").isNotNull())

@@ -66,11 +66,19 @@ def read_recent_errors(kept: DataFrame, service: str, n: int | None = None, tena
 # ------------------------------------------------------------- idle counter
 
 
-def error_ticks(messages: DataFrame, ts: str = "ingested_at") -> DataFrame:
-    """Errors per tenant, service and five-minute bucket, with first and last time."""
+def error_ticks(
+    messages: DataFrame, ts: str = "ingested_at", until: Column | str | dt.datetime | None = None
+) -> DataFrame:
+    """Errors per tenant, service and five-minute bucket, with first and last time.
+
+    ``until`` leaves out later errors, to look at the counter of an earlier moment.
+    """
     at = micros(F.col(ts))
+    errors = messages.where(is_error(F.col("level")))
+    if until is not None:
+        errors = errors.where(F.col(ts) <= as_timestamp(until))
     return (
-        messages.where(is_error(F.col("level")))
+        errors
         .groupBy("tenant_id", "service", F.floor(at / F.lit(IDLE_SECONDS * _US)).alias("bucket"))
         .agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("errors"))
     )
@@ -97,11 +105,11 @@ def errors_idle_5m(ticks: DataFrame, as_of: Column | str | dt.datetime) -> DataF
     """The counter that every error keeps alive for five minutes more.
 
     Its value at ``as_of`` is the size of the last run of errors, or 0 once five
-    minutes have passed without one.
+    minutes have passed without one.  It is a live counter: ``ticks`` must not
+    reach beyond ``as_of`` (see ``error_ticks(until=...)``).
     """
     now = micros(as_timestamp(as_of))
-    past = ticks.where(micros(F.col("first_ts")) <= now)
-    last = error_islands(past).groupBy("tenant_id", "service").agg(
+    last = error_islands(ticks).groupBy("tenant_id", "service").agg(
         F.max(F.struct("island", "last_ts", "errors")).alias("_last")
     )
     alive = now - micros(F.col("_last.last_ts")) <= IDLE_SECONDS * _US

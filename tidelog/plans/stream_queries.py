@@ -147,3 +147,13 @@ def rebuild_views(spark, sf):
     root = zones.scratch(spark, sf, "rebuilt")
     ST.rebuild_views(zones.raw_zone(spark, sf), root, staging=root + "-staging")
     return log_store.read_counters(spark, root)
+
+
+# The streamed batches merged into one, plus one more batch behind them.
+@query("compact_store", with_tables(CLASSIFIED + f", counters AS ({COUNTERS_SQL})", "SELECT tenant_id, metric, dim, 2 * value AS value FROM counters"))
+def compact_store(spark, sf):
+    root, target = zones.streamed_root(spark, sf), zones.scratch(spark, sf, "merged")
+    last = log_store.read_messages(spark, root).agg(F.max("batch_id")).first()[0]
+    log_store.compact_store(spark, root, target, last)
+    log_store.process_batch(zones.raw_zone(spark, sf), target, batch_id=last + 1)
+    return log_store.read_counters(spark, target)

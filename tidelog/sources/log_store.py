@@ -70,13 +70,8 @@ def _write_part(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{root}/{table}/batch_id={batch_id}")
 
 
-def write_metrics(accepted: DataFrame, root: str, batch_id: int) -> None:
-    """Partial aggregates of one batch; all are combined on the map side."""
-    for table, rows in _metric_parts(accepted).items():
-        _write_part(rows, root, table, batch_id)
-
-
 def _metric_parts(accepted: DataFrame) -> dict[str, DataFrame]:
+    """Partial aggregates of one batch; all are combined on the map side."""
     newest = windows.recent_errors(accepted, payload="value").drop("position")
     return {
         COUNTERS: rollups.counters(accepted),
@@ -86,10 +81,6 @@ def _metric_parts(accepted: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write_dlq(rejects: DataFrame, root: str, batch_id: int, processor_id: str | None = None) -> None:
-    _write_part(ingest.dlq_envelope(rejects, processor_id=processor_id), root, DEAD, batch_id)
-
-
 def process_batch(
     raw: DataFrame, root: str, batch_id: int, processor_id: str | None = None, staging: str | None = None
 ) -> None:
@@ -148,8 +139,7 @@ def read_counters(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_ip_members(spark: SparkSession, root: str) -> DataFrame:
-    parts = _read_parts(spark, root, IPS, IPS_SCHEMA)
-    return parts.groupBy("tenant_id", "day", "ip").agg(F.max("last_seen").alias("last_seen"))
+    return rollups.merge_ips(_read_parts(spark, root, IPS, IPS_SCHEMA))
 
 
 def read_ticks(spark: SparkSession, root: str) -> DataFrame:
@@ -184,14 +174,35 @@ def board_services(counters: DataFrame, tenant_id: str, n: int) -> DataFrame:
 # --------------------------------------------------------------- compaction
 
 
-def compact_days(spark: SparkSession, root: str, days: list[str], target: str) -> None:
+def compact_days(spark: SparkSession, root: str, days: list[str], target: str, batch_id: int = 0) -> None:
     """Write settled days once more, one row per id, under ``target``.
 
     The result has the same layout with a single batch, so every reader works
     on it; the source is left alone.
     """
     docs = keep_last_document(read_messages(spark, root).where(F.col("event_date").isin(days)))
-    write_documents(docs, target, batch_id=0)
+    write_documents(docs, target, batch_id)
+
+
+def compact_store(spark: SparkSession, root: str, target: str, last_batch: int) -> None:
+    """All tables up to ``last_batch`` merged into that one batch under ``target``.
+
+    Stop the ingest query, compact, and start it again on ``target`` with its old
+    checkpoint: it goes on with higher batch numbers, so nothing is overwritten.
+    """
+    done = F.col("batch_id") <= last_batch
+    write_documents(keep_last_document(read_messages(spark, root).where(done)), target, last_batch)
+    merged = {
+        COUNTERS: rollups.merge_counters(_read_parts(spark, root, COUNTERS, COUNTERS_SCHEMA).where(done)),
+        IPS: rollups.merge_ips(_read_parts(spark, root, IPS, IPS_SCHEMA).where(done)),
+        TICKS: windows.merge_ticks(_read_parts(spark, root, TICKS, TICKS_SCHEMA).where(done)),
+        RECENT: windows.newest_payloads(
+            _read_parts(spark, root, RECENT, RECENT_SCHEMA).where(done).drop("batch_id"), windows.RECENT_KEPT
+        ).drop("position"),
+        DEAD: _read_parts(spark, root, DEAD, DEAD_SCHEMA).where(done).drop("batch_id"),
+    }
+    for table, rows in merged.items():
+        _write_part(rows, target, table, last_batch)
 
 
 # ----------------------------------------------------------------- dropping

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators.ingest import TOPIC
 from tidelog.schemas import RAW_EVENT
@@ -76,6 +77,13 @@ def publish_files(records: DataFrame, path: str) -> None:
     records.select("key", "value", "topic").write.mode("append").parquet(path)
 
 
+def start_publish_files(records: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Publish a stream of records as files; without ``interval`` drain it and stop."""
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    writer = records.select("key", "value", "topic").writeStream.format("parquet").option("path", path)
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def publish_kafka(records: DataFrame, brokers: str) -> None:
     """The key decides the topic partition, so a trace stays in order."""
     records.select("key", "value", "topic").write.format("kafka").option("kafka.bootstrap.servers", brokers).save()
