@@ -57,9 +57,9 @@ def parse_log(raw: DataFrame, value: str = "value") -> DataFrame:
     envelope = [c for c in raw.columns if c not in EVENT_FIELDS or c == "timestamp"]
     kept = [F.col(c).alias("arrived_at") if c == "timestamp" else F.col(c) for c in envelope]
     decoded = jsonio.decode_whole(raw.select(*kept), value)
-    broken = F.col("_at").isNull() | jsonio.wrong_type(F.col("_event"))
-    texts = [empty_to_null(jsonio.field_text(F.col("_event"), f)).alias(f) for f in EVENT_FIELDS]
-    names = [c for c in decoded.columns if c not in ("_at", "_event")]
+    broken = F.col("_at").isNull() | F.col("_wrong")
+    texts = [empty_to_null(F.col("_event")[f]).alias(f) for f in EVENT_FIELDS]
+    names = [c for c in decoded.columns if c not in ("_at", "_event", "_wrong")]
     fields = decoded.select(*names, broken.alias("_broken"), *texts)
     error = F.when(F.col("_broken"), ERR_JSON).when(~has_required_fields(), ERR_REQUIRED)
     return fields.withColumn("parse_error", error).drop("_broken")
@@ -123,8 +123,8 @@ def ingest_verdict(raw: DataFrame, value: str = "value") -> DataFrame:
     rest = [c for c in raw.columns if c not in EVENT_FIELDS]
     decoded = jsonio.decode_first(raw.select(*rest), value)
     bare_null = F.coalesce(F.col(value), F.lit("")).rlike(r"^\s*null(\s|$)")
-    malformed = (jsonio.is_unreadable(F.col("_event")) & ~bare_null) | jsonio.wrong_type(F.col("_event"))
-    texts = [F.coalesce(jsonio.field_text(F.col("_event"), f), F.lit("")).alias(f) for f in EVENT_FIELDS]
+    malformed = (jsonio.is_unreadable(F.col("_event")) & ~bare_null) | F.col("_wrong")
+    texts = [F.coalesce(F.col("_event")[f], F.lit("")).alias(f) for f in EVENT_FIELDS]
     checked = validate_log(decoded.select(*rest, malformed.alias("_malformed"), *texts))
     verdict = (
         F.when(F.col("_malformed"), MALFORMED_JSON)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.functions.text import is_error
 from tidelog.operators import ingest, rollups, windows
 from tidelog.operators.windows import keep_last_document
 from tidelog.schemas import DLQ, DOCUMENT
@@ -92,6 +93,9 @@ def process_batch(
     a whole, which replaces whatever it had written.
     """
     rows = ingest.classify(raw)
+    # Only rejects and error payloads need the original text any further.
+    needed = F.col("reject_reason").isNotNull() | is_error(F.col("level"))
+    rows = rows.withColumn("value", F.when(needed, F.col("value")))
     if staging:
         spark, schema = raw.sparkSession, rows.schema
         rows.write.mode("overwrite").parquet(staging)
