@@ -2,8 +2,8 @@
 
 ``BENCH_SF_DIR`` names the data folder and ``BENCH_CPUS`` the local cores.  The
 raw zone is laid down first; ``stream_ingest`` then drains it through the
-stream, and the queries run on the resulting tables.  Every figure is the
-better of two runs, except the ingest figures, which are one run after a warm-up.
+stream, and the queries run on the resulting tables.  Every figure is the better
+of two runs; the stream gets one run before them to warm up.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def main() -> None:
 
     events = zones.raw_zone(spark, sf_dir).count()
     _drain(spark, sf_dir, "bench-warm-up")
-    seconds["stream_ingest"] = _drain(spark, sf_dir, "bench-ingest")
+    seconds["stream_ingest"] = min(_drain(spark, sf_dir, f"bench-ingest-{run}") for run in range(2))
     zones.store_root(spark, sf_dir)
 
     for name in HEADLINE:

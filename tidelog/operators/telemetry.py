@@ -239,7 +239,7 @@ STATUS_METRICS = ["bulk_batches_total", "bulk_documents_total", "elasticsearch_i
 
 
 def ops_by_status(samples: DataFrame) -> DataFrame:
-    """Per-second rate of each status of the four pipeline counters."""
+    """Per-second rate of each status of the four write-side counters."""
     return counter_rate_1m(samples.where(F.col("metric").isin(STATUS_METRICS)), ["status"])
 
 
