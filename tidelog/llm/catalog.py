@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import near_dedup, oracles
+from tidelog.llm import near_dedup, oracles, secrets
 from tidelog.llm.scratch import table
 
 
@@ -14,10 +15,18 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as bigint)").alias(f"n_{n}") for k, n in enumerate(secrets.NAMES[:3])]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_text("base"), 256).alias("base_sha256"), secrets.span_text("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_secrets": op2_secrets,
 }
 
 ORACLES: dict[str, str] = {
     "op1_near_dedup": oracles.near_dedup(4, 80),
+    "op2_secrets": oracles.secret_scan(),
 }

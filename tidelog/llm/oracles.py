@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidelog.llm import secrets as S
+
 ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -30,3 +32,62 @@ reach(node, other) as (
 select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id, s.doc_id = c.component_id as kept
 from sets s join comp c on c.node = s.doc_id
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _match_list(pattern: str, kind: int) -> str:
+    """Matches with offsets, from the lengths of gaps and matches in turn."""
+    p = _quoted(pattern)
+    return f"""(select coalesce(list({{'start': list_sum(g[1:i]) + coalesce(list_sum(h[1:i - 1]), 0), 'kind': {kind},
+        'end': list_sum(g[1:i]) + list_sum(h[1:i]), 'value': v[i]}} order by i), [])
+      from (select list_transform(string_split_regex(t, {p}), lambda x: length(x)) as g,
+                   list_transform(regexp_extract_all(t, {p}), lambda x: length(x)) as h,
+                   regexp_extract_all(t, {p}) as v), unnest(range(1, len(v) + 1)) as r(i))"""
+
+
+def secret_scan() -> str:
+    base = [
+        f"list_filter({_match_list(pattern, k)}, lambda s: length(regexp_extract(s.value, {_quoted(pattern)}, {group})) >= {least})"
+        for k, (_, pattern, group, least) in enumerate(S.KINDS)
+    ]
+    names = "[" + ", ".join(f"'{n}'" for n in S.NAMES) + "]"
+    joined = f"list_transform({{0}}, lambda s: {names}[s.kind + 1] || ':' || s.start || ':' || s.end)"
+    text_of = lambda spans: f"array_to_string({joined.format(spans)}, ',')"
+    return rf"""
+with docs as (select doc_id, coalesce(text, '') as t, row_number() over () as rid from documents),
+found as (
+  select rid, doc_id, t, list_sort(list_concat(list_concat({base[0]}, {base[1]}), {base[2]})) as base,
+         {_match_list(S.CANDIDATE, len(S.KINDS))} as cand
+  from docs
+), samples as (
+  select unnest(regexp_extract_all(t, '{S.ORDINARY}')) as w, 0 as r from docs
+  union all select unnest(list_transform(base, lambda s: s.value)), 1 from found
+  union all select to_base64(unhex(sha256(coalesce(doc_id::varchar, '')))), 1 from docs
+), counts as (
+  select w[i] as a, w[i + 1] as b, count(*) filter (r = 1) as n_r, count(*) filter (r = 0) as n_o
+  from (select w, r, unnest(range(1, length(w))) as i from samples) group by all
+), letters as (select unnest(string_split({_quoted(S.ALPHABET)}, '')) as c),
+known as (select * from counts where a in (from letters) and b in (from letters)),
+totals as (select c as a, coalesce(sum(n_r), 0) as t_r, coalesce(sum(n_o), 0) as t_o from letters left join known on a = c group by c),
+model as (
+  select a.c || b.c as pair, floor(1000 * (ln((coalesce(n_r, 0) + 1) / (t_r + {len(S.ALPHABET)}))
+         - ln((coalesce(n_o, 0) + 1) / (t_o + {len(S.ALPHABET)}))) + 0.5)::bigint as llr
+  from letters a cross join letters b join totals t on t.a = a.c left join known k on k.a = a.c and k.b = b.c
+), cands as (
+  select rid, c, unnest(range(1, length(c.value))) as i
+  from (select rid, base, unnest(cand) as c from found)
+  where regexp_matches(c.value, '[A-Za-z]') and len(list_filter(base, lambda b: b.start < c."end" and c.start < b."end")) = 0
+), scored as (
+  select rid, c from cands join model on pair = c.value[i] || c.value[i + 1]
+  group by rid, c having sum(llr) >= {round(1000 * S.MIN_RATIO)} * (length(any_value(c.value)) - 1)
+), extra as (select rid, list(c) as more from scored group by rid),
+whole as (select f.*, list_sort(list_concat(base, coalesce(more, []))) as spans from found f left join extra using (rid))
+select doc_id,
+  len(list_filter(base, lambda s: s.kind = 0))::bigint as n_assign, len(list_filter(base, lambda s: s.kind = 1))::bigint as n_access,
+  len(list_filter(base, lambda s: s.kind = 2))::bigint as n_hex,
+  sha256({text_of("base")}) as base_sha256, {text_of("spans")} as spans
+from whole
+"""
