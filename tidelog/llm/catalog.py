@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontamination, near_dedup, oracles, secrets
+from tidelog.llm import decontamination, mixing, near_dedup, oracles, secrets
 from tidelog.llm.scratch import table
 
 
@@ -21,6 +21,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.span_text("base"), 256).alias("base_sha256"), secrets.span_text("spans").alias("spans"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,11 +32,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_secrets": op2_secrets,
+    "op3_mixing": op3_mixing,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op1_near_dedup": oracles.near_dedup(4, 80),
     "op2_secrets": oracles.secret_scan(),
+    "op3_mixing": oracles.mixing(mixing.BLOCK, mixing.UNITS),
     "op10_decontamination": oracles.decontamination(),
 }
