@@ -1,19 +1,52 @@
-"""The corpus pipeline: stages over the documents table, each written and read again."""
+"""The corpus pipeline: stages over the documents table, each written and read again.
+
+Quality, near duplicates, benchmark passages, secrets, mixture.  The first three
+drop rows, the fourth masks text, the last places every remaining row in the
+mixture of its sources.  No stage of a fitted model and no link of the first two
+can be stated in SQL together, so ``ORACLE_SQL`` is None and the tests hold the
+pipeline against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import near_dedup
+from tidelog.llm import decontamination, mixing, near_dedup, quality, secrets
 from tidelog.llm.scratch import Scratch, table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id."""
     return near_dedup.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup_stage)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
+    return secrets.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets its place in the mixture of the sources."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
+    ("mixing", mixing_stage),
+]
 ORACLE_SQL = None
 
 
@@ -23,4 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
