@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontamination, mixing, near_dedup, oracles, quality, secrets
+from tidelog.llm import decontamination, licenses, mixing, near_dedup, oracles, quality, secrets
 from tidelog.llm.scratch import table
 
 
@@ -25,6 +25,22 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    firsts = F.transform("base", lambda b: b["first"])
+    best = F.expr("array_max(concat(array(0d), transform(base, b -> 0.7d), transform(detections, d -> d.confidence)))")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(firsts).alias("first_word"),
+        F.array_max(firsts).alias("last_word"),
+        licenses.joined("transform(base, b -> b.label)").alias("base_labels"),
+        licenses.joined("concat(transform(base, b -> b.label), transform(detections, d -> d.label))").alias("labels"),
+        best.alias("score"),
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
 
@@ -37,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
+    "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
     "op10_decontamination": op10_decontamination,
 }
@@ -45,5 +62,6 @@ ORACLES: dict[str, str] = {
     "op1_near_dedup": oracles.near_dedup(4, 80),
     "op2_secrets": oracles.secret_scan(),
     "op3_mixing": oracles.mixing(mixing.BLOCK, mixing.UNITS),
+    "op6_licenses": oracles.license_scan(),
     "op10_decontamination": oracles.decontamination(),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidelog.llm import licenses as L
 from tidelog.llm import secrets as S
 
 ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -151,3 +152,40 @@ periods as (
 select doc_id, source, sb::bigint as source_block, (start + slot)::bigint as position, (r - sb * {block})::int as place
 from placed join periods on k = sb // u join plan on plan.phase = periods.phase and plan.s = placed.s and plan.j = sb % u
 """
+
+
+def license_scan() -> str:
+    lowered = ASCII_LOWER.format("coalesce(text, '')")
+    rules = ", ".join(f"({o}, {p}, {c}::double, {_quoted(label)}, {_quoted(key)}, {_quoted(pattern)})" for o, p, c, label, key, pattern in L.rules())
+    phrases = ", ".join(f"({_quoted(p)}, {len(p.split())}, {_quoted(label)})" for p, label in L.BASE)
+    blanks = "(length({0}) - length(replace({0}, ' ', ''))) // 2"
+    return rf"""
+with docs as (
+  select row_number() over () as rid, doc_id, regexp_extract_all({lowered}, '{L.WORD}') as w from documents
+), rules(rule, priority, confidence, label, keyword, pattern) as (values {rules}),
+phrases(phrase, n, label) as (values {phrases}),
+spots as (select rid, w, unnest(range(1, len(w) + 1)) as i from docs where list_contains(w, 'license')),
+base as (select rid, i - 1 as first, label from spots join phrases on w[i] = string_split(phrase, ' ')[1] and array_to_string(w[i:i + n - 1], ' ') = phrase),
+spaced as (
+  select rid, ' ' || array_to_string(w, '  ') || ' ' as t from docs
+  where regexp_matches(array_to_string(w, ' '), '{"|".join(L.GATE)}')
+), pairs as (
+  select rid, rule, priority, confidence, label, regexp_extract_all(t, pattern) as h, string_split_regex(t, pattern) as g
+  from spaced join rules on contains(t, keyword)
+), found as (
+  select rid, rule, priority, confidence, label,
+         list_sum(list_transform(g[1:i], lambda x: {blanks.format("x")})) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: {blanks.format("x")})), 0) as a,
+         {blanks.format("h[i]")} as n
+  from (select *, unnest(range(1, len(h) + 1)) as i from pairs)
+), spans as (select *, a + n as z from found),
+kept as (
+  select * from spans d where not exists (
+    select 1 from spans e where e.rid = d.rid and e.a <= d.a and e.z >= d.z and (
+      e.priority < d.priority or (e.priority = d.priority and (e.z - e.a > d.z - d.a or (e.z - e.a = d.z - d.a and e.rule < d.rule)))))
+), all_labels as (select rid, label, confidence from kept union all select rid, label, 0.7 from base),
+of_base as (select rid, count(*) as n, min(first) as f, max(first) as l, string_agg(distinct label, ',' order by label) as labels from base group by rid),
+of_all as (select rid, max(confidence) as score, string_agg(distinct label, ',' order by label) as labels from all_labels group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.f::bigint as first_word, b.l::bigint as last_word,
+       coalesce(b.labels, '') as base_labels, coalesce(m.labels, '') as labels, coalesce(m.score, 0)::double as score
+from docs left join of_base b using (rid) left join of_all m using (rid)
+"""
