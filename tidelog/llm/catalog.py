@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontamination, licenses, mixing, near_dedup, oracles, quality, secrets
+from tidelog.llm import decontamination, hamming, licenses, mixing, near_dedup, oracles, quality, secrets
 from tidelog.llm.scratch import table
 
 
@@ -45,6 +45,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
 
 
+def op8_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
+    "op8_hamming": op8_hamming,
     "op10_decontamination": op10_decontamination,
 }
 
@@ -63,5 +69,6 @@ ORACLES: dict[str, str] = {
     "op2_secrets": oracles.secret_scan(),
     "op3_mixing": oracles.mixing(mixing.BLOCK, mixing.UNITS),
     "op6_licenses": oracles.license_scan(),
+    "op8_hamming": oracles.hamming(10),
     "op10_decontamination": oracles.decontamination(),
 }

@@ -189,3 +189,15 @@ select doc_id, len(w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.
        coalesce(b.labels, '') as base_labels, coalesce(m.labels, '') as labels, coalesce(m.score, 0)::double as score
 from docs left join of_base b using (rid) left join of_all m using (rid)
 """
+
+
+def hamming(k: int) -> str:
+    return f"""
+with codes as (select vec_id, list_transform(embedding, lambda x: x > 0) as code from embeddings where len(embedding) > 0),
+pairs as (
+  select q.vec_id as query_id, v.vec_id, len(list_filter(list_zip(q.code, v.code), lambda p: p[1] <> p[2])) as distance
+  from codes q join codes v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id and len(q.code) = len(v.code)
+)
+select query_id, row_number() over (partition by query_id order by distance, vec_id)::int as rank, vec_id, distance::int as distance
+from pairs qualify rank <= {k}
+"""
