@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontamination, hamming, licenses, mixing, near_dedup, oracles, quality, secrets
+from tidelog.llm import decontamination, hamming, language, licenses, mixing, near_dedup, oracles, quality, secrets
 from tidelog.llm.scratch import table
 
 
@@ -25,6 +25,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    found = language.identify(docs.select("doc_id", "text"), language.learn(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     firsts = F.transform("base", lambda b: b["first"])
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
+    "op4_language": op4_language,
     "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
     "op8_hamming": op8_hamming,
