@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontamination, hamming, language, licenses, mixing, near_dedup, oracles, quality, secrets
+from tidelog.llm import chat, decontamination, hamming, language, licenses, mixing, near_dedup, oracles, quality, secrets
 from tidelog.llm.scratch import table
 
 
@@ -57,6 +57,10 @@ def op8_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
     "op8_hamming": op8_hamming,
+    "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
 }
 
