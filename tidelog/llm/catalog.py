@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, decontamination, hamming, language, licenses, mixing, near_dedup, oracles, quality, secrets
+from tidelog.llm import chat, decontamination, hamming, language, licenses, mixing, near_dedup, oracles, quality, repeats, secrets
 from tidelog.llm.scratch import table
 
 
@@ -32,6 +32,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     firsts = F.transform("base", lambda b: b["first"])
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
     "op4_language": op4_language,
+    "op5_repeats": op5_repeats,
     "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
     "op8_hamming": op8_hamming,
@@ -81,6 +87,7 @@ ORACLES: dict[str, str] = {
     "op1_near_dedup": oracles.near_dedup(4, 80),
     "op2_secrets": oracles.secret_scan(),
     "op3_mixing": oracles.mixing(mixing.BLOCK, mixing.UNITS),
+    "op5_repeats": oracles.repeats(repeats.LENGTH),
     "op6_licenses": oracles.license_scan(),
     "op8_hamming": oracles.hamming(10),
     "op10_decontamination": oracles.decontamination(),

@@ -201,3 +201,26 @@ pairs as (
 select query_id, row_number() over (partition by query_id order by distance, vec_id)::int as rank, vec_id, distance::int as distance
 from pairs qualify rank <= {k}
 """
+
+
+def repeats(length: int) -> str:
+    """Every string of every text by its hash; hexadecimal digits stand for bytes."""
+    return f"""
+with docs as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+grams as (
+  select rid, i, md5(substr(h, 2 * i + 1, {2 * length})) as g
+  from (select rid, h, unnest(range(0, greatest(0, length(h) // 2 - {length - 1}))) as i from docs)
+), repeated as (select rid, i from grams qualify count(*) over (partition by g) > 1),
+islands as (
+  select rid, i, sum(case when i - before <= {length} then 0 else 1 end) over (partition by rid order by i) as island
+  from (select rid, i, lag(i) over (partition by rid order by i) as before from repeated)
+), spans as (select rid, min(i) as a, max(i) + {length} as z from islands group by rid, island),
+sums as (
+  select rid, sum(z - a) as removed, count(*) as n, list(a order by a) as starts, list(z order by a) as ends from spans group by rid
+)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(n, 0)::bigint as n_spans,
+  sha256(unhex(case when n is null then h else
+    array_to_string(list_transform(range(1, n + 2), lambda k: substr(h, 2 * (case when k = 1 then 0 else ends[k - 1] end) + 1,
+      2 * ((case when k > n then length(h) // 2 else starts[k] end) - (case when k = 1 then 0 else ends[k - 1] end)))), '') end)) as kept_sha256
+from docs left join sums using (rid)
+"""
