@@ -100,5 +100,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with their columns."""
     bad = overlaps(docs, benchmark).select("row_key").distinct()
-    key = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
-    return docs.join(bad.withColumnRenamed("row_key", "_bad_row"), key == F.col("_bad_row"), "left_anti").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias("row_key"))
+    return rows.join(bad, "row_key", "left_anti").select("row.*")

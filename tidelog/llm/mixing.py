@@ -67,7 +67,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     docs = docs.drop(*ADDED)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rest = F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith("map")])
-    rows = docs.withColumns({"_mix_key": key, "_mix_rest": rest, "_mix_part": F.substring(key, 1, 3)})
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), "doc_id", "source", key.alias("_mix_key"), rest.alias("_mix_rest"), F.substring(key, 1, 3).alias("_mix_part")
+    )
 
     # A source is ranked in up to 4,096 parts, by its part's rows and the rows of the parts before.
     parts = rows.groupBy("source", "_mix_part").agg(F.count("*").alias("n"))
@@ -107,6 +109,6 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     placed = placed.withColumns({"k": F.expr("source_block div u"), "j": F.expr("source_block % u")})
     out = placed.join(periods, "k").join(plan, ["phase", "s", "j"])
     return out.select(
-        *[out[c] for c in docs.columns], "source_block", (F.col("start") + F.col("slot")).alias("position"),
+        "row.*", "source_block", (F.col("start") + F.col("slot")).alias("position"),
         F.expr(f"_mix_rank - source_block * {block}").cast("int").alias("place"),
     )

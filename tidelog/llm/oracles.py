@@ -80,7 +80,7 @@ model as (
 ), cands as (
   select rid, c, unnest(range(1, length(c.value))) as i
   from (select rid, base, unnest(cand) as c from found)
-  where regexp_matches(c.value, '[A-Za-z]') and len(list_filter(base, lambda b: b.start < c."end" and c.start < b."end")) = 0
+  where regexp_matches(c.value, '[A-Za-z]') and len(list_distinct(string_split(c.value, ''))) >= {S.MIN_DISTINCT} and len(list_filter(base, lambda b: b.start < c."end" and c.start < b."end")) = 0
 ), scored as (
   select rid, c from cands join model on pair = c.value[i] || c.value[i + 1]
   group by rid, c having sum(llr) >= {round(1000 * S.MIN_RATIO)} * (length(any_value(c.value)) - 1)

@@ -225,9 +225,9 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", **options) -> DataFrame:
     """The rows of ``docs`` that ``score`` keeps, with their columns."""
     bad = score(docs, labels, host, path, **options).where("not keep").select("row_key.*").distinct()
-    bad = bad.select(*[F.col(c).alias(f"_bad_{c}") for c in bad.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", host, path, "text")
     same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_doc_id")) & F.col(host).cast("string").eqNullSafe(F.col("_bad_host"))
-        & F.col(path).cast("string").eqNullSafe(F.col("_bad_path")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_bad_text_hash"))
+        rows["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & rows[host].cast("string").eqNullSafe(bad["host"])
+        & rows[path].cast("string").eqNullSafe(bad["path"]) & (F.xxhash64(rows["text"].cast("string")) == bad["text_hash"])
     )
-    return docs.join(bad, same, "left_anti").select(docs.columns)
+    return rows.join(bad, same, "left_anti").select("row.*")

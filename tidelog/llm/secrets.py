@@ -41,8 +41,10 @@ KINDS = [
 MARKOV = "markov"
 NAMES = [k[0] for k in KINDS] + [MARKOV]
 CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
-ORDINARY = "[A-Za-z][a-z]{7,}"
-MIN_RATIO = 0.5
+ORDINARY = "[A-Za-z]{8,}"
+MIN_RATIO = 0.1
+#: Different characters a candidate has to have; a repeated pattern is no key.
+MIN_DISTINCT = 8
 MASK = "[secret]"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -75,6 +77,11 @@ def base_spans(text: str = "text") -> Column:
     return F.expr(f"array_sort(concat({', '.join(parts)}))")
 
 
+def _pieces(word: str) -> str:
+    """A word of two characters or more in pieces of at most 64 that share their ends: offsets in a long one are slow."""
+    return f"transform(sequence(0, (length({word}) - 2) div 63), k -> substring({word}, 63 * k + 1, 64))"
+
+
 def transition_counts(docs: DataFrame) -> DataFrame:
     """``(pair, random, ordinary)``: transitions between neighbouring characters in both samples."""
     text = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -84,7 +91,8 @@ def transition_counts(docs: DataFrame) -> DataFrame:
     )
     samples = rows.select(F.explode("ordinary").alias("w"), F.lit(0).alias("r"))
     samples = samples.unionAll(rows.select(F.explode("random").alias("w"), F.lit(1).alias("r")))
-    pairs = samples.where("length(w) > 1").select("r", "w", F.explode(F.expr("sequence(1, length(w) - 1)")).alias("i"))
+    pieces = samples.where("length(w) > 1").select("r", F.explode(F.expr(_pieces("w"))).alias("w"))
+    pairs = pieces.select("r", "w", F.explode(F.expr("sequence(1, length(w) - 1)")).alias("i"))
     pairs = pairs.select("r", F.expr("substring(w, i, 2)").alias("pair"))
     return pairs.groupBy("pair").agg(F.count_if(F.col("r") == 1).alias("random"), F.count_if(F.col("r") == 0).alias("ordinary"))
 
@@ -115,8 +123,8 @@ def find_secrets(docs: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     """``docs`` with ``base`` and ``spans``, arrays of ``(start, kind, end, value)`` by start and kind.
 
     Offsets are code points, the end exclusive; ``kind`` indexes ``NAMES``.  A
-    candidate is a run of 16 or more key characters with a letter in it, outside
-    all base spans; it counts when its mean log-likelihood ratio is at least
+    candidate is a run of 16 or more key characters, ``MIN_DISTINCT`` different
+    ones and a letter among them, outside all base spans; it counts when its mean log-likelihood ratio is at least
     ``min_ratio``.  A null text counts as empty.  Rows are never joined, so null
     or repeated ids do no harm; columns named like the added ones are replaced.
     """
@@ -125,9 +133,9 @@ def find_secrets(docs: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     df = df.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     df = df.withColumn("base", base_spans("_text")).withColumn("_found", F.expr(_matches("_text", CANDIDATE, len(KINDS))))
     df = df.withColumn("_llr", F.split(F.lit(model), ",").cast("array<int>"))
-    score = """aggregate(sequence(1, length(s.value) - 1), 0L, (total, i) ->
-        total + _llr[128 * ascii(substring(s.value, i, 1)) + ascii(substring(s.value, i + 1, 1))])"""
-    added = f"""filter(_found, s -> s.value rlike '[A-Za-z]'
+    score = f"""aggregate({_pieces("s.value")}, 0L, (total, w) -> total + aggregate(sequence(1, length(w) - 1), 0L, (t, i) ->
+        t + _llr[128 * ascii(substring(w, i, 1)) + ascii(substring(w, i + 1, 1))]))"""
+    added = f"""filter(_found, s -> s.value rlike '[A-Za-z]' and size(array_distinct(split(s.value, ''))) >= {MIN_DISTINCT}
         and not exists(base, b -> b.start < s.end and s.start < b.end)
         and {score} >= {round(1000 * min_ratio)} * (length(s.value) - 1))"""
     return df.withColumn("spans", F.expr(f"array_sort(concat(base, {added}))")).drop("_text", "_found", "_llr")
@@ -144,12 +152,13 @@ def redact(docs: DataFrame, mask: str = MASK, min_ratio: float = MIN_RATIO) -> D
 
     Overlapping spans are masked once.  Rows without secrets stay as they are.
     """
-    found = find_secrets(docs, min_ratio)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    found = find_secrets(whole, min_ratio)
     parts = f"""aggregate(spans, named_struct('at', 0, 'out', cast(array() as array<string>)), (acc, s) ->
         if(s.start < acc.at, named_struct('at', greatest(acc.at, s.end), 'out', acc.out),
            named_struct('at', s.end, 'out', concat(acc.out, array(substring(text, acc.at + 1, s.start - acc.at), '{mask}')))),
         acc -> concat(array_join(acc.out, ''), substring(text, acc.at + 1)))"""
     masked = found.withColumn("text", F.expr(f"case when size(spans) > 0 then {parts} else text end"))
-    if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.expr("case when size(spans) > 0 then cast(length(text) as bigint) else n_chars end"))
-    return masked.select(docs.columns)
+    n_chars = F.expr("case when size(spans) > 0 then cast(length(text) as bigint) else row.n_chars end") if "n_chars" in docs.columns else None
+    new = {"text": F.col("text"), "n_chars": n_chars}
+    return masked.select([new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
