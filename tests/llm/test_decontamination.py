@@ -1,3 +1,4 @@
+import collections
 import itertools
 import re
 
@@ -27,13 +28,17 @@ def brute(texts, items):
     out = {}
     for k, text in enumerate(texts):
         d = WORD.findall((text or "").lower())
+        places = {}
+        for at, w in enumerate(d):
+            places.setdefault(w, []).append(at)
         for key, item in items:
             q = WORD.findall((item or "").lower())
             if len(q) < D.MIN_WORDS:
                 continue
             win = min(D.WINDOW, len(q))
             best = 0
-            for off in range(-len(q), len(d)):
+            agree = collections.Counter(at - p for p, w in enumerate(q) for at in places.get(w, []))
+            for off in (o for o, n in agree.items() if n >= win - D.allowed(win)):
                 same = [0 <= p + off < len(d) and d[p + off] == w for p, w in enumerate(q)]
                 best = max([best, *(sum(same[s : s + win]) for s in range(len(q) - win + 1))])
             if best >= win - D.allowed(win):
