@@ -115,33 +115,6 @@ def test_interval_trigger(spark, tmp_path):
     assert log_store.read_documents(spark, root).count() == 4
 
 
-def test_new_ips_across_batches(spark, tmp_path):
-    path = str(tmp_path / "raw")
-    lay(spark, path, [([event(ip="1.1.1.1"), event(ip="2.2.2.2")], "2026-08-28T10:00:00"), ([event(ip="1.1.1.1", message="x")], "2026-08-28T12:00:00"),
-                      ([event(ip="1.1.1.1")], "2026-08-29T12:00:00")])
-    got = []
-    raw = raw_events.stream_raw_files(spark, path, 1)
-    ST.drain(
-        ST.stream_new_ips(raw).writeStream.foreachBatch(lambda df, _: got.extend((str(r["day"]), r["ip"]) for r in df.collect()))
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    )
-    assert sorted(got) == [("2026-08-28", "1.1.1.1"), ("2026-08-28", "2.2.2.2"), ("2026-08-29", "1.1.1.1")]
-
-
-def test_error_sessions_close_after_five_quiet_minutes(spark, tmp_path):
-    path = str(tmp_path / "raw")
-    start = at("2026-08-28T10:00:00")
-    times = [(start + dt.timedelta(seconds=s)).strftime("%Y-%m-%dT%H:%M:%S") for s in (0, 300, 700, 7200, 20000)]
-    lay(spark, path, [([event(level="ERROR", message=t)], t) for t in times])
-    got = []
-    ST.drain(
-        ST.stream_error_sessions(raw_events.stream_raw_files(spark, path, 1)).writeStream.outputMode("append")
-        .foreachBatch(lambda df, _: got.extend(r["errors"] for r in df.collect()))
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    )
-    assert sorted(got) == [1, 1, 2]
-
-
 def test_idle_counter_from_streamed_parts(spark, root):
     for i, second in enumerate((0, 200, 501, 600)):
         when = (at("2026-08-28T10:00:00") + dt.timedelta(seconds=second)).strftime("%Y-%m-%dT%H:%M:%S")

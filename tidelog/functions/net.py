@@ -22,7 +22,7 @@ def _v6_forms() -> list[str]:
     return forms
 
 
-IP_PATTERN = "^(?:" + "|".join([_V4, *_v6_forms()]) + ")$"
+IP_PATTERN = r"\A(?:" + "|".join([_V4, *_v6_forms()]) + r")\z"
 
 
 def valid_ip(col: Column) -> Column:

@@ -9,16 +9,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Formats and patterns (fixed values).
-RFC3339 = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d([.,]\d+)?(Z|[+-]\d\d:\d\d)$"
+_RFC3339 = r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d([.,]\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)"
+RFC3339 = rf"\A{_RFC3339}\z"
 INDEX_PREFIX = "logs-v1-"
-INDEX_NAME = r"^logs-v1-(\d{4})\.(\d{2})\.(\d{2})$"
+INDEX_NAME = r"\Alogs-v1-(\d{4})\.(\d{2})\.(\d{2})\z"
 INDEX_DAY_FORMAT = "yyyy.MM.dd"
 
 
 def parse_rfc3339(col: Column) -> Column:
-    """Strict RFC 3339 with a mandatory offset; NULL for anything else."""
-    parsed = F.replace(col, F.lit(","), F.lit(".")).try_cast("timestamp")
-    return F.when(col.rlike(RFC3339), parsed)
+    """Strict RFC 3339 with a mandatory offset; NULL for anything else.
+
+    Offsets up to 23:59 count; a cast knows those up to 18:00 only, so a wider one
+    is taken off the local time here.
+    """
+    text = F.replace(col, F.lit(","), F.lit("."))
+    wide = col.rlike(r"[+-](1[89]|2\d):\d\d\z")
+    local = F.regexp_replace(text, r"[+-]\d\d:\d\d\z", "Z").try_cast("timestamp")
+    sign = F.when(F.substring(col, -6, 1) == "-", -1).otherwise(1)
+    minutes = 60 * F.substring(col, -5, 2).try_cast("int") + F.substring(col, -2, 2).try_cast("int")
+    shifted = F.timestamp_micros(F.unix_micros(local) - (sign * minutes).cast("long") * 60_000_000)
+    return F.when(col.rlike(RFC3339), F.when(wide, shifted).otherwise(text.try_cast("timestamp")))
 
 
 def format_rfc3339(col: Column) -> Column:
@@ -60,7 +70,7 @@ def as_timestamp(moment: Column | str | dt.datetime) -> Column:
 
 def parse_moment(text: str) -> dt.datetime:
     """An RFC 3339 request argument as an aware datetime; ValueError if it is not one."""
-    if not re.match(RFC3339, text):
+    if not re.fullmatch(_RFC3339, text):
         raise ValueError(f"not an RFC 3339 time: {text!r}")
     head, frac, zone = re.match(r"^(.{19})([.,]\d+)?(.+)$", text).groups()
     frac = ((frac or ".0")[1:] + "000000")[:6]

@@ -46,10 +46,14 @@ def errors_by_service(messages: DataFrame) -> DataFrame:
 
 
 def counters(messages: DataFrame) -> DataFrame:
-    """All counters as narrow rows ``(tenant_id, metric, dim, value)``.
+    """All counters as narrow rows ``(tenant_id, metric, dim, value)``, error board included."""
+    return service_counters(messages).unionByName(error_board(messages))
 
-    One pass groups by tenant, service and level; the unpivot then runs on that
-    small result.  Error messages are a second, separate group.
+
+def service_counters(messages: DataFrame) -> DataFrame:
+    """Counters per tenant, service and level.
+
+    One pass groups by all three; the unpivot then runs on that small result.
     """
     base = messages.groupBy("tenant_id", "service", "level").agg(_count().alias("n"))
 
@@ -64,17 +68,20 @@ def counters(messages: DataFrame) -> DataFrame:
             F.when(is_error(F.col("level")), row("errors_service", F.col("service"))),
         )
     )
-    per_key = (
+    return (
         base.select("tenant_id", "n", F.inline(kinds))
         .groupBy("tenant_id", "metric", "dim")
         .agg(F.sum("n").alias("value"))
     )
-    board = (
+
+
+def error_board(messages: DataFrame) -> DataFrame:
+    """Counts per error message; by far the largest of the counters, so a table of its own."""
+    return (
         messages.where(is_error(F.col("level")))
         .groupBy("tenant_id", F.lit("leaderboard_errors").alias("metric"), F.col("message").alias("dim"))
         .agg(_count().alias("value"))
     )
-    return per_key.unionByName(board)
 
 
 def merge_counters(parts: DataFrame) -> DataFrame:

@@ -1,40 +1,58 @@
 """Registered queries: counters, boards, windows and sets."""
 
+from pyspark.sql import functions as F
+
+from tidelog.operators import readers as RE
 from tidelog.operators import rollups as RU
 from tidelog.operators import windows as WI
 from tidelog.plans import zones
 from tidelog.plans.derive_sql import CLASSIFIED, DOCUMENTS, rfc3339, with_tables
 from tidelog.plans.registry import day, query, stamp
-from tidelog.sources import log_store
+from tidelog.sources import log_store, retention_runs
+
+
+
+def _counters(spark, sf):
+    return log_store.read_service_counters(spark, zones.store_root(spark, sf))
+
+
+def _board(spark, sf):
+    return log_store.read_error_board(spark, zones.store_root(spark, sf))
+
+
+def _idle(spark, sf, root=None):
+    return WI.errors_idle_5m(log_store.read_ticks(spark, root or zones.store_root(spark, sf)), zones.clock(spark, sf))
+
 
 _ERR = "level IN ('ERROR', 'FATAL')"
 
 
 @query("logs_total", with_tables(CLASSIFIED, "SELECT tenant_id, count(*) AS logs FROM accepted GROUP BY ALL"))
 def logs_total(spark, sf):
-    return RU.logs_total(zones.messages(spark, sf))
+    return RE.logs_total(_counters(spark, sf))
 
 
 @query("logs_by_service", with_tables(CLASSIFIED, "SELECT tenant_id, service, count(*) AS logs FROM accepted GROUP BY ALL"))
 def logs_by_service(spark, sf):
-    return RU.logs_by_service(zones.messages(spark, sf))
+    return RE.logs_by_service(_counters(spark, sf))
 
 
 @query("logs_by_level", with_tables(CLASSIFIED, "SELECT tenant_id, lower(level) AS level, count(*) AS logs FROM accepted GROUP BY ALL"))
 def logs_by_level(spark, sf):
-    return RU.logs_by_level(zones.messages(spark, sf))
+    return RE.logs_by_level(_counters(spark, sf))
 
 
 @query("errors_by_service", with_tables(CLASSIFIED, f"""
 SELECT tenant_id, service, count(*) AS errors FROM accepted WHERE {_ERR} GROUP BY ALL"""))
 def errors_by_service(spark, sf):
-    return RU.errors_by_service(zones.messages(spark, sf))
+    return RE.errors_by_service(_counters(spark, sf))
 
 
 @query("unique_ips_daily", with_tables(CLASSIFIED, """
 SELECT tenant_id, strftime(ingested_at, '%Y-%m-%d') AS day, count(DISTINCT ip) AS unique_ips FROM accepted WHERE ip IS NOT NULL GROUP BY ALL"""))
 def unique_ips_daily(spark, sf):
-    return RU.unique_ips_daily(zones.messages(spark, sf)).withColumn("day", day("day"))
+    members = log_store.read_ip_members(spark, zones.store_root(spark, sf))
+    return RE.unique_ips_daily(members).withColumn("day", day("day"))
 
 
 @query("unique_ips_members", with_tables(CLASSIFIED, f"""
@@ -77,13 +95,13 @@ idle AS (
 
 @query("errors_idle_5m", with_tables(DOCUMENTS + ISLANDS, "SELECT tenant_id, service, errors FROM idle"))
 def errors_idle_5m(spark, sf):
-    return WI.errors_idle_5m(WI.error_ticks(zones.messages(spark, sf)), zones.clock(spark, sf))
+    return _idle(spark, sf)
 
 
 @query("error_islands", with_tables(DOCUMENTS + ISLANDS, f"""
 SELECT tenant_id, service, {rfc3339('first_ts')} AS first_ts, {rfc3339('last_ts')} AS last_ts, errors FROM islands"""))
 def error_islands(spark, sf):
-    islands = WI.error_islands(WI.error_ticks(zones.messages(spark, sf)))
+    islands = WI.error_islands(log_store.read_ticks(spark, zones.store_root(spark, sf)))
     return islands.select("tenant_id", "service", stamp("first_ts"), stamp("last_ts"), "errors")
 
 
@@ -127,13 +145,13 @@ def read_recent_errors(spark, sf):
 @query("top_services", with_tables(CLASSIFIED, """
 SELECT service, count(*) AS count FROM accepted WHERE tenant_id = 'default' GROUP BY ALL ORDER BY count DESC, service DESC LIMIT 5"""))
 def top_services(spark, sf):
-    return RU.top_services(zones.messages(spark, sf), 5)
+    return RE.top_services(_counters(spark, sf), 5)
 
 
 @query("top_errors", with_tables(CLASSIFIED, f"""
 SELECT message, count(*) AS count FROM accepted WHERE tenant_id = 'default' AND {_ERR} GROUP BY ALL ORDER BY count DESC, message DESC LIMIT 10"""))
 def top_errors(spark, sf):
-    return RU.top_errors(zones.messages(spark, sf))
+    return RE.top_errors(_board(spark, sf))
 
 
 @query("top_n_per_tenant", with_tables(CLASSIFIED, f"""
@@ -142,17 +160,35 @@ SELECT tenant_id, board, member, count, rank FROM (
     SELECT tenant_id, 'services' AS board, service AS member, count(*) AS count FROM accepted GROUP BY ALL
     UNION ALL SELECT tenant_id, 'errors', message, count(*) FROM accepted WHERE {_ERR} GROUP BY ALL)) WHERE rank <= 10"""))
 def top_n_per_tenant(spark, sf):
-    return RU.top_n_per_tenant(zones.messages(spark, sf))
+    return RE.top_n_per_tenant(_counters(spark, sf), _board(spark, sf))
 
 
-@query("live_metrics", with_tables(DOCUMENTS + ISLANDS, f"""
+_LIVE = with_tables(DOCUMENTS + ISLANDS, f"""
 SELECT a.service, (SELECT count(*) FROM accepted WHERE tenant_id = 'default') AS tenant_total_logs, count(*) AS total_logs,
   count(*) FILTER ({_ERR}) AS total_errors, coalesce(any_value(i.errors), 0) AS errors_last_5m
-FROM accepted a LEFT JOIN idle i ON i.tenant_id = 'default' AND i.service = a.service WHERE a.tenant_id = 'default' GROUP BY a.service"""))
+FROM accepted a LEFT JOIN idle i ON i.tenant_id = 'default' AND i.service = a.service WHERE a.tenant_id = 'default' GROUP BY a.service""")
+
+
+@query("live_metrics", _LIVE)
 def live_metrics(spark, sf):
-    messages = zones.messages(spark, sf)
-    idle = WI.errors_idle_5m(WI.error_ticks(messages), zones.clock(spark, sf))
-    return RU.live_metrics(messages, idle)
+    return RE.live_metrics(_counters(spark, sf), _idle(spark, sf))
+
+
+# Counters count messages: neither merging a store nor dropping days changes them.
+@query("live_metrics_after_retention", _LIVE)
+def live_metrics_after_retention(spark, sf):
+    root = zones.scratch(spark, sf, "live-after-retention")
+    zones.load_store(spark, sf, root)
+    retention_runs.delete_before(spark, root, "2024-01-20T00:00:00Z", "2024-02-01T00:00:00Z")
+    return RE.live_metrics(log_store.read_service_counters(spark, root), _idle(spark, sf, root))
+
+
+@query("live_metrics_after_compaction", _LIVE)
+def live_metrics_after_compaction(spark, sf):
+    root, target = zones.streamed_root(spark, sf), zones.scratch(spark, sf, "live-after-compaction")
+    last = log_store.read_messages(spark, root).agg(F.max("batch_id")).first()[0]
+    log_store.compact_store(spark, root, target, last)
+    return RE.live_metrics(log_store.read_service_counters(spark, target), _idle(spark, sf, target))
 
 
 @query("requested_services_zero_fill", with_tables(DOCUMENTS + ISLANDS, f"""
@@ -162,9 +198,7 @@ SELECT s AS service, (SELECT count(*) FROM accepted WHERE tenant_id = 'tenant-a'
   coalesce((SELECT errors FROM idle WHERE tenant_id = 'tenant-a' AND service = s), 0) AS errors_last_5m
 FROM (SELECT unnest(['svc-1', 'svc-4', 'no-such-service']) AS s)"""))
 def requested_services_zero_fill(spark, sf):
-    messages = zones.messages(spark, sf)
-    idle = WI.errors_idle_5m(WI.error_ticks(messages), zones.clock(spark, sf))
-    return RU.live_metrics(messages, idle, " svc-1, svc-4,, no-such-service", tenant_id="tenant-a")
+    return RE.live_metrics(_counters(spark, sf), _idle(spark, sf), " svc-1, svc-4,, no-such-service", tenant_id="tenant-a")
 
 
 @query("rate_limit_report", with_tables(CLASSIFIED, f"""

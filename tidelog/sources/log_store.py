@@ -3,7 +3,8 @@
 Layout under one root::
 
     docs/event_date=2024-01-01/batch_id=7/   accepted messages
-    counters/batch_id=7/                     partial counters and error board
+    counters/batch_id=7/                     partial counters
+    board/batch_id=7/                        partial error board
     ips/batch_id=7/                          members of the daily address sets
     ticks/batch_id=7/                        errors per five-minute bucket
     recent/batch_id=7/                       newest error payloads of the batch
@@ -28,7 +29,7 @@ from tidelog.operators import ingest, rollups, windows
 from tidelog.operators.windows import keep_last_document
 from tidelog.schemas import DLQ, DOCUMENT
 
-DOCS, COUNTERS, IPS, TICKS, RECENT, DEAD = "docs", "counters", "ips", "ticks", "recent", "dlq"
+DOCS, COUNTERS, BOARD, IPS, TICKS, RECENT, DEAD = "docs", "counters", "board", "ips", "ticks", "recent", "dlq"
 
 _BATCH = T.StructField("batch_id", T.LongType())
 
@@ -75,7 +76,8 @@ def _metric_parts(accepted: DataFrame) -> dict[str, DataFrame]:
     """Partial aggregates of one batch; all are combined on the map side."""
     newest = windows.recent_errors(accepted, payload="value").drop("position")
     return {
-        COUNTERS: rollups.counters(accepted),
+        COUNTERS: rollups.service_counters(accepted),
+        BOARD: rollups.error_board(accepted),
         IPS: rollups.unique_ips(accepted),
         TICKS: windows.error_ticks(accepted),
         RECENT: newest.withColumnRenamed("value", "payload"),
@@ -126,7 +128,7 @@ def _write_batch(rows: DataFrame, root: str, batch_id: int, processor_id: str |
 
 def read_messages(spark: SparkSession, root: str) -> DataFrame:
     """Every accepted message as written, repeated ids included."""
-    return spark.read.schema(DOCS_SCHEMA).parquet(f"{root}/{DOCS}")
+    return _read_parts(spark, root, DOCS, DOCS_SCHEMA)
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -135,13 +137,30 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _read_parts(spark: SparkSession, root: str, table: str, schema) -> DataFrame:
+    """The parts of a table; one that was never written is empty."""
+    if not _exists(spark, f"{root}/{table}"):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{root}/{table}")
 
 
-def read_counters(spark: SparkSession, root: str) -> DataFrame:
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def read_service_counters(spark: SparkSession, root: str) -> DataFrame:
+    """Merged counters without the error board: a few rows per service."""
     return rollups.merge_counters(_read_parts(spark, root, COUNTERS, COUNTERS_SCHEMA))
 
 
+def read_error_board(spark: SparkSession, root: str) -> DataFrame:
+    return rollups.merge_counters(_read_parts(spark, root, BOARD, COUNTERS_SCHEMA))
+
+
+def read_counters(spark: SparkSession, root: str) -> DataFrame:
+    return read_service_counters(spark, root).unionByName(read_error_board(spark, root))
+
+
 def read_ip_members(spark: SparkSession, root: str) -> DataFrame:
     return rollups.merge_ips(_read_parts(spark, root, IPS, IPS_SCHEMA))
 
@@ -161,8 +180,12 @@ def read_dlq(spark: SparkSession, root: str) -> DataFrame:
 
 def store_files(spark: SparkSession, root: str) -> DataFrame:
     """One row per data file with day, size and time; contents are not read."""
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{root}/{DOCS}")
-    return listing.select(F.col("event_date").cast("date").alias("event_date"), "path", "length", "modificationTime")
+    if not _exists(spark, f"{root}/{DOCS}"):
+        return spark.createDataFrame([], "event_date date, path string, length long, modificationTime timestamp")
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{root}/{DOCS}")
+    # From the path, because an emptied store has no partitions to find the day in.
+    named = F.regexp_extract("path", r"/event_date=([0-9-]+)/", 1).try_cast("date")
+    return listing.select(named.alias("event_date"), "path", "length", "modificationTime")
 
 
 def board_services(counters: DataFrame, tenant_id: str, n: int) -> DataFrame:
@@ -198,6 +221,7 @@ def compact_store(spark: SparkSession, root: str, target: str, last_batch: int)
     write_documents(keep_last_document(read_messages(spark, root).where(done)), target, last_batch)
     merged = {
         COUNTERS: rollups.merge_counters(_read_parts(spark, root, COUNTERS, COUNTERS_SCHEMA).where(done)),
+        BOARD: rollups.merge_counters(_read_parts(spark, root, BOARD, COUNTERS_SCHEMA).where(done)),
         IPS: rollups.merge_ips(_read_parts(spark, root, IPS, IPS_SCHEMA).where(done)),
         TICKS: windows.merge_ticks(_read_parts(spark, root, TICKS, TICKS_SCHEMA).where(done)),
         RECENT: windows.newest_payloads(

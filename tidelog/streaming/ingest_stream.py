@@ -59,24 +59,6 @@ def stream_counts(raw: DataFrame) -> DataFrame:
     return ingest.accepted(raw).groupBy("tenant_id", "service", "level").agg(F.count(F.lit(1)).alias("logs"))
 
 
-def stream_new_ips(raw: DataFrame, keep: str = "24 hours") -> DataFrame:
-    """Each address once per tenant and arrival day; state expires after ``keep``."""
-    seen = ingest.accepted(raw).where(F.col("ip").isNotNull())
-    keyed = seen.select("tenant_id", F.to_date("ingested_at").alias("day"), "ip", "ingested_at")
-    return keyed.withWatermark("ingested_at", keep).dropDuplicatesWithinWatermark(["tenant_id", "day", "ip"])
-
-
-def stream_error_sessions(raw: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Live runs of errors: a session closes after five quiet minutes.
-
-    Keyed by five-minute-gap sessions of arrival time, finalised behind the watermark.
-    """
-    errors = ingest.error_documents(ingest.accepted(raw)).withWatermark("ingested_at", late)
-    return errors.groupBy("tenant_id", "service", F.session_window("ingested_at", "5 minutes").alias("w")).agg(
-        F.count(F.lit(1)).alias("errors"), F.max("ingested_at").alias("last_ts")
-    )
-
-
 def drain(query: StreamingQuery) -> StreamingQuery:
     query.awaitTermination()
     return query
