@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helpers import event, raw_frame
 from tidelog.functions.net import valid_ip
 from tidelog.functions.times import index_day, parse_moment, parse_rfc3339
+from tidelog.operators import ingest
 from tidelog.operators import readers as RE
 from tidelog.plans import catalog
 from tidelog.sources import log_store, retention_runs
@@ -69,3 +70,10 @@ def test_metrics_do_not_read_the_documents(spark, name):
     spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "/docs" not in plan and "message:string" not in plan
+
+
+def test_the_last_of_names_that_differ_in_case_counts(spark):
+    text = '{"timestamp":"2026-08-28T10:00:00Z","level":"INFO","service":"s","message":"x","MESSAGE":"late"}'
+    other = '{"Message":"early","timestamp":"2026-08-28T10:00:00Z","level":"INFO","service":"s","message":"\\"Level\\": y"}'
+    rows = ingest.parse_log(raw_frame(spark, [text, other])).orderBy("offset").collect()
+    assert [(r.message, r.level, r.parse_error) for r in rows] == [("late", "INFO", None), ('"Level": y', "INFO", None)]

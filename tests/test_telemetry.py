@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators import telemetry as T
-from tidelog.operators.joins import checked_broadcast
 
 from helpers import at, column
 
@@ -121,9 +120,9 @@ def test_lag(spark):
     assert {r["partition"]: r["lag"] for r in T.consumer_lag(df).collect()} == {0: 3, 1: 0}
 
 
-def test_broadcast_is_checked(spark):
-    df = spark.range(100)
-    small = df.join(checked_broadcast(spark.range(5), 5), "id")
-    assert small.count() == 5 and "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()
-    big = df.join(checked_broadcast(spark.range(6), 5), "id")
-    assert big.count() == 6 and "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
+def test_null_run_is_a_run(spark):
+    rows = [(at("2026-08-28T10:00:00"), None, n, 200, False) for n in (5, 7, 9)]
+    df = spark.createDataFrame(rows, "ts timestamp, run string, latency_ns long, status_code int, failed boolean")
+    got = T.latency_summary(df, ["run"]).first()
+    assert (got["total"], got["p50"], got["p99"]) == (3, 7, 9)
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()

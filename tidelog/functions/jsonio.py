@@ -14,6 +14,8 @@ _WITH_BAD = {**_STRICT, "columnNameOfCorruptRecord": _BAD}
 _TEXTS = ", ".join(f"{name} string" for name in EVENT_FIELDS)
 _VARIANTS = ", ".join(f"{name} variant" for name in EVENT_FIELDS)
 
+# A name with a capital in it; unescaped and before a colon, so no part of a text.
+_CAPITAL_NAME = r'"[A-Za-z_]*[A-Z][A-Za-z_]*"\s*:'
 # A name followed by anything but a text.
 _NOT_A_TEXT = r'"\s*:\s*[^"\s]'
 
@@ -24,12 +26,15 @@ def _elements(text: Column, fields: str) -> Column:
 
 
 def _absent_but_named(event: Column, text: Column) -> Column:
-    """Some known field was not found although its name occurs, in whatever case."""
+    """Some known field was not found although its name occurs, in whatever case.
+
+    Also when any name has capitals: of names that differ in case only the last counts.
+    """
     folded = F.lower(text)
     found = F.lit(False)
     for name in EVENT_FIELDS:
         found = found | (event[name].isNull() & folded.contains(f'"{name}"'))
-    return found
+    return found | text.rlike(_CAPITAL_NAME)
 
 
 def _lower_keys(text: Column) -> Column:

@@ -135,7 +135,10 @@ def alert_evaluation(messages: DataFrame, rules: DataFrame, as_of: Column | str
     """
     now = F.unix_micros(as_timestamp(as_of))
     age = F.floor((now - F.unix_micros("ingested_at")) / F.lit(60_000_000))
-    errors = messages.where(is_error(F.col("level")) & (F.unix_micros("ingested_at") <= now))
+    # Nothing older than the longest window is looked at.
+    longest = rules.where("enabled").agg(F.max(F.col("window_minutes").cast("int"))).scalar()
+    since = as_timestamp(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), longest)
+    errors = messages.where(is_error(F.col("level")) & (F.col("ingested_at") <= as_timestamp(as_of)) & (F.col("ingested_at") > since))
     ages = errors.groupBy("service", age.alias("age")).agg(F.count(F.lit(1)).alias("n"))
     active = rules.where("enabled")
     asked = active.select("service", F.col("window_minutes").cast("long").alias("age")).distinct()
@@ -292,10 +295,11 @@ def reconcile_counts(submitted: DataFrame, stored: DataFrame) -> DataFrame:
     Both sides are reduced to one row per id before they meet, so an id that
     makes up a third of the data is a single row in the join.
     """
-    sent = submitted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sent"))
-    kept = stored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
+    # 16 bytes instead of 32 hex digits through the shuffle.
+    sent = submitted.groupBy(F.unhex("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("sent"))
+    kept = stored.groupBy(F.unhex("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("kept"))
     # The counts are partitioned by id already, so the join shuffles nothing.
-    both = sent.join(kept, "doc_id", "full_outer")
+    both = sent.join(kept, "id", "full_outer")
     return both.agg(
         F.coalesce(F.sum("sent"), F.lit(0)).alias("submitted"),
         F.coalesce(F.sum("kept"), F.lit(0)).alias("stored"),

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.joins import checked_broadcast
 
 # Histogram bounds by metric, in the unit of the metric (fixed values).
 HTTP_SECONDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
@@ -63,8 +62,10 @@ def nearest_rank(samples: DataFrame, by: list[str], value: str, percents: list[i
     )
     hit = ranges.select(*by, "_range", start.alias("_start"), wanted.alias("_wanted")).where(F.size("_wanted") > 0)
 
-    # One row per group and percent at most.
-    inside = values.join(checked_broadcast(hit), [*by, "_range"])
+    # One row per group and percent at most; adaptive execution measures it.  A null is a group like any other.
+    marked = hit.select(*[F.col(c).alias(f"_hit_{c}") for c in [*by, "_range"]], "_start", "_wanted")
+    same = [F.col(c).eqNullSafe(F.col(f"_hit_{c}")) for c in [*by, "_range"]]
+    inside = values.join(marked, same)
     counted = inside.groupBy(*by, "_range", "_start", "_wanted", "_v").agg(F.count(F.lit(1)).alias("_n"))
     in_order = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_end", F.col("_start") + F.sum("_n").over(in_order))
@@ -101,7 +102,9 @@ def latency_summary(samples: DataFrame, by: list[str], approximate: bool = False
         )
     else:
         marks = nearest_rank(samples, by, "latency_ns", SUMMARY_PERCENTS)
-    return totals.join(marks, by, "left")
+    marks = marks.withColumnsRenamed({c: f"_mark_{c}" for c in by})
+    joined = totals.join(marks, [F.col(c).eqNullSafe(F.col(f"_mark_{c}")) for c in by], "left")
+    return joined.drop(*[f"_mark_{c}" for c in by])
 
 
 def status_code_counts(samples: DataFrame, by: list[str]) -> DataFrame:

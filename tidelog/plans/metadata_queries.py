@@ -44,6 +44,23 @@ def src_metadata(spark, sf):
     return source.read_metadata_files(spark, root, "tenants").select("id", "name", "slug", "status", stamp("created_at"))
 
 
+@query("src_metadata_relations", with_tables(",".join([TENANTS, SERVICES, API_KEYS, POLICIES]), """
+SELECT 'tenants' AS "table", count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM tenants
+UNION ALL SELECT 'services', count(*), min(id), max(id) FROM services
+UNION ALL SELECT 'api_keys', count(*), min(id), max(id) FROM api_keys
+UNION ALL SELECT 'retention_policies', count(*), min(id), max(id) FROM policies"""))
+def src_metadata_relations(spark, sf):
+    root, out = zones.scratch(spark, sf, "metadata-relations"), None
+    made = {"tenants": derive.tenants, "services": derive.services, "api_keys": derive.api_keys, "retention_policies": derive.policies}
+    for name, make in made.items():
+        source.write_metadata_files(make(spark, sf), root, name)
+        read = source.read_metadata_files(spark, root, name)
+        row = read.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+        row = row.select(F.lit(name).alias("table"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("list_tenants", with_tables(TENANTS, f"SELECT id, name, slug, status, {rfc3339('created_at')} AS created_at FROM tenants"))
 def list_tenants(spark, sf):
     return M.list_tenants(derive.tenants(spark, sf)).select("id", "name", "slug", "status", stamp("created_at"))
@@ -247,13 +264,13 @@ def apply_metadata_changes(spark, sf):
 
 
 @query("reconcile_counts", with_tables(DOCUMENTS, """
-SELECT (SELECT count(*) FROM classified WHERE parse_error IS NULL) AS submitted, (SELECT count(*) FROM accepted) AS stored,
+SELECT (SELECT count(*) FROM classified WHERE parse_error IS NULL) AS submitted, (SELECT count(DISTINCT doc_id) FROM accepted) AS stored,
   (SELECT count(DISTINCT doc_id) FROM classified WHERE parse_error IS NULL AND doc_id NOT IN (SELECT doc_id FROM accepted)) AS missing,
-  (SELECT count(*) FROM (SELECT doc_id FROM accepted GROUP BY doc_id HAVING count(*) > 1)) AS duplicates, 0 AS unexpected"""))
+  0 AS duplicates, 0 AS unexpected"""))
 def reconcile_counts(spark, sf):
     parsed = I.parse_log(zones.raw_zone(spark, sf)).where("parse_error IS NULL")
     submitted = I.to_document(parsed, F.col("arrived_at"))
-    return M.reconcile_counts(submitted, zones.messages(spark, sf))
+    return M.reconcile_counts(submitted, zones.documents(spark, sf))
 
 
 @query("missing_documents", with_tables(CLASSIFIED, """

@@ -26,6 +26,7 @@ def _docs(df):
     return df.select("doc_id", "tenant_id", "service", "level", "ip", stamp("ingested_at"), day("event_date"))
 
 
+@query("stream_pipeline", _DOCS_SQL)
 @query("stream_ingest", _DOCS_SQL)
 def stream_ingest(spark, sf):
     return _docs(log_store.read_documents(spark, zones.streamed_root(spark, sf)))
