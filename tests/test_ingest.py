@@ -169,6 +169,14 @@ def test_replay_after_a_fix(spark):
     assert again.where("reject_reason IS NULL").count() == 1
 
 
+def test_replay_keeps_the_envelope(spark):
+    raw = raw_frame(spark, [event() + " tail", event(message="b") + " tail"], ["2026-08-28T10:00:01.5", "2026-08-28T10:00:02.25"])
+    _, rejects = I.split_valid_invalid(raw)
+    again = I.dlq_replay(I.dlq_envelope(rejects), F.regexp_replace("original_message", " tail$", "")).orderBy("offset").collect()
+    was = raw.orderBy("offset").collect()
+    assert [(r["partition"], r["offset"], r["ingested_at"]) for r in again] == [(r["partition"], r["offset"], r["timestamp"]) for r in was]
+
+
 def test_published_records(spark):
     rows = I.parse_log(raw_frame(spark, [event(trace_id="t-1", ip="1.1.1.1"), event()])).orderBy("offset")
     records = I.publish_records(rows).collect()

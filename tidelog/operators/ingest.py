@@ -236,7 +236,7 @@ def dlq_envelope(
     failed_at: Column | str | dt.datetime | None = None,
     processor_id: str | None = None,
 ) -> DataFrame:
-    """Reject rows in dead-letter form; the original key is kept."""
+    """Reject rows in dead-letter form; key, place in the stream and arrival are kept for a replay."""
     moment = F.col("ingested_at") if failed_at is None else as_timestamp(failed_at)
     return rejects.select(
         "key",
@@ -246,6 +246,9 @@ def dlq_envelope(
         F.lit(processor_id or DEFAULT_PROCESSOR).alias("processor_id"),
         F.col("topic"),
         F.col("reject_reason").alias("reason"),
+        "partition",
+        "offset",
+        F.col("ingested_at").alias("arrived_at"),
     )
 
 
@@ -259,15 +262,19 @@ def dlq_inspect(dlq: DataFrame) -> DataFrame:
 
 
 def dlq_replay(dlq: DataFrame, repair: Column | None = None) -> DataFrame:
-    """Feed originals back through ``classify``, optionally repaired first."""
+    """Feed originals back through ``classify``, optionally repaired first.
+
+    They keep their partition, offset and arrival, so what is last and what is
+    recent comes out as if they had been accepted at once.
+    """
     original = F.col("original_message") if repair is None else repair
     raw = dlq.select(
         "key",
         original.alias("value"),
         F.lit(TOPIC).alias("topic"),
-        F.lit(0).alias("partition"),
-        F.lit(0).cast("long").alias("offset"),
-        F.col("failed_at").try_cast("timestamp").alias("timestamp"),
+        "partition",
+        "offset",
+        F.col("arrived_at").alias("timestamp"),
     )
     return classify(raw)
 

@@ -115,7 +115,7 @@ classified AS (
 accepted AS (SELECT * FROM classified WHERE reject_reason IS NULL),
 dlq AS (
   SELECT key, value AS original_message, error, strftime(ingested_at, '%Y-%m-%dT%H:%M:%SZ') AS failed_at,
-    'processor-1' AS processor_id, topic, reject_reason AS reason
+    'processor-1' AS processor_id, topic, reject_reason AS reason, "partition", "offset", ingested_at AS arrived_at
   FROM classified WHERE reject_reason IS NOT NULL
 )"""
 )

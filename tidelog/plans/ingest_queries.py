@@ -59,9 +59,12 @@ def src_synthetic_logs(spark, sf):
     return synthetic.synthetic_logs(derive.table(spark, sf, "events"), synthetic.SyntheticConfig(), "event_id", "ts")
 
 
-@query("sink_dlq", with_tables(CLASSIFIED, "SELECT * FROM dlq"))
+DLQ_SQL = with_tables(CLASSIFIED, f"SELECT * REPLACE ({rfc3339('arrived_at')} AS arrived_at) FROM dlq")
+
+
+@query("sink_dlq", DLQ_SQL)
 def sink_dlq(spark, sf):
-    return log_store.read_dlq(spark, zones.store_root(spark, sf))
+    return log_store.read_dlq(spark, zones.store_root(spark, sf)).withColumn("arrived_at", stamp("arrived_at"))
 
 
 COUNTERS_SQL = """
@@ -271,7 +274,7 @@ def is_error_(spark, sf):
 SELECT key, original_message, error, failed_at, processor_id FROM dlq WHERE reason = 'parse_error'"""))
 def dlq_envelope(spark, sf):
     rejects = I.classify(zones.raw_zone(spark, sf)).where(F.col("reject_reason") == I.REASON_PARSE)
-    return I.dlq_envelope(rejects, processor_id="").drop("topic", "reason")
+    return I.dlq_envelope(rejects, processor_id="").drop("topic", "reason", "partition", "offset", "arrived_at")
 
 
 @query("split_valid_invalid", with_tables(CLASSIFIED, """

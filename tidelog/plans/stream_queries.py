@@ -10,7 +10,7 @@ from tidelog.operators import rollups as RU
 from tidelog.operators import windows as WI
 from tidelog.plans import zones
 from tidelog.plans.derive_sql import CLASSIFIED, DOCUMENTS, rfc3339, with_tables
-from tidelog.plans.ingest_queries import COUNTERS_SQL
+from tidelog.plans.ingest_queries import COUNTERS_SQL, DLQ_SQL
 from tidelog.plans.metric_queries import ISLANDS
 from tidelog.plans.registry import day, query, stamp
 from tidelog.sources import log_store, raw_events
@@ -32,9 +32,9 @@ def stream_ingest(spark, sf):
     return _docs(log_store.read_documents(spark, zones.streamed_root(spark, sf)))
 
 
-@query("stream_dlq", with_tables(CLASSIFIED, "SELECT * FROM dlq"))
+@query("stream_dlq", DLQ_SQL)
 def stream_dlq(spark, sf):
-    return log_store.read_dlq(spark, zones.streamed_root(spark, sf))
+    return log_store.read_dlq(spark, zones.streamed_root(spark, sf)).withColumn("arrived_at", stamp("arrived_at"))
 
 
 @query("stream_counters", _COUNTERS)

@@ -43,7 +43,15 @@ RECENT_SCHEMA = (
     "tenant_id string, service string, ingested_at timestamp, partition int, offset long, payload string, batch_id long"
 )
 DEAD_SCHEMA = T.StructType(
-    [*DLQ.fields, T.StructField("topic", T.StringType()), T.StructField("reason", T.StringType()), _BATCH]
+    [
+        *DLQ.fields,
+        T.StructField("topic", T.StringType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("partition", T.IntegerType()),
+        T.StructField("offset", T.LongType()),
+        T.StructField("arrived_at", T.TimestampType()),
+        _BATCH,
+    ]
 )
 
 
