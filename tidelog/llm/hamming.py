@@ -12,7 +12,7 @@ what any other does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.scratch import Scratch
@@ -52,38 +52,43 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     members = first_per_group(coded(vectors), ["bits", "code"], [F.col("vec_id")], wanted, spread=["vec_id"])
     index = members.groupBy("bits", "code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     index = scratch.write(index, "index")
-    entries = scratch.write(index.select("bits", F.posexplode("code").alias("seg", "val"), "code", "ids"), "entries")
+    of_code = [F.get("ids", F.lit(0)).alias("first"), F.size("ids").alias("n")]
+    entries = scratch.write(index.select("bits", F.posexplode("code").alias("seg", "val"), "code", *of_code), "entries")
     asked = scratch.write(coded(queries), "queries")
-    asked_codes = asked.select("bits", F.col("code").alias("q")).distinct()
-    open_codes = scratch.write(asked_codes, "open-0")
+    open_codes = scratch.write(asked.select("bits", F.col("code").alias("q")).distinct(), "open-0")
 
     done: list[DataFrame] = []
     best: DataFrame | None = None
+    found_columns = ["bits", "q", "code", "first", "n", "distance"]
     for radius in range(SEGMENT_BITS + 1):
         width = f"least({SEGMENT_BITS}, bits - seg * {SEGMENT_BITS})"
         masks = f"filter(sequence(0, shiftleft(1, {SEGMENT_BITS}) - 1), x -> bit_count(x) = {radius})"
         probes = open_codes.select("bits", "q", F.posexplode("q").alias("seg", "own"))
         probes = probes.select("bits", "q", "seg", "own", F.explode(F.expr(masks)).alias("mask")).where(f"mask < shiftleft(1, {width})")
         probes = probes.select("bits", "q", "seg", F.expr("own ^ mask").alias("val"))
-        hits = probes.join(entries, ["bits", "seg", "val"]).select("bits", "q", "code", "ids")
-        found = hits.dropDuplicates(["bits", "q", "code"]).select("bits", "q", _distance("q", "code").alias("distance"), F.explode("ids").alias("vec_id"))
+        # A few queries become very many probes, which no size estimate sees: never to be broadcast.
+        hits = probes.hint("merge").join(entries, ["bits", "seg", "val"]).select("bits", "q", "code", "first", "n").distinct()
+        found = hits.withColumn("distance", _distance("q", "code")).select(found_columns)
         if best is not None:
             found = found.unionByName(best).distinct()
-        ranked = first_per_group(found, ["bits", "q"], [F.col("distance"), F.col("vec_id")], wanted, spread=["vec_id"])
-        ranked = scratch.write(ranked.select("bits", "q", "distance", "vec_id", "rank"), f"best-{radius}")
+        # Of the nearest codes as many as ids are wanted: each has one id at least, and its smallest decides among ties.
+        ranked = first_per_group(found, ["bits", "q"], [F.col("distance"), F.col("first")], wanted, spread=["first"])
+        ranked = scratch.write(ranked, f"best-{radius}")
+        so_far = F.sum("n").over(Window.partitionBy("bits", "q").orderBy("rank"))
+        state = ranked.withColumn("so_far", so_far).groupBy("bits", "q").agg(F.min(F.when(F.col("so_far") >= wanted, F.col("distance"))).alias("far"))
         covered = f"((bits + {SEGMENT_BITS - 1}) div {SEGMENT_BITS}) * {radius + 1} - 1"
-        state = ranked.groupBy("bits", "q").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-        state = open_codes.join(state, ["bits", "q"], "left")
-        closed = F.expr(f"coalesce(n >= {wanted} and far <= {covered}, false)") if radius < SEGMENT_BITS else F.lit(True)
-        state = scratch.write(state.select("bits", "q", closed.alias("closed")), f"state-{radius}")
+        closed = F.expr(f"coalesce(far <= {covered}, false)") if radius < SEGMENT_BITS else F.lit(True)
+        state = scratch.write(open_codes.join(state, ["bits", "q"], "left").select("bits", "q", closed.alias("closed")), f"state-{radius}")
         done.append(ranked.join(state.where("closed"), ["bits", "q"], "left_semi"))
         open_codes = state.where("not closed").select("bits", "q")
-        best = ranked.join(open_codes, ["bits", "q"], "left_semi").select("bits", "q", "distance", "vec_id")
+        best = ranked.join(open_codes, ["bits", "q"], "left_semi").select(found_columns)
         if open_codes.isEmpty():
             break
     answers = done[0]
     for part in done[1:]:
         answers = answers.unionByName(part)
-    out = asked.select(F.col("vec_id").alias("query_id"), "bits", F.col("code").alias("q")).join(answers.drop("rank"), ["bits", "q"])
+    answers = answers.select("bits", "q", "code", "distance").join(index, ["bits", "code"])
+    answers = answers.select("bits", "q", "distance", F.explode("ids").alias("vec_id"))
+    out = asked.select(F.col("vec_id").alias("query_id"), "bits", F.col("code").alias("q")).join(answers, ["bits", "q"])
     out = first_per_group(out.where("vec_id != query_id"), ["query_id", "bits", "q"], [F.col("distance"), F.col("vec_id")], k, spread=["vec_id"])
     return out.select("query_id", "rank", "vec_id", "distance")
