@@ -25,6 +25,8 @@ from tidelog.llm.scratch import Scratch
 ADDED = ("source_block", "position", "place")
 BLOCK = 16
 UNITS = 1000
+#: Rows of the period and slot tables (40 bytes each) up to which they are broadcast.
+MAX_BROADCAST_ROWS = 1_000_000
 
 #: Earliest deadline first over one period: ``c`` blocks per source, ``total`` in all.
 _EDF = """aggregate(sequence(0, total - 1),
@@ -50,6 +52,11 @@ def _units(sizes: DataFrame, weights: dict[str | None, float] | None, units: int
     return weighted.withColumn("u", F.greatest(F.lit(1), F.floor(units * share + 0.5)).cast("long")).drop("weight")
 
 
+def _small(lookup: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, broadcast if it is within the bound, else joined by shuffle."""
+    return F.broadcast(lookup) if lookup.count() <= MAX_BROADCAST_ROWS else lookup
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, units: int = UNITS) -> DataFrame:
     """``docs (doc_id, source, ...)`` with the place of every row in the mixture.
 
@@ -107,7 +114,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     rank = F.col("_mix_in") - 1 + F.col("before")
     placed = placed.withColumns({"_mix_rank": rank, "source_block": F.floor(rank / block).cast("long")})
     placed = placed.withColumns({"k": F.expr("source_block div u"), "j": F.expr("source_block % u")})
-    out = placed.join(periods, "k").join(plan, ["phase", "s", "j"])
+    out = placed.join(_small(periods), "k").join(_small(plan), ["phase", "s", "j"])
     return out.select(
         "row.*", "source_block", (F.col("start") + F.col("slot")).alias("position"),
         F.expr(f"_mix_rank - source_block * {block}").cast("int").alias("place"),
