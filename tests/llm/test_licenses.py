@@ -58,6 +58,39 @@ def test_against_python(docs_of):
     assert found[3] == {"apache-2.0"} and found[4] == {"gpl-3.0-or-later"} and found[5] == {"apache-2.0"}
 
 
+#: Lines as they occur in documents, and the labels a reader gives them.
+LINES = {
+    "Licensed under CC BY-NC 4.0.": {"cc-by-nc"},
+    "This work is licensed under CC-BY-SA 3.0.": {"cc-by-sa"},
+    "licensed under CC BY v2.5": {"cc-by"},
+    "Licensed under GPL-3.0": {"gpl-3.0"},
+    "Licensed under MPL 2.0": {"mpl-2.0"},
+    "Released under MIT.": {"mit"},
+    "Distributed under the terms of the GNU LGPL v2.1": {"lgpl-2.1"},
+    "Released under MIT-0": {"mit-0"},
+    "GPLv3": {"gpl-3.0"},
+    "GPLv2 or later": {"gpl-2.0-or-later"},
+    "AGPLv3": {"agpl-3.0"},
+    "Apache License v2.0": {"apache", "apache-2.0"},
+    "GNU General Public License v3": {"gpl", "gpl-3.0"},
+    "Mozilla Public License v. 2.0": {"mpl-2.0"},
+    "Licensed under the Apache License, Version 2.0.": {"apache", "apache-2.0"},
+    "under the MIT License.": {"mit"},
+    "This work is licensed under the GNU General Public License": {"gpl"},
+    "Published by MIT Press": set(),
+    "Compression is provided under zlib, storage under PostgreSQL 9.": set(),
+    "Sie kam mit dem Zug, released under protest": set(),
+}
+
+
+def test_lines_of_documents(spark, docs_of):
+    found = L.detect(docs_of(list(LINES))).select("doc_id", L.joined("concat(transform(base, b -> b.label), transform(detections, d -> d.label))").alias("labels"))
+    texts = list(LINES)
+    assert {texts[r.doc_id]: set(filter(None, r.labels.split(","))) for r in found.collect()} == LINES
+    for text in LINES:
+        assert {d[3] for d in brute(text)[2]} <= LINES[text]
+
+
 def test_odd_empty_and_clashing(odd, docs_of):
     assert L.detect(odd).where("size(detections) > 0").count() == 0 and L.detect(odd).count() == odd.count()
     assert L.detect(docs_of([])).count() == 0

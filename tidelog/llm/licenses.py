@@ -12,6 +12,8 @@ Everything is Spark expressions inside the row: no shuffle, no join.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,11 @@ NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Phrases whose words stand consecutively, and their labels.  Fixed values.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-_V = "(?:version |v )?"
+_V = "(?:version )?(?:v ?)?"
+#: Behind an identifier: "gplv3" and "gpl 3" as well as "gpl v 3" and "gpl version 3".
+_I = "(?: version)?(?: ?v)? ?"
+#: Version and port of a Creative Commons identifier.
+_CC = f"(?: {_V}[1-4](?: [05])?)?"
 _LICENSE = "(?:public )?licen[sc]e"
 #: Label, keyword, full name, identifier; both regular expressions over words, a version in digits apart.
 FAMILIES = [
@@ -36,44 +42,44 @@ FAMILIES = [
     ("bsd-3-clause", "bsd", f"(?:(?:3|three) clause|new|revised|modified) bsd(?: {_LICENSE})?", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", f"(?:(?:4|four) clause|original|old) bsd(?: {_LICENSE})?", "bsd 4 clause"),
     ("apache", "apache", f"apache(?: software)? {_LICENSE}", "apache"),
-    ("apache-1.0", "apache", f"apache(?: software)? {_LICENSE} {_V}1 0", "apache 1 0"),
-    ("apache-1.1", "apache", f"apache(?: software)? {_LICENSE} {_V}1 1", "apache 1 1"),
-    ("apache-2.0", "apache", f"apache(?: software)? {_LICENSE} {_V}2(?: 0)?", "apache 2(?: 0)?"),
+    ("apache-1.0", "apache", f"apache(?: software)? {_LICENSE} {_V}1 0", f"apache{_I}1 0"),
+    ("apache-1.1", "apache", f"apache(?: software)? {_LICENSE} {_V}1 1", f"apache{_I}1 1"),
+    ("apache-2.0", "apache", f"apache(?: software)? {_LICENSE} {_V}2(?: 0)?", f"apache{_I}2(?: 0)?"),
     ("gpl", "general", "(?:gnu )?general public licen[sc]e", "(?:gnu )?gpl"),
-    ("gpl-1.0", "general", f"(?:gnu )?general public licen[sc]e {_V}1(?: 0)?", "(?:gnu )?gpl v?1(?: 0)?"),
-    ("gpl-2.0", "general", f"(?:gnu )?general public licen[sc]e {_V}2(?: 0)?", "(?:gnu )?gpl v?2(?: 0)?"),
-    ("gpl-2.0-or-later", "later", f"(?:gnu )?general public licen[sc]e {_V}2(?: 0)? or(?: at your option)? any later version", "gpl 2 0 or later"),
-    ("gpl-3.0", "general", f"(?:gnu )?general public licen[sc]e {_V}3(?: 0)?", "(?:gnu )?gpl v?3(?: 0)?"),
-    ("gpl-3.0-or-later", "later", f"(?:gnu )?general public licen[sc]e {_V}3(?: 0)? or(?: at your option)? any later version", "gpl 3 0 or later"),
+    ("gpl-1.0", "general", f"(?:gnu )?general public licen[sc]e {_V}1(?: 0)?", f"(?:gnu )?gpl{_I}1(?: 0)?"),
+    ("gpl-2.0", "general", f"(?:gnu )?general public licen[sc]e {_V}2(?: 0)?", f"(?:gnu )?gpl{_I}2(?: 0)?"),
+    ("gpl-2.0-or-later", "later", f"(?:gnu )?general public licen[sc]e {_V}2(?: 0)? or(?: at your option)? any later version", f"(?:gnu )?gpl{_I}2(?: 0)? or(?: any)? later(?: version)?"),
+    ("gpl-3.0", "general", f"(?:gnu )?general public licen[sc]e {_V}3(?: 0)?", f"(?:gnu )?gpl{_I}3(?: 0)?"),
+    ("gpl-3.0-or-later", "later", f"(?:gnu )?general public licen[sc]e {_V}3(?: 0)? or(?: at your option)? any later version", f"(?:gnu )?gpl{_I}3(?: 0)? or(?: any)? later(?: version)?"),
     ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public licen[sc]e", "(?:gnu )?lgpl"),
-    ("lgpl-2.0", "library", f"(?:gnu )?library general public licen[sc]e {_V}2(?: 0)?", "(?:gnu )?lgpl v?2 0"),
-    ("lgpl-2.1", "lesser", f"(?:gnu )?lesser general public licen[sc]e {_V}2 1", "(?:gnu )?lgpl v?2 1"),
-    ("lgpl-3.0", "lesser", f"(?:gnu )?lesser general public licen[sc]e {_V}3(?: 0)?", "(?:gnu )?lgpl v?3(?: 0)?"),
+    ("lgpl-2.0", "library", f"(?:gnu )?library general public licen[sc]e {_V}2(?: 0)?", f"(?:gnu )?lgpl{_I}2(?: 0)?"),
+    ("lgpl-2.1", "lesser", f"(?:gnu )?lesser general public licen[sc]e {_V}2 1", f"(?:gnu )?lgpl{_I}2 1"),
+    ("lgpl-3.0", "lesser", f"(?:gnu )?lesser general public licen[sc]e {_V}3(?: 0)?", f"(?:gnu )?lgpl{_I}3(?: 0)?"),
     ("agpl", "affero", "(?:gnu )?affero general public licen[sc]e", "(?:gnu )?agpl"),
-    ("agpl-3.0", "affero", f"(?:gnu )?affero general public licen[sc]e {_V}3(?: 0)?", "(?:gnu )?agpl v?3(?: 0)?"),
+    ("agpl-3.0", "affero", f"(?:gnu )?affero general public licen[sc]e {_V}3(?: 0)?", f"(?:gnu )?agpl{_I}3(?: 0)?"),
     ("gfdl", "documentation", "(?:gnu )?free documentation licen[sc]e", "gfdl"),
-    ("gfdl-1.2", "documentation", f"(?:gnu )?free documentation licen[sc]e {_V}1 2", "gfdl v?1 2"),
-    ("gfdl-1.3", "documentation", f"(?:gnu )?free documentation licen[sc]e {_V}1 3", "gfdl v?1 3"),
+    ("gfdl-1.2", "documentation", f"(?:gnu )?free documentation licen[sc]e {_V}1 2", f"gfdl{_I}1 2"),
+    ("gfdl-1.3", "documentation", f"(?:gnu )?free documentation licen[sc]e {_V}1 3", f"gfdl{_I}1 3"),
     ("mpl", "mozilla", f"mozilla {_LICENSE}", "mpl"),
-    ("mpl-1.0", "mozilla", f"mozilla {_LICENSE} {_V}1 0", "mpl v?1 0"),
-    ("mpl-1.1", "mozilla", f"mozilla {_LICENSE} {_V}1 1", "mpl v?1 1"),
-    ("mpl-2.0", "mozilla", f"mozilla {_LICENSE} {_V}2(?: 0)?", "mpl v?2(?: 0)?"),
+    ("mpl-1.0", "mozilla", f"mozilla {_LICENSE} {_V}1 0", f"mpl{_I}1 0"),
+    ("mpl-1.1", "mozilla", f"mozilla {_LICENSE} {_V}1 1", f"mpl{_I}1 1"),
+    ("mpl-2.0", "mozilla", f"mozilla {_LICENSE} {_V}2(?: 0)?", f"mpl{_I}2(?: 0)?"),
     ("epl", "eclipse", f"eclipse {_LICENSE}", "epl"),
-    ("epl-1.0", "eclipse", f"eclipse {_LICENSE} {_V}1(?: 0)?", "epl v?1(?: 0)?"),
-    ("epl-2.0", "eclipse", f"eclipse {_LICENSE} {_V}2(?: 0)?", "epl v?2(?: 0)?"),
-    ("eupl-1.2", "european", f"european union {_LICENSE}(?: {_V}1 2)?", "eupl(?: v?1 2)?"),
-    ("cddl-1.0", "common", f"common development and distribution licen[sc]e(?: {_V}1 0)?", "cddl(?: v?1 0)?"),
-    ("cpl-1.0", "common", f"common {_LICENSE}(?: {_V}1 0)?", "cpl(?: v?1 0)?"),
-    ("artistic-1.0", "artistic", f"artistic licen[sc]e(?: {_V}1 0)?", "artistic 1 0"),
-    ("artistic-2.0", "artistic", f"artistic licen[sc]e {_V}2(?: 0)?", "artistic 2(?: 0)?"),
-    ("bsl-1.0", "boost", f"boost software licen[sc]e(?: {_V}1 0)?", "bsl 1 0"),
-    ("busl-1.1", "business", f"business source licen[sc]e(?: {_V}1 1)?", "busl 1 1"),
+    ("epl-1.0", "eclipse", f"eclipse {_LICENSE} {_V}1(?: 0)?", f"epl{_I}1(?: 0)?"),
+    ("epl-2.0", "eclipse", f"eclipse {_LICENSE} {_V}2(?: 0)?", f"epl{_I}2(?: 0)?"),
+    ("eupl-1.2", "european", f"european union {_LICENSE}(?: {_V}1 2)?", f"eupl(?:{_I}1 2)?"),
+    ("cddl-1.0", "common", f"common development and distribution licen[sc]e(?: {_V}1 0)?", f"cddl(?:{_I}1 0)?"),
+    ("cpl-1.0", "common", f"common {_LICENSE}(?: {_V}1 0)?", f"cpl(?:{_I}1 0)?"),
+    ("artistic-1.0", "artistic", f"artistic licen[sc]e(?: {_V}1 0)?", f"artistic{_I}1 0"),
+    ("artistic-2.0", "artistic", f"artistic licen[sc]e {_V}2(?: 0)?", f"artistic{_I}2(?: 0)?"),
+    ("bsl-1.0", "boost", f"boost software licen[sc]e(?: {_V}1 0)?", f"bsl{_I}1 0"),
+    ("busl-1.1", "business", f"business source licen[sc]e(?: {_V}1 1)?", f"busl{_I}1 1"),
     ("unlicense", "unlicense", "unlicense", "unlicense"),
     ("wtfpl", "wtfpl", f"wtfpl(?: {_V}2)?", "wtfpl"),
     ("zlib", "zlib", f"zlib(?: libpng)? {_LICENSE}", "zlib"),
     ("postgresql", "postgresql", f"postgresql {_LICENSE}", "postgresql"),
-    ("python-2.0", "python", f"python(?: software foundation)? {_LICENSE}(?: {_V}2(?: 0)?)?", "(?:python 2 0|psf 2 0)"),
-    ("php-3.01", "php", f"php {_LICENSE}(?: {_V}3 0?1)?", "php 3 0?1"),
+    ("python-2.0", "python", f"python(?: software foundation)? {_LICENSE}(?: {_V}2(?: 0)?)?", f"(?:python|psf){_I}2 0"),
+    ("php-3.01", "php", f"php {_LICENSE}(?: {_V}3 0?1)?", f"php{_I}3 0?1"),
     ("ncsa", "ncsa", f"(?:university of illinois )?ncsa(?: open source)? {_LICENSE}", "ncsa"),
     ("openssl", "openssl", f"openssl {_LICENSE}", "openssl"),
     ("ofl-1.1", "font", f"(?:sil )?open font licen[sc]e(?: {_V}1 1)?", "ofl(?: 1 1)?"),
@@ -83,20 +89,27 @@ FAMILIES = [
     ("osl-3.0", "open", f"open software licen[sc]e(?: {_V}3(?: 0)?)?", "osl(?: 3 0)?"),
     ("upl-1.0", "universal", f"universal permissive licen[sc]e(?: {_V}1 0)?", "upl(?: 1 0)?"),
     ("sspl-1.0", "side", f"server side public licen[sc]e(?: {_V}1(?: 0)?)?", "sspl(?: 1 0)?"),
-    ("elastic-2.0", "elastic", f"elastic licen[sc]e(?: {_V}2(?: 0)?)?", "elastic 2 0"),
+    ("elastic-2.0", "elastic", f"elastic licen[sc]e(?: {_V}2(?: 0)?)?", f"elastic{_I}2 0"),
     ("cc0-1.0", "cc0", f"(?:creative commons )?cc0(?: 1 0)?(?: universal)?", "cc0(?: 1 0)?"),
-    ("cc-by", "commons", "creative commons attribution(?: licen[sc]e)?", "cc by"),
-    ("cc-by-sa", "commons", "creative commons attribution share ?alike(?: licen[sc]e)?", "cc by sa"),
-    ("cc-by-nc", "commons", "creative commons attribution non ?commercial(?: licen[sc]e)?", "cc by nc"),
-    ("cc-by-nd", "commons", "creative commons attribution no ?deriv(?:s|atives)(?: licen[sc]e)?", "cc by nd"),
-    ("cc-by-nc-sa", "commons", "creative commons attribution non ?commercial share ?alike(?: licen[sc]e)?", "cc by nc sa"),
-    ("cc-by-nc-nd", "commons", "creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: licen[sc]e)?", "cc by nc nd"),
+    ("cc-by", "commons", "creative commons attribution(?: licen[sc]e)?", f"cc by{_CC}"),
+    ("cc-by-sa", "commons", "creative commons attribution share ?alike(?: licen[sc]e)?", f"cc by sa{_CC}"),
+    ("cc-by-nc", "commons", "creative commons attribution non ?commercial(?: licen[sc]e)?", f"cc by nc{_CC}"),
+    ("cc-by-nd", "commons", "creative commons attribution no ?deriv(?:s|atives)(?: licen[sc]e)?", f"cc by nd{_CC}"),
+    ("cc-by-nc-sa", "commons", "creative commons attribution non ?commercial share ?alike(?: licen[sc]e)?", f"cc by nc sa{_CC}"),
+    ("cc-by-nc-nd", "commons", "creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: licen[sc]e)?", f"cc by nc nd{_CC}"),
     ("public-domain", "domain", "(?:released|placed|dedicated)(?: in)?(?: to)? the public domain", "public domain"),
     ("proprietary", "proprietary", "proprietary(?: and confidential)?(?: licen[sc]e)", "licenseref proprietary"),
 ]
 
 _GRANT = "(?:licen[sc]ed|released|distributed|published|available|provided|covered|used)"
-#: Priority, confidence, form, whether it holds the name or the identifier.
+#: Verbs behind which an identifier alone is a statement, and those that say the same of a product ("provided under zlib").
+_RELEASED = "(?:licen[sc]ed|released|distributed|published)"
+_OFFERED = "(?:licen[sc]ed|released|distributed|published|available|provided|covered)"
+#: Identifiers that are names of products, systems or places as well.
+PRODUCTS = {"apache", "bsd", "x11", "zlib", "postgresql", "openssl", "ncsa", "python-2.0", "php-3.01"}
+#: Families whose identifiers with a version can mean nothing else, as "GPLv3".
+ALONE = ("gpl-", "lgpl-", "agpl-")
+#: Priority, confidence, form, whether it holds the name, the identifier, the identifier behind a verb or the identifier alone.
 FORMS = [
     (0, 1.0, "spdx licen[sc]e identifier {0}(?: (?:only|or later))?", "id"),
     (1, 0.9, _GRANT + "(?: only)? (?:under|by|with)(?: the)?(?: terms (?:of|and conditions of))?(?: the)? {0}", "name"),
@@ -104,9 +117,17 @@ FORMS = [
     (2, 0.7, "{0}", "name"),
     (3, 0.5, "licen[sc]e {0}", "id"),
     (3, 0.5, "{0} licen[sc]ed", "id"),
+    (1, 0.9, "{1}(?: only)? under(?: the)?(?: terms (?:of|and conditions of))?(?: the)? {0}", "granted"),
+    (3, 0.5, "{0}", "alone"),
 ]
 #: Texts without any of these are not reduced to words at all.
-GATE = ["licen", "domain", "cc0", "wtfpl", "commons", "bsd"]
+GATE = ["licen", "domain", "cc0", "wtfpl", "commons", "bsd", "gpl", "released", "distributed", "published", "available", "provided", "covered"]
+
+
+def _first_word(identifier: str) -> str:
+    """What stands wherever the identifier does behind "under": the beginning of its first word."""
+    first = re.match("[a-z0-9]+", identifier.removeprefix("(?:gnu )?"))
+    return f" {first.group()}" if first else " under "
 
 
 def rules() -> list[tuple[int, int, float, str, str, str]]:
@@ -114,8 +135,11 @@ def rules() -> list[tuple[int, int, float, str, str, str]]:
     out = []
     for priority, confidence, form, kind in FORMS:
         for label, keyword, name, identifier in FAMILIES:
-            body = form.format(name if kind == "name" else identifier)
-            key = f" {keyword} " if kind == "name" else " spdx " if priority == 0 else " licen"
+            if kind == "alone" and not label.startswith(ALONE):
+                continue
+            body = form.format(name if kind == "name" else identifier, _RELEASED if label in PRODUCTS else _OFFERED)
+            short = kind in ("granted", "alone")
+            key = f" {keyword} " if kind == "name" else _first_word(identifier) if short else " spdx " if priority == 0 else " licen"
             out.append((len(out), priority, confidence, label, key, spaced(body)))
     return out
 
