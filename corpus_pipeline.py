@@ -37,7 +37,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets its place in the mixture of the sources."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, carry=True)
 
 
 STAGES = [

@@ -69,6 +69,43 @@ def test_more_sources_than_units(spark):
     assert result(M.mix(frame(spark, rows), block=3, units=5)) == brute(rows, 3, 5)
 
 
+def deviation(got, weights):
+    """The most any prefix of the mixture is off the unrounded weights, while no source has run out."""
+    order = [s for _, s in sorted({(p, s) for (_, s), (_, p, _) in got.items()})]
+    left, total, worst, done = collections.Counter(order), sum(weights.values()), 0, collections.Counter()
+    for t, s in enumerate(order, 1):
+        done[s] += 1
+        if done[s] == left[s]:
+            break
+        worst = max(worst, *(abs(done[x] - t * w / total) for x, w in weights.items()))
+    return worst, t
+
+
+def test_carried_fractions_do_not_add_up(spark):
+    weights = {"a": 0.745, "b": 0.145, "c": 0.11}
+    rows = [(i, s) for s, n in (("a", 3000), ("b", 590), ("c", 460)) for i in range(n)]
+    rounded, t = deviation(result(M.mix(frame(spark, rows), weights, block=1, units=10)), weights)
+    carried, t_carried = deviation(result(M.mix(frame(spark, rows), weights, block=1, units=10, carry=True)), weights)
+    assert min(t, t_carried) > 2000 and rounded > 20 and carried < 2
+
+
+def test_carried_weights_below_one_unit(spark):
+    small = {f"s{i}": 0.005 for i in range(100)}
+    rows = [(i, "a") for i in range(500)] + [(i, s) for s in small for i in range(6)]
+    got = result(M.mix(frame(spark, rows), {"a": 0.5, **small}, block=1, units=20, carry=True))
+    assert sorted(p for _, p, _ in got.values()) == list(range(len(rows)))
+    blocks = {p: s for (_, s), (_, p, _) in got.items()}
+    for t in range(50, 900, 50):
+        assert abs(sum(blocks[p] == "a" for p in range(t)) - 0.5 * t) < 4
+
+
+def test_carried_rows_come_out_once(spark, odd):
+    rows = [(i, f"s{i * i % 7}") for i in range(700)] + [(None, None), (900, "one")]
+    got = M.mix(frame(spark, rows), block=4, units=20, carry=True).collect()
+    assert len(got) == len(rows) and sorted({r.position for r in got}) == list(range(1 + max(r.position for r in got)))
+    assert M.mix(odd, carry=True).count() == odd.count() and M.mix(frame(spark, []), carry=True).count() == 0
+
+
 def test_odd_empty_and_clashing(spark, odd):
     out = M.mix(odd)
     assert out.count() == odd.count()

@@ -9,7 +9,14 @@ them, so that every prefix of a period holds each source's share to less than on
 block.  A source that runs out leaves the period and the others share its slots,
 still in proportion; every row comes out exactly once.
 
-Only the table of periods' make-ups passes through the scheduler, a fold over the
+Units are whole, so weights are rounded, by the same error in every period.  With
+``carry`` a period's make-up comes from the weight itself: by its end source ``s``
+has had ``floor(periods * weight + phase)`` blocks, the fraction carried over.  The
+deviation from the weights then does not grow with the table, and a weight below
+one unit skips periods.  Phases are the golden ratio's multiples, so that small
+sources do not all wait for the same period.
+
+Without ``carry`` only the table of periods' make-ups passes through the scheduler, a fold over the
 slots of one period for each distinct make-up (at most two per source and one).
 Rows are placed by arithmetic and two equi-joins.  Everything is Spark
 expressions.
@@ -27,6 +34,9 @@ BLOCK = 16
 UNITS = 1000
 #: Rows of the period and slot tables (40 bytes each) up to which they are broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
+#: Blocks of a source that are numbered in one task.
+CHUNK = 4096
+GOLDEN = 0.6180339887498949
 
 #: Earliest deadline first over one period: ``c`` blocks per source, ``total`` in all.
 _EDF = """aggregate(sequence(0, total - 1),
@@ -40,7 +50,7 @@ _EDF = """aggregate(sequence(0, total - 1),
 
 
 def _units(sizes: DataFrame, weights: dict[str | None, float] | None, units: int) -> DataFrame:
-    """Whole units of each source: its share of ``units``, one at least."""
+    """Units of each source: its share ``w`` of ``units``, and ``u`` in whole units, one at least."""
     if weights is None:
         weighted = sizes.withColumn("weight", F.sqrt(F.col("n").cast("double")))
     else:
@@ -49,7 +59,27 @@ def _units(sizes: DataFrame, weights: dict[str | None, float] | None, units: int
             named = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(float(weight))).otherwise(named)
         weighted = sizes.withColumn("weight", named).where("weight > 0")
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(1)))
-    return weighted.withColumn("u", F.greatest(F.lit(1), F.floor(units * share + 0.5)).cast("long")).drop("weight")
+    weighted = weighted.withColumn("w", units * share)
+    return weighted.withColumn("u", F.greatest(F.lit(1), F.floor(F.col("w") + 0.5)).cast("long")).drop("weight")
+
+
+def _carried(sources: DataFrame) -> DataFrame:
+    """``(s, source_block, position)`` of all blocks, fractions of units carried from period to period."""
+    taken = "least({0}b, cast(floor({1} * {0}w + {0}phase) as bigint))"
+    phased = sources.select("s", "b", "w", F.expr(f"pmod(s * {GOLDEN}d, 1d)").alias("phase"))
+    whole = phased.agg(F.expr("array_sort(collect_list(struct(s, b, w, phase)))").alias("all"))
+    chunks = phased.select("*", F.explode(F.expr(f"sequence(0L, (b - 1) div {CHUNK})")).alias("chunk")).repartition(64, "s", "chunk")
+    blocks = chunks.select("*", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(b, (chunk + 1) * {CHUNK}) - 1)")).alias("source_block"))
+    # The period by division, put right by the very numbers that ``start`` is made of.
+    blocks = blocks.withColumn("k", F.expr("greatest(0L, cast(floor((source_block + 1 - phase) / w) as bigint) - 1)"))
+    for _ in range(2):
+        blocks = blocks.withColumn("k", F.expr(f"if({taken.format('', '(k + 1)')} <= source_block, k + 1, k)"))
+    made = blocks.groupBy("k", "s").agg(F.count("*").alias("c"), F.min("source_block").alias("first"))
+    periods = made.groupBy("k").agg(F.expr("array_sort(collect_list(struct(s, c, first)))").alias("made"))
+    periods = periods.withColumns({"all": whole.select("all").scalar(), "c": F.expr("transform(made, x -> x.c)"), "total": F.expr("aggregate(made, 0L, (t, x) -> t + x.c)")})
+    start = F.expr(f"aggregate(all, 0L, (t, x) -> t + {taken.format('x.', 'k')})")
+    picks = periods.select("made", start.alias("start"), F.posexplode(F.expr(_EDF)).alias("slot", "pick"))
+    return picks.select(F.expr("made[pick.s].s").alias("s"), F.expr("made[pick.s].first + pick.j").alias("source_block"), (F.col("start") + F.col("slot")).alias("position"))
 
 
 def _small(lookup: DataFrame) -> DataFrame:
@@ -57,14 +87,15 @@ def _small(lookup: DataFrame) -> DataFrame:
     return F.broadcast(lookup) if lookup.count() <= MAX_BROADCAST_ROWS else lookup
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, units: int = UNITS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, units: int = UNITS, carry: bool = False) -> DataFrame:
     """``docs (doc_id, source, ...)`` with the place of every row in the mixture.
 
     ``source_block`` numbers the blocks of a source, ``position`` all blocks in the
     order of the mixture, ``place`` the rows in a block, all from 0; read in the
     order of ``position`` and ``place``.  ``weights`` maps sources to target
     weights; a source without one, or with 0, is not part of the mixture.  Without
-    ``weights`` they are the square roots of the row counts.  Null is a source like
+    ``weights`` they are the square roots of the row counts.  Weights are rounded to
+    whole units of a period, one at least, unless ``carry`` is set.  Null is a source like
     any other; rows without an id and repeated rows are placed like others; an
     empty table gives an empty result.  Columns named like the added ones are
     replaced.
@@ -84,9 +115,21 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     parts = scratch.write(parts.withColumn("before", before), "parts")
     sizes = parts.groupBy("source").agg(F.sum("n").alias("n"))
     blocks = _units(sizes, weights, units).withColumn("b", F.expr(f"(n + {block - 1}) div {block}"))
-    sources = blocks.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("source")).alias("s"), "source", "u", "b")
+    sources = blocks.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("source")).alias("s"), "source", "u", "b", "w")
     sources = scratch.write(sources.withColumn("s", F.col("s") - 1), "sources")
 
+    in_part = F.row_number().over(Window.partitionBy("source", "_mix_part").orderBy("_mix_key", "doc_id", "_mix_rest"))
+    ranked = rows.withColumn("_mix_in", in_part)
+    same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
+    of_part = parts.join(sources, parts.source.eqNullSafe(sources.source)).select(parts.source, "_mix_part", "before", "s", "u")
+    placed = ranked.join(of_part, same(ranked, of_part, "source", "_mix_part")).drop(of_part.source, of_part._mix_part)
+    rank = F.col("_mix_in") - 1 + F.col("before")
+    placed = placed.withColumns({"_mix_rank": rank, "source_block": F.floor(rank / block).cast("long")})
+    place = F.expr(f"_mix_rank - source_block * {block}").cast("int").alias("place")
+    if carry:
+        plan = scratch.write(_carried(sources), "plan")
+        return placed.join(_small(plan), ["s", "source_block"]).select("row.*", "source_block", "position", place)
+
     # One row with all sources; the distinct make-ups begin where a source goes short or is gone.
     whole = sources.agg(F.expr("array_sort(collect_list(struct(s, u, b)))").alias("all")).where("size(all) > 0")
     starts = whole.select("all", F.explode(F.expr("""array_distinct(concat(array(0L),
@@ -106,16 +149,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     )
     periods = scratch.write(periods, "periods")
 
-    in_part = F.row_number().over(Window.partitionBy("source", "_mix_part").orderBy("_mix_key", "doc_id", "_mix_rest"))
-    ranked = rows.withColumn("_mix_in", in_part)
-    same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
-    of_part = parts.join(sources, parts.source.eqNullSafe(sources.source)).select(parts.source, "_mix_part", "before", "s", "u")
-    placed = ranked.join(of_part, same(ranked, of_part, "source", "_mix_part")).drop(of_part.source, of_part._mix_part)
-    rank = F.col("_mix_in") - 1 + F.col("before")
-    placed = placed.withColumns({"_mix_rank": rank, "source_block": F.floor(rank / block).cast("long")})
     placed = placed.withColumns({"k": F.expr("source_block div u"), "j": F.expr("source_block % u")})
     out = placed.join(_small(periods), "k").join(_small(plan), ["phase", "s", "j"])
     return out.select(
-        "row.*", "source_block", (F.col("start") + F.col("slot")).alias("position"),
-        F.expr(f"_mix_rank - source_block * {block}").cast("int").alias("place"),
-    )
+        "row.*", "source_block", (F.col("start") + F.col("slot")).alias("position"), place
+    )
