@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, decontamination, hamming, language, licenses, mixing, near_dedup, oracles, quality, repeats, secrets
+from tidelog.llm import chat, decontamination, hamming, language, licenses, mixing, near_dedup, oracles, quality, repeats, secrets, token_counts, vocabularies
 from tidelog.llm.scratch import table
 
 
@@ -70,6 +70,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabularies.installed(vocabularies.PIECE_BPE), limit=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_secrets": op2_secrets,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hamming": op8_hamming,
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
+    "op11_token_counts": op11_token_counts,
 }
 
 ORACLES: dict[str, str] = {
