@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, decontamination, hamming, language, licenses, mixing, near_dedup, oracles, quality, repeats, secrets, token_counts, vocabularies
+from tidelog.llm import chat, decontamination, hamming, language, licenses, mixing, near_dedup, oracles, quality, repeats, secrets, token_counts, vocabularies, whitening
 from tidelog.llm.scratch import table
 
 
@@ -74,6 +74,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabularies.installed(vocabularies.PIECE_BPE), limit=4096)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_secrets": op2_secrets,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
     "op11_token_counts": op11_token_counts,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLES: dict[str, str] = {
