@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, decontamination, hamming, language, licenses, mixing, near_dedup, oracles, quality, repeats, secrets, token_counts, vocabularies, whitening
+from tidelog.llm import alignment, chat, decontamination, hamming, language, licenses, mixing, near_dedup, oracles, quality, repeats, secrets, token_counts, vocabularies, whitening
 from tidelog.llm.scratch import table
 
 
@@ -78,6 +78,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [vocabularies.installed(name) for name in (vocabularies.BYTE_BPE, vocabularies.PIECE_BPE)]
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_secrets": op2_secrets,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_token_counts": op11_token_counts,
     "op12_whitening": op12_whitening,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
