@@ -24,6 +24,20 @@ def test_masks_miss_no_placement():
             assert fits, (n, bad)
 
 
+def test_short_items_are_found_word_for_word(spark, docs_of):
+    bench = spark.createDataFrame([(1, "one two three"), (2, "One, two"), (3, "three"), (4, "two one")], BENCH)
+    texts = ["zero one TWO three four", "one x two", "one-two", "three", "two three", "onetwo"]
+    got = {(r.doc_id, r.item_id, r.window, r.matched) for r in D.contaminated(docs_of(texts), bench).collect()}
+    assert got == {(0, 1, 3, 3), (0, 2, 2, 2), (0, 3, 1, 1), (2, 2, 2, 2), (3, 3, 1, 1), (4, 3, 1, 1)}
+
+
+def test_one_item_under_many_ids_and_one_text_with_many_hits(spark, docs_of, rng):
+    item = words(rng, 12, 5000)
+    bench = spark.createDataFrame([(i, item) for i in range(50)], BENCH)
+    got = D.contaminated(docs_of([" ".join([item] * 40), item[5:]]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d in range(2) for i in range(50)} and len(got) == 100
+
+
 def brute(texts, items):
     out = {}
     for k, text in enumerate(texts):
@@ -33,7 +47,7 @@ def brute(texts, items):
             places.setdefault(w, []).append(at)
         for key, item in items:
             q = WORD.findall((item or "").lower())
-            if len(q) < D.MIN_WORDS:
+            if not q:
                 continue
             win = min(D.WINDOW, len(q))
             best = 0
@@ -47,7 +61,8 @@ def brute(texts, items):
 
 
 def test_against_all_alignments(spark, docs_of, rng):
-    items = [(i, words(rng, n, 60)) for i, n in enumerate([7, 8, 9, 11, 12, 13, 15, 16, 17, 30, 60])] + [(90, None), (91, ""), (3, "short one")]
+    items = [(i, words(rng, n, 60)) for i, n in enumerate([7, 8, 9, 11, 12, 13, 15, 16, 17, 30, 60])]
+    items += [(20 + n, words(rng, n, 9)) for n in (1, 2, 3, 3, 5)] + [(40, items[4][1]), (90, None), (91, ""), (3, "short one"), (92, "never?")]
     texts = [words(rng, 50, 60), "", None, "w1x"]
     for _, item in items[:11]:
         for edits in range(6):
@@ -59,17 +74,17 @@ def test_against_all_alignments(spark, docs_of, rng):
     df, bench = docs_of(texts), spark.createDataFrame(items, BENCH)
     got = {(r.doc_id, r.item_id): (r.window, r.matched) for r in D.contaminated(df, bench).collect()}
     want = brute(texts, items)
-    assert got == want and len(want) > 20
+    assert got == want and len(want) > 20 and {win for win, _ in want.values()} >= {1, 2, 8, 12, 16}
     left = {r.doc_id for r in D.drop_contaminated(df, bench).collect()}
     assert left == set(range(len(texts))) - {k for k, _ in want}
 
 
 def test_shuffled_when_the_benchmark_is_large(spark, docs_of, rng, monkeypatch):
-    items = [(i, words(rng, 20, 60)) for i in range(3)]
-    texts = [words(rng, 5) + " " + items[i % 3][1] for i in range(6)]
-    monkeypatch.setattr(D, "MAX_BROADCAST_SEEDS", 1)
+    items = [(i, words(rng, 20, 60)) for i in range(3)] + [(9, "w1x w2x")]
+    texts = [words(rng, 5) + " " + items[i % 3][1] for i in range(6)] + ["a W1x, w2x b"]
+    monkeypatch.setattr(D, "MAX_BROADCAST", 1)
     got = {(r.doc_id, r.item_id) for r in D.contaminated(docs_of(texts), spark.createDataFrame(items, BENCH)).collect()}
-    assert got >= {(i, i % 3) for i in range(6)}
+    assert got >= {(i, i % 3) for i in range(6)} | {(6, 9)}
 
 
 def test_odd_empty_and_clashing(spark, odd, docs_of, rng):

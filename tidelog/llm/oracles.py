@@ -101,11 +101,11 @@ def decontamination() -> str:
 with dw as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), {word}) as w from documents),
 iw as (select item_id, regexp_extract_all(lower(coalesce(text, '')), {word}) as w from benchmark),
 d as (select doc_id, unnest(w) as word, unnest(range(len(w))) as p from dw),
-i as (select item_id, len(w) as n, least(16, len(w)) as win, unnest(w) as word, unnest(range(len(w))) as q from iw where len(w) >= 8),
+i as (select item_id, len(w) as n, least(16, len(w)) as win, unnest(w) as word, unnest(range(len(w))) as q from iw where len(w) > 0),
 same as (select doc_id, item_id, n, win, p - q as off, q from d join i using (word)),
 runs as (
   select doc_id, item_id, n, win, off, q, list(q) over (partition by doc_id, item_id, off order by q range between current row and 15 following) as qs
-  from same qualify count(*) over (partition by doc_id, item_id, off) >= 7
+  from same qualify count(*) over (partition by doc_id, item_id, off) >= least(7, n)
 ), best as (
   -- a window may start up to three replaced words before its first agreeing one, or end with the item
   select doc_id, item_id, n, win, off, s, len(list_filter(qs, lambda x: x < s + win)) as matched
@@ -113,7 +113,7 @@ runs as (
 )
 select doc_id, item_id, max(win)::int as "window", max(matched)::int as matched
 from best
-where matched >= win - (case when win >= 16 then 3 when win >= 12 then 2 else 1 end)
+where matched >= win - (case when win >= 16 then 3 when win >= 12 then 2 when win >= 8 then 1 else 0 end)
 group by all
 """
 
