@@ -36,29 +36,37 @@ def fixture(rng):
     return texts + texts[10:13] + [words(rng, 100, 5000)]
 
 
-@pytest.mark.parametrize("gather, block", [(2_048, 1 << 20), (2, 1 << 20), (2_048, 300)])
-def test_against_all_strings(docs_of, rng, monkeypatch, gather, block):
-    """Also with every shared anchor counted across the cluster, and with runs cut at block ends."""
-    monkeypatch.setattr(R, "GATHER", gather)
+@pytest.mark.parametrize("limits", [{}, {"GATHER": 2}, {"BLOCK": 300}, {"LONGEST": 300, "BLOCK": 1}])
+def test_against_all_strings(docs_of, rng, monkeypatch, limits):
+    """Also with every shared anchor counted across the cluster, and with few texts or parts of texts ranked at once."""
     texts = fixture(rng)
-    if block != R.BLOCK:
-        runs = [R.runs_of((t or "").encode()) for t in texts]
-        monkeypatch.setattr(R, "BLOCK", block)
-        cut = [R.runs_of((t or "").encode()) for t in texts]
-        assert [int(sum(r[2] + 1)) for r in runs] == [int(sum(r[2] + 1)) for r in cut]
+    if "GATHER" in limits or not limits:
+        for name, value in limits.items():
+            monkeypatch.setattr(R, name, value)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in R.remove_repeats(docs_of(texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == brute(texts)
         return
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in R.remove_repeats(docs_of(texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == brute(texts)
+    raws = [(t or "").encode() for t in texts]
+    one = [R.runs_of([raw]) for raw in raws]
+    for name, value in limits.items():
+        monkeypatch.setattr(R, name, value)
+    together = R.runs_of(raws)
+    assert [sum(r[3] + 1) for r in one] == [sum(together[3][together[0] == i] + 1) for i in range(len(raws))]
+    if "LONGEST" not in limits:
+        for k in range(1, 6):
+            assert [x for r in one for x in r[k]] == list(together[k])
 
 
 def test_runs_cover_every_position(rng):
-    raw = words(random.Random(1), 500).encode()
-    anchor, first, more, off, _ = R.runs_of(raw)
-    covered = [p for a, m in zip(first, more, strict=True) for p in range(a, a + m + 1)]
-    assert covered == list(range(len(raw) - R.LENGTH + 1))
-    grams = R.gram_ranks(__import__("numpy").frombuffer(raw, "uint8"))
-    for a, m, o, h in zip(first, more, off, anchor, strict=True):
-        assert grams[a + o] == h and a + m <= a + o <= a + R.WINDOW - 1
+    raws = [words(random.Random(1), 500).encode(), b"", b"x" * 250, b"short", words(random.Random(2), 90).encode()]
+    owner, anchor, first, more, off, _ = R.runs_of(raws)
+    for i, raw in enumerate(raws):
+        mine = owner == i
+        covered = [p for a, m in zip(first[mine], more[mine], strict=True) for p in range(a, a + m + 1)]
+        assert covered == list(range(len(raw) - R.LENGTH + 1))
+        grams = R.gram_ranks(__import__("numpy").frombuffer(raw, "uint8")) if mine.any() else []
+        for a, m, o, h in zip(first[mine], more[mine], off[mine], anchor[mine], strict=True):
+            assert grams[a + o] == h and a + m <= a + o <= a + R.WINDOW - 1
 
 
 def test_removal_of_stretches():

@@ -36,8 +36,8 @@ from tidelog.llm.shingles import U64, mix
 LENGTH = 200
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
-#: Positions of a text ranked at once; a run ends there.
-BLOCK = 1 << 20
+#: Bytes of short texts ranked at once, and of a longer one; there a run ends.
+BLOCK, LONGEST = 1 << 18, 1 << 20
 #: Different runs of one anchor that one task may compare.
 GATHER = 2_048
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
@@ -80,24 +80,54 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs_of(raw: bytes) -> tuple[np.ndarray, ...]:
-    """Runs of a text: anchor rank, first position, positions less one, anchor offset, rank of the run."""
+def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive texts of about ``BLOCK`` bytes together, one at least."""
+    reach, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        done = reach[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(reach, done + BLOCK, "right")))
+        yield start, stop
+        start = stop
+
+
+def runs_of(raws: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Runs of some texts: number of the text, anchor rank, first position, positions less one, anchor offset, rank of the run.
+
+    Texts are laid end to end, so that one call ranks many short ones; positions whose string would
+    reach into the next text are left out.  A text over ``LONGEST`` is ranked in parts, where runs end.
+    """
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws))
     parts = []
-    for start in range(0, len(raw) - LENGTH + 1, BLOCK):
-        data = np.frombuffer(raw, np.uint8, min(BLOCK + LENGTH - 1, len(raw) - start), start)
-        grams = gram_ranks(data)
-        keyed = ((grams >> U64(32)) << U64(32)) | np.arange(len(grams), dtype=U64)
-        anchor = (_window_minima(keyed, WINDOW) & U64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        last = np.append(first[1:], len(anchor)) - 1
-        at = anchor[first]
-        rank = _pair(_pair(long_ranks(grams, first), long_ranks(grams, last)), ((last - first) * 256 + (at - first)).astype(U64))
-        parts.append((grams[at], first + start, last - first, at - first, rank))
+    for start, stop in _blocks(sizes):
+        whole = b"".join(raws[start:stop])
+        begin = np.cumsum(sizes[start:stop]) - sizes[start:stop]
+        for at in range(0, len(whole) - LENGTH + 1, LONGEST):
+            part = whole[at : at + LONGEST + LENGTH - 1] if len(whole) > LONGEST + LENGTH - 1 else whole
+            parts.append(_runs(np.frombuffer(part, np.uint8), begin - at, sizes[start:stop], start, at))
     if not parts:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
+        return tuple(np.empty(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
+def _runs(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, number: int, at: int) -> tuple[np.ndarray, ...]:
+    grams = gram_ranks(data)
+    keyed = ((grams >> U64(32)) << U64(32)) | np.arange(len(grams), dtype=U64)
+    anchor = (_window_minima(keyed, WINDOW) & U64(0xFFFFFFFF)).astype(np.int64)
+    inside = np.zeros(len(anchor) + 1, np.int8)
+    whole = sizes >= LENGTH
+    np.add.at(inside, np.clip(begin[whole], 0, len(anchor)), 1)
+    np.add.at(inside, np.clip((begin + sizes)[whole] - LENGTH + 1, 0, len(anchor)), -1)
+    inside = np.cumsum(inside[:-1]).astype(bool)
+    goes_on = np.concatenate(([False], inside[1:] & inside[:-1] & (anchor[1:] == anchor[:-1])))
+    first = np.flatnonzero(inside & ~goes_on)
+    last = np.flatnonzero(inside & ~np.append(goes_on[1:], False))
+    place = anchor[first]
+    rank = _pair(_pair(long_ranks(grams, first), long_ranks(grams, last)), ((last - first) * 256 + (place - first)).astype(U64))
+    owner = np.searchsorted(begin, first, "right") - 1
+    # Empty texts begin where the next one does; the last of them is the text itself.
+    return owner + number, grams[place], first - begin[owner], last - first, place - first, rank
+
+
 _RUN = "row_key long, anchor long, run long, at long, more int, off int"
 
 
@@ -107,22 +137,18 @@ def _raw(text: str | None) -> bytes:
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch.column("text"):
-            anchors = runs_of(_raw(text.as_py()))[0]
-            if len(anchors):
-                yield pa.record_batch([pa.array(anchors.view(np.int64))], names=["anchor"])
+        anchors = runs_of([_raw(t.as_py()) for t in batch.column("text")])[1]
+        yield pa.record_batch([pa.array(anchors.view(np.int64))], names=["anchor"])
 
 
 def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for key, text in zip(batch.column("row_key"), batch.column("text"), strict=True):
-            anchors, first, more, off, rank = runs_of(_raw(text.as_py()))
-            if len(anchors):
-                columns = [
-                    pa.array(np.full(len(anchors), key.as_py(), np.int64)), pa.array(anchors.view(np.int64)), pa.array(rank.view(np.int64)),
-                    pa.array(first), pa.array(more.astype(np.int32)), pa.array(off.astype(np.int32)),
-                ]
-                yield pa.record_batch(columns, names=["row_key", "anchor", "run", "at", "more", "off"])
+        owner, anchors, first, more, off, rank = runs_of([_raw(t.as_py()) for t in batch.column("text")])
+        columns = [
+            batch.column("row_key").take(pa.array(owner)), pa.array(anchors.view(np.int64)), pa.array(rank.view(np.int64)),
+            pa.array(first), pa.array(more.astype(np.int32)), pa.array(off.astype(np.int32)),
+        ]
+        yield pa.record_batch(columns, names=["row_key", "anchor", "run", "at", "more", "off"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
