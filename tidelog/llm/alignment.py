@@ -36,9 +36,11 @@ from tidelog.llm.vocabularies import read_file
 
 BLANK = "▁"
 #: Bytes of text aligned at once (one text at least), and pairs made at once.
-BATCH_BYTES, PAIRS = 4 << 20, 4 << 20
+BATCH_BYTES, PAIRS = 2 << 20, 2 << 20
 #: Different stretches a worker keeps aligned.
 KEPT = 400_000
+#: Stretches joined to one text, and texts tokenized in one call.
+TOGETHER, CALL = 64, 64
 #: Partial counts a task holds before it passes them on.
 PARTIAL = 1 << 20
 #: Most frequent pairs (16 bytes each) that are broadcast; the others are joined by shuffle.
@@ -66,15 +68,48 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         plain = [b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.b_bytes = pa.array([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else q for i, (p, q) in enumerate(zip(pieces, plain, strict=True))], pa.binary())
+        self.a_size, self.b_size = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (self.a_bytes, self.b_bytes))
         made = json.loads(byte_model)
         usual = made.get("normalizer") is None and all(t.get("special") for t in made.get("added_tokens", []))
         words = made.get("pre_tokenizer") or {}
         usual = usual and words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space")
         self.cuts = bool(usual) and not any(BLANK in p.lstrip(BLANK) for i, p in enumerate(pieces) if plain[i])
 
-    def tokens(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Identifiers of both; every stretch starts with a blank, which the piece vocabulary adds itself."""
-        return [e.ids for e in self.a.encode_batch(stretches, add_special_tokens=False)], self.b.encode([s[1:] for s in stretches], num_threads=1)
+    def tokens(self, whole: pa.Array, joinable: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Where the tokens of each stretch begin, and their identifiers, of both.
+
+        Every stretch starts with a blank, which the piece vocabulary adds itself.  The first ``joinable``
+        ones end where another stretch may follow, so many of them are one text to the tokenizers.
+        """
+        texts = [s.decode("utf-8", "replace") for s in whole.to_pylist()]
+        units = ["".join(texts[i : min(i + TOGETHER, joinable)]) for i in range(0, joinable, TOGETHER)]
+        ends = np.cumsum(pc.binary_length(whole).to_numpy().astype(np.int64))[:joinable]
+        a: list[list[int]] = []
+        for start in range(0, len(units), CALL):
+            a += [e.ids for e in self.a.encode_batch(units[start : start + CALL], add_special_tokens=False)]
+        parted = self._parted(a, self.a_size, ends), self._parted(self.b.encode([u[1:] for u in units], num_threads=1), self.b_size, ends)
+        if parted[0] is None or parted[1] is None:
+            return self.tokens(whole, 0)
+        rest = texts[joinable:]
+        single = _flat([e.ids for e in self.a.encode_batch(rest, add_special_tokens=False)]), _flat(self.b.encode([t[1:] for t in rest], num_threads=1))
+        return tuple((np.concatenate((at, at[-1] + more[1:])), np.concatenate((ids, others))) for (at, ids), (more, others) in zip(parted, single, strict=True))
+
+    def _parted(self, lists: list[list[int]], size: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Identifiers of joined stretches dealt to them by their ends; None if a token lies across an end."""
+        ids = _flat(lists)[1]
+        reach = np.cumsum(size[ids])
+        at = np.searchsorted(reach, ends, "right")
+        if len(ends) and not np.array_equal(np.concatenate(([0], reach))[at], ends):
+            return None
+        return np.concatenate(([0], at)), ids
+
+
+def _solid(last: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Whether a byte, with the one before it, ends an ASCII sign or letter, or a letter of two bytes from U+00C0 on.
+
+    None of them is white space or the mark of a blank.
+    """
+    return ((last > 32) & (last < 127)) | ((last >= 128) & (lead >= 0xC3) & (lead <= 0xDF))
 
 
 def stretches(texts: pa.Array, cuts: bool) -> pa.ListArray:
@@ -83,10 +118,7 @@ def stretches(texts: pa.Array, cuts: bool) -> pa.ListArray:
     data = np.frombuffer(texts.buffers()[2], np.uint8)[: offsets[-1]]
     begins = np.zeros(len(data) + 1, bool)
     if cuts:
-        last, lead = data[1:-1], data[:-2]
-        # An ASCII sign or letter, or a letter of two bytes from U+00C0 on: no white space, and not the mark of a blank.
-        solid = ((last > 32) & (last < 127)) | ((last >= 128) & (lead >= 0xC3) & (lead <= 0xDF))
-        begins[2:-1] = (data[2:] == 32) & solid
+        begins[2:-1] = (data[2:] == 32) & _solid(data[1:-1], data[:-2])
         begins[offsets[1:] - 1] = False  # a blank that ends a text is no stretch: alone it would be an empty text
     begins[offsets] = True
     at = np.flatnonzero(begins).astype(np.int32)
@@ -118,10 +150,9 @@ def _times(columns: dict[str, np.ndarray], keys: list[str]) -> pa.Table:
 class Aligned:
     """Groups and pairs of different stretches: per stretch counts, text of its groups, and its pairs."""
 
-    def __init__(self, whole: pa.Array, pair: Pair):
+    def __init__(self, whole: pa.Array, joinable: int, pair: Pair):
         n, self.whole = len(whole), whole
-        a_lists, b_lists = pair.tokens([s.decode("utf-8", "replace") for s in whole.to_pylist()])
-        (a_at, a), (b_at, b) = _flat(a_lists), _flat(b_lists)
+        (a_at, a), (b_at, b) = pair.tokens(whole, joinable)
         a_ends, a_same = _ends(a_at, a, pair.a_bytes, whole)
         b_ends, b_same = _ends(b_at, b, pair.b_bytes, whole)
         self.same = a_same & b_same
@@ -175,8 +206,18 @@ class Aligned:
         self.codes, self.links = rows["code"].to_numpy(), rows["links_sum"].to_numpy()
 
 
+def gathered(at: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the lists at ``places``, list ``i`` being the rows from ``at[i]`` on, and where each list begins among them."""
+    size = at[places + 1] - at[places]
+    begins = np.concatenate(([0], np.cumsum(size)))
+    return np.repeat(at[places] - begins[:-1], size) + np.arange(begins[-1]), begins
+
+
 class Known:
-    """Stretches aligned so far, so that frequent ones are tokenized once per worker; emptied when full."""
+    """Stretches aligned so far, so that frequent ones are tokenized once per worker.
+
+    When full, those of the batch at hand stay.
+    """
 
     def __init__(self, pair: Pair):
         self.pair = pair
@@ -189,19 +230,41 @@ class Known:
         self.at = np.zeros(1, np.int64)
         self.text: list[bytes] = []
 
+    def _keep(self, places: np.ndarray) -> None:
+        """Only the stretches at ``places`` stay, in that order."""
+        row, at = gathered(self.at, places)
+        self.codes, self.links = self.codes[row], self.links[row]
+        for name in ("same", "n_a", "n_b", "n_groups"):
+            setattr(self, name, getattr(self, name)[places])
+        self.at, self.text, self.whole = at, [self.text[i] for i in places.tolist()], self.whole.take(pa.array(places))
+
     def places(self, whole: pa.Array) -> np.ndarray:
         """Where the given different stretches are kept, after new ones were aligned."""
         found = pc.index_in(whole, value_set=self.whole)
         if len(self.whole) + found.null_count > KEPT:
-            self.clear()
+            self._keep(found.drop_null().to_numpy().astype(np.int64))
             found = pc.index_in(whole, value_set=self.whole)
-        new = found.is_null()
         places = pc.fill_null(found, 0).to_numpy().astype(np.int64)
         if found.null_count:
-            places[new.to_numpy(zero_copy_only=False)] = len(self.whole) + np.arange(found.null_count)
-            self._add(Aligned(whole.filter(new), self.pair))
+            new = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+            joins = self._joins(whole.take(pa.array(new)))
+            new = np.concatenate((new[joins], new[~joins]))
+            places[new] = len(self.whole) + np.arange(len(new))
+            self._add(Aligned(whole.take(pa.array(new)), int(joins.sum()), self.pair))
         return places
 
+    def _joins(self, whole: pa.Array) -> np.ndarray:
+        """Which stretches another one may follow within one text, without a change to either."""
+        if not self.pair.cuts:
+            return np.zeros(len(whole), bool)
+        last, lead = (np.frombuffer(pc.binary_slice(pc.binary_join_element_wise(pa.scalar(b"  "), whole, b""), k, k + 1 or None).buffers()[2], np.uint8) for k in (-1, -2))
+        strange = pc.match_substring(whole, BLANK).to_numpy(zero_copy_only=False)
+        try:
+            whole.cast(pa.string())
+        except pa.ArrowInvalid:
+            strange[:] = True
+        return _solid(last[: len(whole)], lead[: len(whole)]) & ~strange
+
     def _add(self, more: Aligned) -> None:
         for name in ("same", "n_a", "n_b", "n_groups", "codes", "links"):
             setattr(self, name, np.concatenate((getattr(self, name), getattr(more, name))))
@@ -237,9 +300,8 @@ def align(texts: pa.Array, known: Known) -> dict[str, pa.Array]:
     inside = good[owner]
     used = _times({"doc": owner[inside], "stretch": which[inside]}, ["doc", "stretch"])
     stretch = used["stretch"].to_numpy()
-    size = (known.at[1:] - known.at[:-1])[stretch]
-    row = np.repeat(np.arange(len(stretch)), size)
-    place = known.at[stretch][row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    place, _ = gathered(known.at, stretch)
+    row = np.repeat(np.arange(len(stretch)), known.at[stretch + 1] - known.at[stretch])
     links = pa.table({"doc": used["doc"].to_numpy()[row], "code": known.codes[place], "links": known.links[place] * used["count_all"].to_numpy()[row]})
     links = links.group_by(["doc", "code"], use_threads=False).aggregate([("links", "sum")])
     doc = links["doc"].to_numpy()
@@ -273,6 +335,7 @@ def _align(byte_model: bytes, piece_model: bytes):
                 others = [c for c in part.schema.names if c != "text"]
                 yield pa.record_batch([*[part.column(c) for c in others], *found.values()], names=[*others, *found])
                 start = stop
+                pa.default_memory_pool().release_unused()
 
     return run
 
