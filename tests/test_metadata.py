@@ -1,4 +1,6 @@
+import datetime as dt
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,9 +65,117 @@ def test_change_outcomes(spark):
     assert got == {1: "ok", 2: "exists", 3: "exists", 4: "exists", 5: "invalid", 6: "not_found", 7: "ok", 8: "not_found"}
 
 
-def test_only_the_last_change_of_an_id_counts(spark):
-    got = outcomes(spark, tenants(spark, ("t1", "One", "one")), [change(1, "update", "t1", slug="a"), change(2, "delete", "t1")])
-    assert got == {1: "superseded", 2: "ok"}
+def test_changes_take_effect_one_after_the_other(spark):
+    got = outcomes(
+        spark, tenants(spark, ("t1", "One", "one")),
+        [
+            change(1, "create", "t2", slug="a"), change(2, "update", "t2", slug="b"), change(3, "create", "t3", slug="b"), change(4, "create", "t4", slug="a"),
+            change(5, "delete", "t1"), change(6, "create", "t5", slug="one"), change(7, "create", "t1", slug="one"), change(8, "create", "t1", slug="two"),
+            change(9, "update", "t9", slug="c"), change(10, "create", "t6", slug="c"), change(11, "delete", "t2"), change(12, "update", "t3", slug="b"),
+            change(13, "create", "t3", slug="d"), change(14, "create", "t7", slug="d"), change(15, "fly", "t1"), change(16, "create", None, slug="e"),
+        ],
+    )
+    failed = {3: "exists", 7: "exists", 9: "not_found", 12: "not_found", 14: "exists", 15: "invalid", 16: "invalid"}
+    assert got == {n: failed.get(n, "ok") for n in range(1, 17)}
+
+
+class OneByOne:
+    """A plain model of a relation with one unique value; changes are made in turn."""
+
+    def __init__(self, rows, key, unique, required, positive, touch):
+        self.rows = [dict(r) for r in rows]
+        self.key, self.unique, self.required, self.positive, self.touch = key, unique, required, positive, touch
+
+    def make(self, c, now):
+        op, mine = c["op"], [r for r in self.rows if r[self.key] == c[self.key]]
+        writes = op in ("create", "update")
+        if op not in ("create", "update", "delete", "revoke", "touch") or c[self.key] is None:
+            return "invalid"
+        if writes and (any(not (c[n] or "").strip() for n in self.required) or any(not (c[n] or 0) > 0 for n in self.positive)):
+            return "invalid"
+        value = tuple(c[n] for n in self.unique)
+        taken = bool(self.unique) and any(tuple(r[n] for n in self.unique) == value and r[self.key] != c[self.key] for r in self.rows)
+        if op == "create" and (mine or taken):
+            return "exists"
+        if op != "create" and not mine:
+            return "not_found"
+        if op == "update" and taken:
+            return "exists"
+        if op == "create":
+            row = {n: c[n] for n in self.rows_columns}
+            row |= {n: now for n in ("created_at", "updated_at") if n in row}
+            if "status" in row:
+                row["status"] = row["status"] or "active"
+            self.rows.append(row)
+        elif op == "delete":
+            self.rows = [r for r in self.rows if r[self.key] != c[self.key]]
+        for r in mine:
+            if op == "revoke" and "status" in r:
+                r["status"] = "revoked"
+            if op == "touch" and self.touch:
+                r[self.touch] = c[self.touch]
+            if op == "update":
+                fixed = {"id", self.key, "created_at", self.touch}
+                r |= {n: c[n] for n in r if n not in fixed}
+                r["updated_at"] = now
+                if "status" in r:
+                    r["status"] = r["status"] or "active"
+        return "ok"
+
+
+RELATIONS = {
+    "tenants": dict(schema=TENANTS, key="id", unique=["slug"], required=["name", "slug"], positive=(), touch=None, ops=["create", "update", "delete"]),
+    "services": dict(schema=SERVICES, key="id", unique=["tenant_id", "name"], required=["tenant_id", "name"], positive=(), touch=None, ops=["create", "delete", "update"]),
+    "api_keys": dict(schema=API_KEYS, key="id", unique=["key_hash"], required=["tenant_id", "key_hash", "name"], positive=(), touch="last_used_at", ops=["create", "revoke", "touch", "delete"]),
+    "policies": dict(schema=RETENTION_POLICIES, key="tenant_id", unique=[], required=["tenant_id"], positive=("retention_days",), touch=None, ops=["create", "update", "delete"]),
+}
+
+
+@pytest.mark.parametrize("hot", [M.HOT, 3])
+@pytest.mark.parametrize("relation", RELATIONS)
+def test_batches_against_one_by_one(spark, relation, hot, monkeypatch):
+    """Random batches over few keys and values, so that changes hang on each other; also folded in slices."""
+    monkeypatch.setattr(M, "HOT", hot)
+    how, rng = RELATIONS[relation], random.Random(f"{relation}{hot}")
+    names = how["schema"].fieldNames()
+
+    def row(i):
+        pick = {"id": f"i{i}", "tenant_id": f"t{rng.randrange(5)}", "name": rng.choice(["a", "b", "c", " "]), "slug": rng.choice("uvwxyz"), "key_hash": rng.choice("uvwxyz")}
+        pick |= {"status": rng.choice(["", "suspended"]), "retention_days": rng.choice([0, 7, 30]), "enabled": rng.random() < 0.5}
+        return {n: pick.get(n, T0 + dt.timedelta(minutes=rng.randrange(99)) if n.endswith("_at") else None) for n in names}
+
+    held = [row(i) for i in range(5)]
+    if relation == "policies":
+        held = [{**r, "tenant_id": f"t{i}"} for i, r in enumerate(held[:3])]
+    batch = [{**row(rng.randrange(9)), "seq": n * 7, "op": rng.choice(how["ops"])} for n in range(70)]
+    model = OneByOne(held, how["key"], how["unique"], how["required"], how["positive"], how["touch"])
+    model.rows_columns = names
+    now = at("2026-06-01T00:00:00")
+    want = {c["seq"]: model.make(c, now) for c in batch}
+
+    snapshot = spark.createDataFrame([tuple(r[n] for n in names) for r in held], how["schema"])
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in how["schema"].fields]
+    changes = spark.createDataFrame([(c["seq"], c["op"], *(c[n] for n in names)) for c in batch], ", ".join(["seq long", "op string", *fields]))
+    after, made = M.apply_metadata_changes(snapshot, changes, how["unique"], how["required"], now, how["touch"], how["key"], how["positive"])
+    assert {r["seq"]: r["outcome"] for r in made.collect()} == want and len(set(want.values())) > 2
+    assert sorted(map(repr, map(tuple, after.collect()))) == sorted(repr(tuple(r[n].replace(tzinfo=None) if n.endswith("_at") and r[n] else r[n] for n in names)) for r in model.rows)
+
+
+def test_long_chain_of_freed_values(spark):
+    """Every change needs the one before it."""
+    existing = tenants(spark, *[(f"t{i}", "n", f"s{i}") for i in range(8)])
+    got = outcomes(spark, existing, [change(i, "update", f"t{7 - i}", slug=f"s{8 - i}") for i in range(8)])
+    assert set(got.values()) == {"ok"}
+    got = outcomes(spark, existing, [change(i, "update", f"t{i}", slug=f"s{i + 1}") for i in range(8)])
+    assert got == {**dict.fromkeys(range(7), "exists"), 7: "ok"}
+
+
+def test_no_changes_and_no_rows(spark):
+    none, rows = spark.createDataFrame([], TENANTS), tenants(spark, ("t1", "One", "one"))
+    empty = spark.createDataFrame([], CHANGE)
+    assert outcomes(spark, none, [change(1, "create", "t1", slug="a"), change(2, "delete", "t2")]) == {1: "ok", 2: "not_found"}
+    after, made = M.apply_metadata_changes(rows, empty, ["slug"], ["name"], "2026-06-01T00:00:00Z")
+    assert made.count() == 0 and after.collect() == rows.collect()
 
 
 def test_new_snapshot(spark):

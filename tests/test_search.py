@@ -18,7 +18,9 @@ def docs(spark):
         event(service="pay", level="ERROR", message="Café timeout_7 après 30s", timestamp="2026-08-29T00:00:00Z"),
         event(service="pay", level="WARN", message="mismatched words", timestamp="2026-08-30T23:59:59.999999Z"),
     ]
-    return I.accepted(raw_frame(spark, values)).cache()
+    frame = I.accepted(raw_frame(spark, values)).cache()
+    yield frame
+    frame.unpersist()
 
 
 def offsets(df):

@@ -7,12 +7,14 @@ below ``spark.sql.autoBroadcastJoinThreshold`` and splits skewed keys otherwise.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.text import is_error, ws_trim
 from tidelog.functions.times import as_timestamp
+from tidelog.session import shared_dir
 
 # Statuses (fixed values).
 ACTIVE = "active"
@@ -215,41 +217,123 @@ def metadata_audit(tenants: DataFrame, keys: DataFrame, services: DataFrame, pol
 
 # ------------------------------------------------------------ batch changes
 
+#: Changes of one key, or of one unique value, that one task may put in order; beyond it they are folded in slices.
+HOT = 1_000_000
+SLICES = 256
+_WRITES = ("create", "update")
+_OPS = (*_WRITES, "delete", "revoke", "touch")
 
-def change_outcomes(snapshot: DataFrame, changes: DataFrame, unique: list[str], required: list[str]) -> DataFrame:
-    """Outcome of each change: ok, exists, not_found, invalid or superseded.
 
-    ``changes`` has ``seq, op, id`` beside the columns of ``snapshot``; ``op`` is
-    create, update, delete, revoke or touch.  A batch carries one effective
-    change per id, the one with the highest ``seq``; earlier ones are superseded.
-    The ``unique`` columns together may belong to one id only: a create or update
-    that takes a value of another id, in the snapshot or claimed by a lower
-    ``seq`` of the batch, gets ``exists``.
-    """
-    latest = changes.groupBy("id").agg(F.max("seq").alias("_latest"))
-    writes = F.col("op").isin("create", "update")
-    invalid = F.lit(False)
-    for name in required:
-        invalid = invalid | (writes & _blank(name))
-    rows = changes.join(latest, "id").withColumn("_invalid", invalid)
-    rows = rows.withColumn("_effective", F.col("seq") == F.col("_latest"))
-
-    claims = rows.where(writes & ~F.col("_invalid") & F.col("_effective")).groupBy(*unique).agg(F.min("seq").alias("_claim"))
-    owners = snapshot.groupBy(*unique).agg(F.min("id").alias("_owner"))
-    present = snapshot.select("id", F.lit(True).alias("_present"))
-    rows = rows.join(present, "id", "left").join(owners, unique, "left").join(claims, unique, "left")
+def _before(rows: DataFrame, key: str, value: Column, name: str, sliced: bool, total: bool = False) -> DataFrame:
+    """``name``: of the rows of ``key`` with a lower ``seq``, the last ``value`` that is not null, or their sum.
 
-    there = F.coalesce(F.col("_present"), F.lit(False))
-    taken = F.coalesce(F.col("_owner") != F.col("id"), F.lit(False)) | F.coalesce(F.col("_claim") < F.col("seq"), F.lit(False))
+    With ``sliced``, each slice of a key is reduced on its own first, and what comes before it is handed in.
+    """
+    until = (Window.unboundedPreceding, -1)
+    fold = F.sum if total else (lambda column: F.last(column, ignorenulls=True))
+    rows = rows.withColumn("_fold", value)
+    if not sliced:
+        rows = rows.withColumn(name, fold("_fold").over(Window.partitionBy(key).orderBy("seq").rowsBetween(*until)))
+        return rows.drop("_fold")
+    each = F.sum("_fold") if total else F.max_by("_fold", F.when(F.col("_fold").isNotNull(), F.col("seq")))
+    carry = rows.groupBy(key, "_slice").agg(each.alias("_part"))
+    carry = carry.withColumn("_carry", fold("_part").over(Window.partitionBy(key).orderBy("_slice").rowsBetween(*until)))
+    rows = rows.join(carry.drop("_part"), [key, "_slice"])
+    inside = fold("_fold").over(Window.partitionBy(key, "_slice").orderBy("seq").rowsBetween(*until))
+    both = F.coalesce(inside, F.lit(0)) + F.coalesce("_carry", F.lit(0)) if total else F.coalesce(inside, "_carry")
+    return rows.withColumn(name, both).drop("_fold", "_carry")
+
+
+def _with_outcome(rows: DataFrame, sliced: bool) -> DataFrame:
+    """Outcome of each change if ``_taken`` is right, whether its row was there before, and that row's unique value."""
+    op, taken, invalid = F.col("op"), F.col("_taken"), F.col("_invalid")
+    sets = F.when((op == "create") & ~invalid & ~taken, F.lit(True)).when((op == "delete") & ~invalid, F.lit(False))
+    rows = _before(rows, "_key", sets, "_here", sliced)
+    here = F.coalesce("_here", "_present")
     outcome = (
-        F.when(~F.col("_effective"), "superseded")
-        .when(F.col("_invalid"), "invalid")
-        .when((F.col("op") == "create") & (there | taken), "exists")
-        .when((F.col("op") != "create") & ~there, "not_found")
-        .when((F.col("op") == "update") & taken, "exists")
+        F.when(invalid, "invalid")
+        .when((op == "create") & (here | taken), "exists")
+        .when((op != "create") & ~here, "not_found")
+        .when((op == "update") & taken, "exists")
         .otherwise("ok")
     )
-    return rows.withColumn("outcome", outcome).select(*changes.columns, "outcome")
+    rows = rows.withColumn("_here", here).withColumn("outcome", outcome)
+    wrote = F.when((F.col("outcome") == "ok") & op.isin(*_WRITES), F.col("_value"))
+    return _before(rows, "_key", wrote, "_last", sliced).withColumn("_old", F.coalesce("_last", "_first")).drop("_last")
+
+
+def _with_taken(rows: DataFrame, sliced: bool) -> DataFrame:
+    """``_now``: whether another row held a write's unique value at its moment, given all outcomes before it."""
+    op, ok, own = F.col("op"), F.col("outcome") == "ok", F.col("_here") & F.col("_old").eqNullSafe(F.col("_value"))
+    rows = rows.withColumn("_own", own)
+    claims = F.when(ok & ~F.col("_own"), 1).otherwise(0)
+    probes = rows.where("_probe").withColumns({"_step": claims, "_on": F.col("_value"), "_free": F.lit(False)})
+    leaves = ok & F.col("_old").isNotNull() & ((op == "delete") | ((op == "update") & ~F.col("_own")))
+    frees = rows.where(leaves).withColumns({"_step": F.lit(-1), "_on": F.col("_old"), "_free": F.lit(True)})
+    both = _before(probes.unionByName(frees), "_on", F.col("_step"), "_held", sliced, total=True).where(~F.col("_free"))
+    held = F.coalesce("_held", F.lit(0)) + F.col("_holders") - F.col("_own").cast("int")
+    both = both.withColumn("_now", held > 0).drop("_step", "_on", "_free", "_held")
+    return both.unionByName(rows.where(~F.col("_probe")).withColumn("_now", F.lit(False))).drop("_own")
+
+
+def change_outcomes(
+    snapshot: DataFrame, changes: DataFrame, unique: list[str], required: list[str], key: str = "id", positive: tuple[str, ...] = ()
+) -> DataFrame:
+    """Outcome of each change of a batch, as if they were made one by one: ok, exists, not_found or invalid.
+
+    ``changes`` has ``seq, op`` beside the columns of ``snapshot``; ``seq`` is unique and orders them,
+    ``op`` is create, update, delete, revoke or touch, ``key`` names the row.  A write without a
+    value in a ``required`` column or not above zero in a ``positive`` one, an unknown ``op`` and a
+    null key are invalid.  The ``unique`` columns together may belong to one row only: a write that
+    takes the value another row has at that moment gets ``exists``.
+
+    A change depends on what came before it on its key and on its unique value.  Both are folds over
+    ``seq`` in Spark windows: the last change that made or removed the row, and the number of rows
+    that hold the value.  Each fold needs the other's result, so they take turns, starting
+    with no value taken, until nothing changes.  As a change depends on earlier ones only, the outcome that
+    stays is that of the changes made one by one, after as many turns at most as changes hang on each other.
+    Every turn is a written table.
+    """
+    spark = changes.sparkSession
+    op = F.col("op")
+    invalid = ~op.isin(*_OPS) | F.col(key).isNull()
+    for name in required:
+        invalid = invalid | (op.isin(*_WRITES) & _blank(name))
+    for name in positive:
+        invalid = invalid | (op.isin(*_WRITES) & ~(F.coalesce(F.col(name), F.lit(0)) > 0))
+    value = F.struct(*unique) if unique else F.lit(None).cast("string")
+    rows = changes.select(F.struct(*changes.columns).alias("_row"), "seq", "op", F.col(key).alias("_key"), value.alias("_value"), F.coalesce(invalid, F.lit(True)).alias("_invalid"))
+    probe = op.isin(*_WRITES) & ~F.col("_invalid") & F.lit(bool(unique))
+    rows = rows.withColumn("_probe", F.coalesce(probe, F.lit(False)))
+
+    first = snapshot.groupBy(F.col(key).alias("_key")).agg(F.lit(True).alias("_there"), F.min(value).alias("_first"))
+    rows = rows.join(first, "_key", "left").withColumn("_present", F.coalesce("_there", F.lit(False))).drop("_there")
+    if unique:
+        holders = snapshot.groupBy(value.alias("_value")).agg(F.count(F.lit(1)).alias("_holders"))
+        asked = rows.where("_probe").join(holders, "_value", "left").withColumn("_holders", F.coalesce("_holders", F.lit(0)))
+        rows = asked.unionByName(rows.where(~F.col("_probe")).withColumn("_holders", F.lit(0).cast("long")))
+    span = rows.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    width = max(1, -(-((span["high"] or 0) - (span["low"] or 0) + 1) // SLICES))
+    rows = rows.withColumn("_slice", F.expr(f"(seq - {span['low'] or 0}L) div {width}L")).withColumn("_taken", F.lit(False))
+
+    root = shared_dir(spark, "tidelog-changes", uuid.uuid4().hex)
+    rows, turn = _written(rows, f"{root}/start"), 0
+    held = [rows, rows.where("_probe")] if unique else [rows]
+    sliced = max(df.groupBy(c).count().agg(F.max("count")).first()[0] or 0 for df, c in zip(held, ("_key", "_value"), strict=False)) > HOT
+    while True:
+        rows = _with_outcome(rows, sliced)
+        if not unique:
+            break
+        rows = _written(_with_taken(rows, sliced), f"{root}/turn-{turn}")
+        if rows.where(F.col("_now") != F.col("_taken")).isEmpty():
+            break
+        rows, turn = rows.withColumn("_taken", F.col("_now")).drop("_now", "outcome", "_here", "_old"), turn + 1
+    return rows.select("_row.*", "outcome")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def apply_metadata_changes(
@@ -259,31 +343,53 @@ def apply_metadata_changes(
     required: list[str],
     as_of: Column | str | dt.datetime,
     touch_column: str | None = None,
+    key: str = "id",
+    positive: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """(new snapshot, outcomes) of a batch of changes; the inputs are not modified."""
-    outcomes = change_outcomes(snapshot, changes, unique, required)
-    now = as_timestamp(as_of)
-    fields = [c for c in snapshot.columns if c != "id"]
-    done = outcomes.where(F.col("outcome") == "ok").select(
-        "id", F.col("op").alias("_op"), *[F.col(c).alias(f"_new_{c}") for c in fields]
-    )
-    both = snapshot.join(done, "id", "full_outer").where(F.coalesce(F.col("_op"), F.lit("")) != "delete")
+    """(new snapshot, outcomes) of a batch of changes; the inputs are not modified.
 
-    def value(name: str) -> Column:
-        old, new = F.col(name), F.col(f"_new_{name}")
-        if name == "created_at":
-            return F.when(F.col("_op") == "create", now).otherwise(old)
+    Of all changes of a key that are ok, the new row has the fields of its last create or update, the
+    status of the last one that sets it, and the last touch; ``id`` and ``created_at`` are those of its
+    creation.  A row deleted and made again is a new one.
+    """
+    outcomes = change_outcomes(snapshot, changes, unique, required, key, positive)
+    now = as_timestamp(as_of)
+    fixed = list(dict.fromkeys(["id", key, "created_at"]))
+    fields = [c for c in snapshot.columns if c not in fixed]
+    op, seq = F.col("op"), F.col("seq")
+
+    def last(value: Column, *ops: str) -> Column:
+        return F.max_by(value, F.when(op.isin(*ops), seq))
+
+    done = outcomes.where(F.col("outcome") == "ok").groupBy(F.col(key).alias("_key")).agg(
+        last(op, "create", "delete").alias("_set"),
+        F.max(op == "delete").alias("_gone"),
+        last(F.struct(*[c for c in fixed if c != "created_at"]), "create").alias("_made"),
+        last(F.struct(*fields), *_WRITES).alias("_new"),
+        last(F.struct(op), *_WRITES, "revoke").alias("_state"),
+        *([last(F.struct(touch_column), "touch", "create").alias("_touch")] if touch_column else []),
+    )
+
+    def value(name: str, old: Column) -> Column:
+        wrote = F.col("_new").isNotNull()
         if name == "updated_at":
-            return F.when(F.col("_op").isin("create", "update"), now).otherwise(old)
+            return F.when(wrote, now).otherwise(old)
         if name == touch_column:
-            return F.when(F.col("_op") == "touch", new).when(F.col("_op") == "create", new).otherwise(old)
+            return F.when(F.col("_touch").isNotNull(), F.col(f"_touch.{name}")).otherwise(old)
         if name == "status":
-            given = F.coalesce(F.nullif(new, F.lit("")), F.lit(ACTIVE))
-            written = F.when(F.col("_op").isin("create", "update"), given).otherwise(old)
-            return F.when(F.col("_op") == "revoke", F.lit(REVOKED)).otherwise(written)
-        return F.when(F.col("_op").isin("create", "update"), new).otherwise(old)
-
-    return both.select("id", *[value(c).alias(c) for c in fields]), outcomes
+            given = F.coalesce(F.nullif(F.col("_new.status"), F.lit("")), F.lit(ACTIVE))
+            return F.when(F.col("_state.op") == "revoke", F.lit(REVOKED)).when(wrote, given).otherwise(old)
+        return F.when(wrote, F.col(f"_new.{name}")).otherwise(old)
+
+    kept = snapshot.join(done, snapshot[key].eqNullSafe(done["_key"]), "left").where(~F.coalesce("_gone", F.lit(False)))
+    kept = kept.select(*[F.col(c) if c in fixed else value(c, F.col(c)).alias(c) for c in snapshot.columns])
+    kinds = {f.name: f.dataType for f in snapshot.schema.fields}
+    made = done.where(F.col("_set") == "create")
+    made = made.select(*[
+        now.cast(kinds[c]).alias(c) if c == "created_at" else F.col(f"_made.{c}").alias(c) if c in fixed else value(c, F.lit(None).cast(kinds[c])).alias(c)
+        for c in snapshot.columns
+    ])
+    return kept.unionByName(made), outcomes
 
 
 # ------------------------------------------------------------- reconciliation
