@@ -1,6 +1,7 @@
 """All registered queries; importing a family registers it."""
 
 from tidelog.plans import (  # noqa: F401
+    change_queries,
     ingest_queries,
     metadata_queries,
     metric_queries,

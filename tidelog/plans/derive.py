@@ -217,19 +217,78 @@ def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Changes fall into this many groups that share no id and no unique value with each other.
+CELLS = 199
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with what change batches are made of: ``seq``, ``op``, ``cell`` and the number of a row in that cell."""
+    key, cell = F.col("o_orderkey"), F.col("o_custkey") % CELLS
+    op = F.when(F.col("o_orderstatus") == "O", "create").when(F.col("o_orderstatus") == "F", "update").otherwise("delete")
+    rows = table(spark, sf_dir, "orders").withColumns({"seq": key, "op": op, "cell": cell, "number": cell + CELLS * (key % 9)})
+    return rows.withColumns({"created_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")})
+
+
 def tenant_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A change per order: create, update or delete of a tenant."""
-    key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
-        key.alias("seq"),
-        F.when(F.col("o_orderstatus") == "O", "create").when(F.col("o_orderstatus") == "F", "update").otherwise("delete").alias("op"),
-        _text("t-", F.col("o_custkey") + key % 3 * 1000).alias("id"),
+    """A change per order: create, update or delete of a tenant; slugs are few, and some are those of old tenants."""
+    key, other = F.col("seq"), F.col("cell") + CELLS * (F.col("seq") % 4)
+    old = F.concat(F.lit("customer-"), F.lpad(other.cast("string"), 9, "0"))
+    return _orders(spark, sf_dir).select(
+        "seq", "op",
+        _text("t-", F.col("number")).alias("id"),
         F.when(key % 41 == 0, "").otherwise(_text("Tenant ", key)).alias("name"),
-        _text("slug-", key % 2000).alias("slug"),
+        F.when(key % 11 == 0, old).otherwise(_text("slug-", F.col("cell"), "-", key % 5)).alias("slug"),
         F.when(key % 4 == 0, "suspended").otherwise("").alias("status"),
-        F.lit(None).cast("timestamp").alias("created_at"),
-        F.lit(None).cast("timestamp").alias("updated_at"),
-    )
+        "created_at", "updated_at",
+    )
+
+
+def service_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change per order: create, update or delete of a service of one of two tenants."""
+    key = F.col("seq")
+    return _orders(spark, sf_dir).select(
+        "seq", "op",
+        _text("s-", F.col("number")).alias("id"),
+        F.when(key % 37 == 0, " ").otherwise(_text("t-", F.col("cell") + CELLS * (key % 2))).alias("tenant_id"),
+        _text("svc-", key % 3).alias("name"),
+        "created_at", "updated_at",
+    )
+
+
+def policy_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change per order: create, update or delete of a tenant's retention policy."""
+    key = F.col("seq")
+    return _orders(spark, sf_dir).select(
+        "seq", "op",
+        _text("p-", key).alias("id"),
+        _text("t-", F.col("number")).alias("tenant_id"),
+        (key % 40).cast("int").alias("retention_days"),
+        (key % 3 == 0).alias("enabled"),
+        "created_at", "updated_at",
+    )
+
+
+def single_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policies with the tenant that each id names, so none has two."""
+    return policies(spark, sf_dir).withColumn("tenant_id", F.concat(F.lit("t-"), F.expr("substr(id, 3)")))
+
+
+def key_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change per order: create, touch, delete or revoke of a key; hashes are few, and many are those of old keys."""
+    key, cell = F.col("seq"), F.col("cell")
+    turn = F.floor(key / 3) % 4
+    rows = _orders(spark, sf_dir).withColumn("op", F.when(turn == 0, "create").when(turn == 1, "touch").when(turn == 2, "delete").otherwise("revoke"))
+    return rows.select(
+        "seq", "op",
+        _text("k-", F.col("number")).alias("id"),
+        _text("t-", cell).alias("tenant_id"),
+        F.sha2(_text("key-", cell + CELLS * (key % 11)), 256).alias("key_hash"),
+        F.when(key % 43 == 0, "").otherwise(F.col("o_orderpriority")).alias("name"),
+        F.lit("").alias("status"),
+        "created_at",
+        F.col("o_orderdate").cast("timestamp").alias("last_used_at"),
+        F.lit(None).cast("timestamp").alias("expires_at"),
+    )
 
 
 # ----------------------------------------------------------------- telemetry

@@ -216,50 +216,6 @@ def metadata_audit(spark, sf):
     return M.metadata_audit(derive.tenants(spark, sf), keys, derive.services(spark, sf), derive.policies(spark, sf))
 
 
-_CHANGES = TENANTS + """,
-changes AS (
-  SELECT o_orderkey AS seq, CASE o_orderstatus WHEN 'O' THEN 'create' WHEN 'F' THEN 'update' ELSE 'delete' END AS op,
-    't-' || (o_custkey + o_orderkey % 3 * 1000) AS id, CASE WHEN o_orderkey % 41 = 0 THEN '' ELSE 'Tenant ' || o_orderkey END AS name,
-    'slug-' || (o_orderkey % 2000) AS slug, CASE WHEN o_orderkey % 4 = 0 THEN 'suspended' ELSE '' END AS status FROM orders
-),
-marked AS (
-  SELECT *, op <> 'delete' AND trim(name) = '' AS invalid, seq = max(seq) OVER (PARTITION BY id) AS effective,
-    id IN (SELECT id FROM tenants) AS there FROM changes
-),
-claimed AS (
-  SELECT *, min(CASE WHEN op <> 'delete' AND NOT invalid AND effective THEN seq END) OVER (PARTITION BY slug) AS claim,
-    (SELECT min(t.id) FROM tenants t WHERE t.slug = marked.slug) AS owner FROM marked
-),
-outcomes AS (
-  SELECT seq, op, id, name, slug, status, CASE WHEN NOT effective THEN 'superseded' WHEN invalid THEN 'invalid'
-    WHEN op = 'create' AND (there OR coalesce(owner <> id, false) OR coalesce(claim < seq, false)) THEN 'exists'
-    WHEN op <> 'create' AND NOT there THEN 'not_found'
-    WHEN op = 'update' AND (coalesce(owner <> id, false) OR coalesce(claim < seq, false)) THEN 'exists' ELSE 'ok' END AS outcome
-  FROM claimed
-)"""
-
-
-@query("metadata_change_outcomes", with_tables(_CHANGES, "SELECT seq, op, id, outcome FROM outcomes"))
-def metadata_change_outcomes(spark, sf):
-    outcomes = M.change_outcomes(derive.tenants(spark, sf), derive.tenant_changes(spark, sf), ["slug"], ["name", "slug"])
-    return outcomes.select("seq", "op", "id", "outcome")
-
-
-@query("apply_metadata_changes", with_tables(_CHANGES, f"""
-SELECT id, name, slug, status, {rfc3339('created_at')} AS created_at, {rfc3339('updated_at')} AS updated_at FROM (
-  SELECT coalesce(t.id, o.id) AS id, coalesce(o.name, t.name) AS name, coalesce(o.slug, t.slug) AS slug,
-    CASE WHEN o.op IS NULL THEN t.status ELSE coalesce(nullif(o.status, ''), 'active') END AS status,
-    CASE WHEN o.op = 'create' THEN TIMESTAMP '2024-06-01' ELSE t.created_at END AS created_at,
-    CASE WHEN o.op IS NULL THEN t.created_at ELSE TIMESTAMP '2024-06-01' END AS updated_at, o.op
-  FROM tenants t FULL JOIN (SELECT * FROM outcomes WHERE outcome = 'ok') o ON o.id = t.id)
-WHERE op IS NULL OR op <> 'delete'"""))
-def apply_metadata_changes(spark, sf):
-    snapshot, _ = M.apply_metadata_changes(
-        derive.tenants(spark, sf), derive.tenant_changes(spark, sf), ["slug"], ["name", "slug"], "2024-06-01T00:00:00Z"
-    )
-    return snapshot.select("id", "name", "slug", "status", stamp("created_at"), stamp("updated_at"))
-
-
 # ------------------------------------------------------------ reconciliation
 
 
