@@ -1,25 +1,26 @@
 """Sources interleaved to target weights by Pfair scheduling.
 
-Rows of a source form blocks in a fixed random order.  A weight of ``u`` units
-gives a source ``u`` blocks in every period.  In a period of ``C`` blocks in all,
-its ``j``-th block (from 0) may not stand before slot ``floor(j * C / u)`` and has to
-stand before slot ``ceil((j + 1) * C / u)``: the release time and the deadline of
-an even flow.  Earliest deadline first among the released blocks meets all of
-them, so that every prefix of a period holds each source's share to less than one
-block.  A source that runs out leaves the period and the others share its slots,
-still in proportion; every row comes out exactly once.
-
-Units are whole, so weights are rounded, by the same error in every period.  With
-``carry`` a period's make-up comes from the weight itself: by its end source ``s``
-has had ``floor(periods * weight + phase)`` blocks, the fraction carried over.  The
-deviation from the weights then does not grow with the table, and a weight below
-one unit skips periods.  Phases are the golden ratio's multiples, so that small
-sources do not all wait for the same period.
-
-Without ``carry`` only the table of periods' make-ups passes through the scheduler, a fold over the
-slots of one period for each distinct make-up (at most two per source and one).
-Rows are placed by arithmetic and two equi-joins.  Everything is Spark
-expressions.
+Rows of a source form blocks in a fixed random order.  With ``w`` its share of the
+weights, its ``j``-th block (from 0) may not stand before slot ``floor(j / w)`` and has
+to stand before slot ``ceil((j + 1) / w)``: the release time and the deadline of an
+even flow.  Earliest deadline first among the released blocks, sources in order among equal
+deadlines, meets all of them, so that every prefix holds each source's share to
+less than one block.  When a source has run out, a new stretch begins in which the others
+share all slots, still in proportion; every row comes out exactly once.  Shares are
+integers over their sum, ``UNITS`` of them in all, and all arithmetic is exact.
+
+Slots are many, so the schedule is made in pieces at once.  What has been done by a
+moment differs from the even flow only in which of the open blocks are done, and how many
+those are is known.  If at an earlier moment the open blocks of earliest deadline are
+taken as done, all later deadlines are still met, and once the deadlines of
+that moment's open blocks have passed, earliest deadline first has arrived at the very
+state it would have had from the start: which blocks are open then depends on
+releases since and on the number of open blocks only, not on which they were.  So a
+piece starts from a run over the slots before it, as many as the longest time between release
+and deadline, which is that of the smallest share.
+
+Only sources (some numbers each) are gathered in one row; the table of blocks is joined to the
+rows.  Everything is Spark expressions.
 """
 
 from __future__ import annotations
@@ -31,26 +32,104 @@ from tidelog.llm.scratch import Scratch
 
 ADDED = ("source_block", "position", "place")
 BLOCK = 16
-UNITS = 1000
-#: Rows of the period and slot tables (40 bytes each) up to which they are broadcast.
+#: Sum of the shares as integers; a share is off by half of one at most, a prefix of T slots so by T / 2 ** 37 blocks.
+UNITS = 2**36
+#: Rows of the block table (24 bytes each) up to which it is broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
-#: Blocks of a source that are numbered in one task.
-CHUNK = 4096
-GOLDEN = 0.6180339887498949
-
-#: Earliest deadline first over one period: ``c`` blocks per source, ``total`` in all.
-_EDF = """aggregate(sequence(0, total - 1),
-    named_struct('next', transform(c, u -> 0L), 'out', cast(array() as array<struct<due:bigint,s:int,j:bigint>>)),
-    (acc, t) -> element_at(transform(array(array_min(filter(
-            transform(c, (u, s) -> if(acc.next[s] < u and (acc.next[s] * total) div u <= t,
-                named_struct('due', ((acc.next[s] + 1) * total + u - 1) div u, 's', s, 'j', acc.next[s]), null)),
-            x -> x is not null))),
-        pick -> named_struct('next', transform(acc.next, (n, s) -> n + if(s = pick.s, 1L, 0L)), 'out', concat(acc.out, array(pick)))), 1),
-    acc -> acc.out)"""
-
-
-def _units(sizes: DataFrame, weights: dict[str | None, float] | None, units: int) -> DataFrame:
-    """Units of each source: its share ``w`` of ``units``, and ``u`` in whole units, one at least."""
+#: Slots scheduled by one task at least, and slots written out together.
+SPAN, PIECE = 4_096, 256
+
+_DECIMAL = "cast({} as decimal(20,0))"
+
+
+def _times(a: str, b: str) -> str:
+    return f"{_DECIMAL.format(a)} * {_DECIMAL.format(b)}"
+
+
+def _job(j: str, x: str, due_units: str) -> str:
+    """Block ``j`` of source ``x``, counted like ``rem`` from the moment a run begins; its deadline comes first, so that the least is picked."""
+    return f"""named_struct('due', (({j} + 1) * {due_units} - {x}.rem + {x}.w - 1) div {x}.w, 's', {x}.s, 'release', ({j} * {due_units} - {x}.rem) div {x}.w,
+        'j', {j}, 'w', {x}.w, 'rem', {x}.rem, 'first', {x}.first)"""
+
+
+def _begin(active: str, units: str, at: str) -> str:
+    """Jobs of all sources at slot ``at`` of a stretch: of the open blocks, those of earliest deadline count as done."""
+    even = f"""transform({active}, x -> named_struct('s', x.s, 'w', x.w, 'first', x.first + cast({_times(at, 'x.w')} div {units} as bigint),
+        'rem', cast(({_times(at, 'x.w')}) % {units} as bigint)))"""
+    jobs = f"transform({even}, x -> {_job('0L', 'x', units)})"
+    # As many open blocks are done as whole units of all remainders make.
+    return f"""element_at(transform(array({jobs}), jobs -> transform(array_sort(jobs), (x, i) -> if(
+        element_at(transform(array(cast(aggregate(jobs, cast(0 as decimal(38,0)), (t, y) -> cast(t + y.rem as decimal(38,0))) div {units} as bigint)), k ->
+            aggregate(slice(array_sort(jobs), 1, i + 1), 0L, (t, y) -> t + if(y.rem > 0, 1L, 0L)) <= k), 1) and x.rem > 0,
+        {_job('1L', 'x', units)}, x))), 1)"""
+
+
+def _step(jobs: str, t: str, units: str, then: str) -> str:
+    """``then``, an expression of ``after`` (the jobs) and ``pick``, after the released job of earliest deadline got slot ``t``."""
+    after = f"transform({jobs}, x -> if(x.s = pick.s, {_job('(x.j + 1)', 'x', units)}, x))"
+    return f"element_at(transform(array(array_min(filter({jobs}, x -> x.release <= {t}))), pick -> {then.replace('AFTER', after)}), 1)"
+
+
+def _run(jobs: str, start: str, slots: str, units: str) -> str:
+    """The jobs after some slots."""
+    return f"aggregate(if({slots} <= 0, array(), sequence({start}, {start} + {slots} - 1)), {jobs}, (acc, t) -> {_step('acc', 't', units, 'AFTER')})"
+
+
+def _let(value: str, name: str, then: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
+
+
+def _horizon(active: str, units: str) -> str:
+    """Slots after which no block open now can still be open."""
+    return f"array_max(transform({active}, x -> {units} div x.w)) + 2"
+
+
+def _stretches() -> str:
+    """All stretches between two run-outs: first slot, number of slots, sum of the shares, and the sources in them.
+
+    A stretch ends when the first source is due to have run out; if its last block is still open then, it has
+    the next slot, as no other block can be due there.
+    """
+    left = "filter(transform(all, x -> named_struct('s', x.s, 'w', x.w, 'first', element_at(acc.done, x.s + 1), 'left', x.b - element_at(acc.done, x.s + 1))), x -> x.left > 0)"
+    units = "aggregate(active, 0L, (t, x) -> t + x.w)"
+    ends = f"array_min(transform(active, x -> cast({_times('x.left', 'units')} div x.w as bigint)))"
+    warm = _let(f"greatest(0L, end - ({_horizon('active', 'units')}))", "base", f"named_struct('base', base, 'jobs', {_run(_begin('active', 'units', 'base'), '0L', '(end - base)', 'units')})")
+    late = f"exists(jobs, x -> exists(active, y -> y.s = x.s and cast({_times('y.left', 'units')} div y.w as bigint) = end and x.first + x.j < y.first + y.left))"
+    final = f"if({late}, {_step('jobs', '(end - at.base)', 'units', 'AFTER')}, jobs)"
+    done = "transform(acc.done, (n, i) -> coalesce(get(transform(filter(jobs, x -> x.s = i), x -> x.first + x.j), 0), n))"
+    entry = f"named_struct('start', acc.start, 'slots', end + if({late}, 1L, 0L), 'units', units, 'active', active)"
+    inner = _let("at.jobs", "jobs", _let(entry, "entry", _let(final, "jobs", f"named_struct('done', {done}, 'start', acc.start + entry.slots, 'out', concat(acc.out, array(entry)))")))
+    step = _let(left, "active", f"if(size(active) = 0, acc, {_let(units, 'units', _let(ends, 'end', _let(warm, 'at', inner)))})")
+    kind = "array<struct<start:bigint,slots:bigint,units:bigint,active:array<struct<s:int,w:bigint,first:bigint,left:bigint>>>>"
+    return f"aggregate(sequence(1, size(all)), named_struct('done', transform(all, x -> 0L), 'start', 0L, 'out', cast(array() as {kind})), (acc, n) -> {step}, acc -> acc.out)"
+
+
+def schedule(sources: DataFrame) -> DataFrame:
+    """``(s, source_block, position)`` of all blocks of ``sources (s, w, b)``.
+
+    ``s`` numbers the sources from 0, ``w`` is the share as an integer above 0, ``b`` the number of blocks.
+    """
+    whole = sources.agg(F.expr("array_sort(collect_list(struct(s, w, b)))").alias("all")).where("size(all) > 0")
+    stretches = whole.select(F.explode(F.expr(_stretches())).alias("x")).select("x.*")
+    span = stretches.withColumn("span", F.expr(f"greatest({SPAN}L, {_horizon('active', 'units')})"))
+    spans = span.select("*", F.explode(F.expr("sequence(0L, (slots - 1) div span)")).alias("part")).repartition(64, "start", "part")
+    spans = spans.withColumns({"at": F.expr("part * span"), "many": F.expr("least(span, slots - part * span)")})
+    spans = spans.withColumn("base", F.expr(f"greatest(0L, at - ({_horizon('active', 'units')}))"))
+    spans = spans.withColumn("jobs", F.expr(_run(_begin("active", "units", "base"), "0L", "(at - base)", "units")))
+    # The jobs at the start of every piece, then the picks of each piece.
+    onward = _run("acc.jobs", f"(at - base + g * {PIECE}L)", f"least({PIECE}L, many - g * {PIECE}L)", "units")
+    marks = f"""aggregate(sequence(0L, (many - 1) div {PIECE}), named_struct('jobs', jobs, 'out', array(named_struct('g', 0L, 'jobs', jobs))),
+        (acc, g) -> {_let(onward, 'jobs', "named_struct('jobs', jobs, 'out', concat(acc.out, array(named_struct('g', g + 1, 'jobs', jobs))))")}, acc -> acc.out)"""
+    pieces = spans.select("start", "units", "base", "at", "many", F.explode(F.expr(marks)).alias("mark")).select("start", "units", "base", "at", "many", "mark.*")
+    pieces = pieces.where(f"g * {PIECE} < many").repartition(64, "start", "at", "g")
+    one = _step("acc.jobs", "t", "units", "named_struct('jobs', AFTER, 'out', concat(acc.out, array(named_struct('t', t, 's', pick.s, 'source_block', pick.first + pick.j))))")
+    slots = f"sequence(at - base + g * {PIECE}L, at - base + least((g + 1) * {PIECE}L, many) - 1)"
+    picks = f"aggregate({slots}, named_struct('jobs', jobs, 'out', cast(array() as array<struct<t:bigint,s:int,source_block:bigint>>)), (acc, t) -> {one}, acc -> acc.out)"
+    return pieces.select("start", "base", F.inline(F.expr(picks))).select("s", "source_block", F.expr("start + base + t").alias("position"))
+
+
+def shares(sizes: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
+    """``w``, the share of each source's weight in whole ``UNITS``, one at least; sources without a weight go."""
     if weights is None:
         weighted = sizes.withColumn("weight", F.sqrt(F.col("n").cast("double")))
     else:
@@ -59,27 +138,7 @@ def _units(sizes: DataFrame, weights: dict[str | None, float] | None, units: int
             named = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(float(weight))).otherwise(named)
         weighted = sizes.withColumn("weight", named).where("weight > 0")
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(1)))
-    weighted = weighted.withColumn("w", units * share)
-    return weighted.withColumn("u", F.greatest(F.lit(1), F.floor(F.col("w") + 0.5)).cast("long")).drop("weight")
-
-
-def _carried(sources: DataFrame) -> DataFrame:
-    """``(s, source_block, position)`` of all blocks, fractions of units carried from period to period."""
-    taken = "least({0}b, cast(floor({1} * {0}w + {0}phase) as bigint))"
-    phased = sources.select("s", "b", "w", F.expr(f"pmod(s * {GOLDEN}d, 1d)").alias("phase"))
-    whole = phased.agg(F.expr("array_sort(collect_list(struct(s, b, w, phase)))").alias("all"))
-    chunks = phased.select("*", F.explode(F.expr(f"sequence(0L, (b - 1) div {CHUNK})")).alias("chunk")).repartition(64, "s", "chunk")
-    blocks = chunks.select("*", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(b, (chunk + 1) * {CHUNK}) - 1)")).alias("source_block"))
-    # The period by division, put right by the very numbers that ``start`` is made of.
-    blocks = blocks.withColumn("k", F.expr("greatest(0L, cast(floor((source_block + 1 - phase) / w) as bigint) - 1)"))
-    for _ in range(2):
-        blocks = blocks.withColumn("k", F.expr(f"if({taken.format('', '(k + 1)')} <= source_block, k + 1, k)"))
-    made = blocks.groupBy("k", "s").agg(F.count("*").alias("c"), F.min("source_block").alias("first"))
-    periods = made.groupBy("k").agg(F.expr("array_sort(collect_list(struct(s, c, first)))").alias("made"))
-    periods = periods.withColumns({"all": whole.select("all").scalar(), "c": F.expr("transform(made, x -> x.c)"), "total": F.expr("aggregate(made, 0L, (t, x) -> t + x.c)")})
-    start = F.expr(f"aggregate(all, 0L, (t, x) -> t + {taken.format('x.', 'k')})")
-    picks = periods.select("made", start.alias("start"), F.posexplode(F.expr(_EDF)).alias("slot", "pick"))
-    return picks.select(F.expr("made[pick.s].s").alias("s"), F.expr("made[pick.s].first + pick.j").alias("source_block"), (F.col("start") + F.col("slot")).alias("position"))
+    return weighted.withColumn("w", F.greatest(F.lit(1), F.floor(UNITS * share + 0.5)).cast("long")).drop("weight")
 
 
 def _small(lookup: DataFrame) -> DataFrame:
@@ -87,15 +146,14 @@ def _small(lookup: DataFrame) -> DataFrame:
     return F.broadcast(lookup) if lookup.count() <= MAX_BROADCAST_ROWS else lookup
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, units: int = UNITS, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
     """``docs (doc_id, source, ...)`` with the place of every row in the mixture.
 
     ``source_block`` numbers the blocks of a source, ``position`` all blocks in the
     order of the mixture, ``place`` the rows in a block, all from 0; read in the
     order of ``position`` and ``place``.  ``weights`` maps sources to target
     weights; a source without one, or with 0, is not part of the mixture.  Without
-    ``weights`` they are the square roots of the row counts.  Weights are rounded to
-    whole units of a period, one at least, unless ``carry`` is set.  Null is a source like
+    ``weights`` they are the square roots of the row counts.  Null is a source like
     any other; rows without an id and repeated rows are placed like others; an
     empty table gives an empty result.  Columns named like the added ones are
     replaced.
@@ -114,43 +172,16 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     before = F.sum("n").over(Window.partitionBy("source").orderBy("_mix_part")) - F.col("n")
     parts = scratch.write(parts.withColumn("before", before), "parts")
     sizes = parts.groupBy("source").agg(F.sum("n").alias("n"))
-    blocks = _units(sizes, weights, units).withColumn("b", F.expr(f"(n + {block - 1}) div {block}"))
-    sources = blocks.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("source")).alias("s"), "source", "u", "b", "w")
-    sources = scratch.write(sources.withColumn("s", F.col("s") - 1), "sources")
+    blocks = shares(sizes, weights).withColumn("b", F.expr(f"(n + {block - 1}) div {block}"))
+    sources = blocks.select((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("source")) - 1).alias("s"), "source", "w", "b")
+    sources = scratch.write(sources, "sources")
+    plan = scratch.write(schedule(sources), "plan")
 
     in_part = F.row_number().over(Window.partitionBy("source", "_mix_part").orderBy("_mix_key", "doc_id", "_mix_rest"))
     ranked = rows.withColumn("_mix_in", in_part)
     same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
-    of_part = parts.join(sources, parts.source.eqNullSafe(sources.source)).select(parts.source, "_mix_part", "before", "s", "u")
-    placed = ranked.join(of_part, same(ranked, of_part, "source", "_mix_part")).drop(of_part.source, of_part._mix_part)
-    rank = F.col("_mix_in") - 1 + F.col("before")
-    placed = placed.withColumns({"_mix_rank": rank, "source_block": F.floor(rank / block).cast("long")})
+    of_part = parts.join(sources, parts.source.eqNullSafe(sources.source)).select(parts.source, "_mix_part", "before", "s")
+    placed = ranked.join(_small(of_part), same(ranked, of_part, "source", "_mix_part")).drop(of_part.source, of_part._mix_part)
+    placed = placed.withColumn("_mix_rank", F.col("_mix_in") - 1 + F.col("before")).withColumn("source_block", F.expr(f"_mix_rank div {block}"))
     place = F.expr(f"_mix_rank - source_block * {block}").cast("int").alias("place")
-    if carry:
-        plan = scratch.write(_carried(sources), "plan")
-        return placed.join(_small(plan), ["s", "source_block"]).select("row.*", "source_block", "position", place)
-
-    # One row with all sources; the distinct make-ups begin where a source goes short or is gone.
-    whole = sources.agg(F.expr("array_sort(collect_list(struct(s, u, b)))").alias("all")).where("size(all) > 0")
-    starts = whole.select("all", F.explode(F.expr("""array_distinct(concat(array(0L),
-        flatten(transform(all, x -> array(x.b div x.u, x.b div x.u + 1)))))""")).alias("phase"))
-    makeup = starts.select("phase", F.expr("transform(all, x -> greatest(0L, least(x.u, x.b - phase * x.u)))").alias("c"))
-    makeup = makeup.withColumn("total", F.expr("aggregate(c, 0L, (t, x) -> t + x)")).where("total > 0").repartition(64, "phase")
-    plan = makeup.select("phase", F.posexplode(F.expr(_EDF)).alias("slot", "pick")).select("phase", F.col("pick.s").alias("s"), "slot", F.col("pick.j").alias("j"))
-    plan = scratch.write(plan, "plan")
-
-    last = sources.agg(F.max(F.expr("(b - 1) div u"))).first()[0]
-    periods = spark.range(0, 0 if last is None else last + 1).select(F.col("id").alias("k"))
-    periods = periods.withColumn("all", whole.select("all").scalar()) if last is not None else periods.withColumn("all", F.expr("cast(null as array<struct<s:int,u:bigint,b:bigint>>)"))
-    periods = periods.select(
-        "k",
-        F.expr("aggregate(all, 0L, (t, x) -> t + least(k * x.u, x.b))").alias("start"),
-        F.expr("""array_max(filter(concat(array(0L), flatten(transform(all, x -> array(x.b div x.u, x.b div x.u + 1)))), p -> p <= k))""").alias("phase"),
-    )
-    periods = scratch.write(periods, "periods")
-
-    placed = placed.withColumns({"k": F.expr("source_block div u"), "j": F.expr("source_block % u")})
-    out = placed.join(_small(periods), "k").join(_small(plan), ["phase", "s", "j"])
-    return out.select(
-        "row.*", "source_block", (F.col("start") + F.col("slot")).alias("position"), place
-    )
+    return placed.join(_small(plan), ["s", "source_block"]).select("row.*", "source_block", "position", place)

@@ -119,38 +119,37 @@ group by all
 
 
 def mixing(block: int, units: int) -> str:
-    """The same schedule, slot by slot in a recursive query."""
+    """Earliest deadline first over all blocks, slot by slot in a recursive query."""
+    goes_on = "t < until or (t = until and len(list_filter(active, lambda i: (b[i] - done[i])::hugeint * total // w[i] = until and loc[i] < b[i] - done[i])) > 0)"
+    stretch = """
+    select *, list_min(list_transform(active, lambda i: (b[i] - done[i])::hugeint * total // w[i])) as until from (
+      select *, list_sum(list_transform(active, lambda i: w[i]))::hugeint as total from (
+        select *, list_filter(range(1, len(b) + 1), lambda i: b[i] > done[i]) as active from {0}))"""
+    again = f"""(
+      select position, case when same then t else 0 end as t, case when same then done else list_transform(done, lambda d, i: d + loc[i]) end as done,
+        case when same then loc else list_transform(loc, lambda x: 0::bigint) end as loc, b, w
+      from (select *, {goes_on} as same from ({stretch.format('edf')})))"""
     return f"""
 with recursive ranked as (
   select doc_id, source, row_number() over (partition by source order by md5(coalesce(doc_id::varchar, '')), doc_id) - 1 as r from documents
 ), sizes as (select source, count(*) as n from ranked group by source),
 srcs as (
   select source, row_number() over (order by source nulls first) as s, (n + {block - 1}) // {block} as b,
-         greatest(1, floor({units} * (sqrt(n) / sum(sqrt(n)) over ()) + 0.5))::bigint as u
+         greatest(1, floor({units} * (sqrt(n) / sum(sqrt(n)) over ()) + 0.5))::bigint as w
   from sizes
-), starts as (
-  select 0 as phase union select b // u from srcs union select b // u + 1 from srcs
-), makeup as (
-  select phase, list(greatest(0, least(u, b - phase * u)) order by s) as c, sum(greatest(0, least(u, b - phase * u)))::bigint as total
-  from starts cross join srcs group by phase having total > 0
-), edf(phase, t, c, total, nxt, pick) as (
-  select phase, -1, c, total, list_transform(c, lambda u: 0::bigint), null::struct(due bigint, s bigint, j bigint) from makeup
+), lists as (select list(b order by s) as b, list(w order by s) as w from srcs having count(*) > 0),
+edf(position, t, done, loc, pick, source_block, b, w) as (
+  select -1::bigint, 0::bigint, list_transform(b, lambda x: 0::bigint), list_transform(b, lambda x: 0::bigint), 0::bigint, 0::bigint, b, w from lists
   union all
-  select phase, t + 1, c, total, list_transform(nxt, lambda n, i: case when i = p.s then n + 1 else n end), p
-  from (
-    select *, list_min(list_filter(list_transform(c, lambda u, i: case when nxt[i] < u and (nxt[i] * total) // u <= t + 1 then
-      {{'due': ((nxt[i] + 1) * total + u - 1) // u, 's': i::bigint, 'j': nxt[i]}} end), lambda x: x is not null)) as p
-    from edf where t + 1 < total
-  )
-), plan as (select phase, t as slot, pick.s as s, pick.j as j from edf where t >= 0),
-periods as (
-  select k, (select sum(least(k * u, b)) from srcs) as start, (select max(phase) from starts where phase <= k) as phase
-  from (select unnest(range((select max((b - 1) // u) + 1 from srcs))) as k)
+  select position + 1, t + 1, done, list_transform(loc, lambda n, i: case when i = p.i then n + 1 else n end), p.i, done[p.i] + loc[p.i], b, w from (
+    select *, list_min(list_transform(list_filter(active, lambda i: loc[i]::hugeint * total // w[i] <= t),
+      lambda i: {{'due': ((loc[i] + 1)::hugeint * total + w[i] - 1) // w[i], 'i': i::bigint}})) as p
+    from ({stretch.format(again)}) where len(active) > 0)
 ), placed as (
-  select r.*, s.s, s.u, r // {block} as sb from ranked r join srcs s on r.source is not distinct from s.source
+  select r.*, s.s, r // {block} as sb from ranked r join srcs s on r.source is not distinct from s.source
 )
-select doc_id, source, sb::bigint as source_block, (start + slot)::bigint as position, (r - sb * {block})::int as place
-from placed join periods on k = sb // u join plan on plan.phase = periods.phase and plan.s = placed.s and plan.j = sb % u
+select doc_id, source, sb::bigint as source_block, e.position, (r - sb * {block})::int as place
+from placed join edf e on e.position >= 0 and e.pick = placed.s and e.source_block = placed.sb
 """
 
 
