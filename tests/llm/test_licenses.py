@@ -6,6 +6,7 @@ from tidelog.llm import catalog
 from tidelog.llm import licenses as L
 
 WORD = re.compile(L.WORD)
+GATE, RULES = L.gate(), L.rules()
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -18,8 +19,8 @@ def brute(text):
         base += [(i, label) for i in range(len(w)) if w[i : i + len(p)] == p]
     spaced = " " + "  ".join(w) + " "
     found = []
-    if any(g in spaced for g in L.GATE):
-        for order, priority, _, label, key, pattern in L.rules():
+    if any(g in spaced for g in GATE):
+        for order, priority, _, label, key, pattern in RULES:
             if key in spaced:
                 for m in re.finditer(pattern, spaced):
                     a = spaced[: m.start()].count(" ") // 2
@@ -32,6 +33,66 @@ def brute(text):
     return len(w), sorted(base), sorted(kept)
 
 
+
+
+def test_there_are_hundreds_of_rules():
+    assert len(L.rules()) > 300 and len({r[5] for r in L.rules()}) > 300
+
+
+def strings_of(pattern, rng):
+    """A random string that the pattern matches."""
+    out = ""
+    for op, value in re._parser.parse(pattern) if isinstance(pattern, str) else pattern:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "NOT_LITERAL":
+            out += "x"
+        elif name == "IN":
+            kind, what = rng.choice(value)
+            out += "x" if str(value[0][0]) == "NEGATE" else chr(what if str(kind) == "LITERAL" else rng.randint(*what))
+        elif name == "BRANCH":
+            out += strings_of(rng.choice(value[1]), rng)
+        elif name == "SUBPATTERN":
+            out += strings_of(value[3], rng)
+        elif name == "MAX_REPEAT":
+            out += "".join(strings_of(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 3))))
+        else:
+            raise AssertionError(name)
+    return out
+
+
+def test_gate_and_keywords_stand_in_every_match(rng):
+    for order, _, _, label, key, pattern in RULES:
+        for _ in range(40):
+            text = strings_of(pattern, rng)
+            assert re.fullmatch(pattern, text), (pattern, text)
+            assert key in text and any(g in text for g in GATE), (order, label, key, text)
+    assert all(any(g in phrase for g in GATE) for phrase, _ in L.BASE)
+
+
+#: Passages of license texts, and the labels a reader gives them.
+TEXTS = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software": {"mit"},
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": {"bsd"},
+    "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived": {"bsd-3-clause"},
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS,": {"apache-2.0"},
+    "This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by": {"gpl"},
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided": {"isc"},
+    "This is free and unencumbered software released into the public domain.": {"unlicense"},
+    "GNU Library General Public License": {"gpl", "lgpl"},
+    "MIT No Attribution": {"mit-0"},
+    "Permission is granted by the library to any person with a card.": set(),
+    "You may not use this room except in the afternoon; the license of the bar is on the wall.": set(),
+}
+
+
+def test_sentences_of_license_texts(docs_of):
+    found = L.detect(docs_of(list(TEXTS))).select("doc_id", L.joined("concat(transform(base, b -> b.label), transform(detections, d -> d.label))").alias("labels"))
+    texts = list(TEXTS)
+    assert {texts[r.doc_id]: set(filter(None, r.labels.split(","))) for r in found.collect()} == TEXTS
+
+
 CASES = [
     "Released under the MIT License.", "MIT license MIT License mit-license", "the mit licenses", "Licensed under the Apache License, Version 2.0.",
     "GNU General Public License, version 3 or (at your option) any later version.", "SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: GPL-2.0-only",
@@ -39,14 +100,10 @@ CASES = [
     "Mozilla Public License 2.0, Eclipse Public License - v 2.0", "placed in the public domain", "Creative Commons Attribution-ShareAlike license",
     "Creative Commons Attribution-NonCommercial-NoDerivatives", "CC0 1.0 Universal", "no statement at all", "", None, "License: MIT", "é licençe mit license",
     "general public license general public license", "The Apache Software License 1.1; MIT licence; ISC license; zlib license; Unlicense", "public\ndomain released in the\n public domain",
-    "mit " * 30 + "license", "Apache License " * 400,
+    "mit " * 30 + "license", "Apache License " * 400, *TEXTS,
 ]
 
 
-def test_there_are_hundreds_of_rules():
-    assert len(L.rules()) > 300 and len({r[5] for r in L.rules()}) > 300
-
-
 def test_against_python(docs_of):
     rows = L.detect(docs_of(CASES)).collect()
     for r in rows:

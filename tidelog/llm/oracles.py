@@ -167,7 +167,7 @@ spots as (select rid, w, unnest(range(1, len(w) + 1)) as i from docs where list_
 base as (select rid, i - 1 as first, label from spots join phrases on w[i] = string_split(phrase, ' ')[1] and array_to_string(w[i:i + n - 1], ' ') = phrase),
 spaced as (
   select rid, ' ' || array_to_string(w, '  ') || ' ' as t from docs
-  where regexp_matches(array_to_string(w, ' '), '{"|".join(L.GATE)}')
+  where regexp_matches(array_to_string(w, ' '), '{"|".join(L.gate())}')
 ), pairs as (
   select rid, rule, priority, confidence, label, regexp_extract_all(t, pattern) as h, string_split_regex(t, pattern) as g
   from spaced join rules on contains(t, keyword)
