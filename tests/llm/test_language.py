@@ -1,3 +1,8 @@
+import hashlib
+import re
+
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidelog.llm import language as L
@@ -50,3 +55,45 @@ def test_odd_and_empty(spark, odd, docs_of, rng):
             assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
     assert L.identify(docs_of([]), dictionaries).count() == 0
     assert L.learn(docs_of([])) == [] and L.identify(odd, []).where("lang_pred <> 'und'").count() == 0
+
+
+def brute(train, texts, sample_docs, sample_chars, dict_bytes):
+    """One loop: beginnings of a language's first documents as raw dictionary, all pieces compressed with each, smallest total wins."""
+    by = {}
+    for key, body, lang in train:
+        if lang is not None and key is not None and any(c.isalpha() for c in body or ""):
+            by.setdefault(lang, []).append((hashlib.md5(str(key).encode()).hexdigest(), key, body))
+    order = sorted(by, key=lambda lang: (-len(by[lang]), lang))
+    plain = lambda body: re.sub(r"[\W\d_]+", " ", body.lower()).strip().encode()
+    packers = []
+    for lang in order:
+        first = sorted({k[:2] for k in by[lang]})[:sample_docs]
+        content = b" ".join(plain(body[:sample_chars]) for _, _, body in sorted(set(k for k in by[lang] if k[:2] in first)))[-dict_bytes:]
+        packers.append(zstandard.ZstdCompressor(level=L.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False))
+    out = []
+    for body in texts:
+        letters = plain(body or "")
+        if not letters:
+            out.append(("und", 0.0))
+            continue
+        sizes = [sum(len(p.compress(letters[i : i + L.PIECE])) for i in range(0, len(letters), L.PIECE)) for p in packers]
+        best = sizes.index(min(sizes))
+        out.append((order[best], 1 - sizes[best] / min(s for i, s in enumerate(sizes) if i != best)))
+    return out
+
+
+@pytest.mark.parametrize("bounds", [(64, 16_000, 131_072), (3, 50, 400)])
+def test_against_one_loop(spark, rng, bounds):
+    """Also with equal sizes: texts of one letter compress alike, and the language with most documents wins."""
+    train = [(i, text(rng, lang, rng.randrange(1, 200)), lang) for i, lang in enumerate((["en"] * 3 + ["de"] * 2 + ["fr"]) * 9)]
+    texts = [text(rng, rng.choice(list(SYLLABLES)), rng.choice([1, 2, 9, 40, 3000])) for _ in range(60)] + ["q", "zz", "1 2", None, "", "é", "Ω" * 20_000]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(frame(spark, [(i, t, None) for i, t in enumerate(texts)]), L.learn(frame(spark, train), *bounds)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(train, texts, *bounds)
+
+
+def test_long_documents_teach(spark, rng):
+    train = [(i, text(rng, "de", 9_000), "de") for i in range(4)] + [(10 + i, text(rng, "en", 60), "en") for i in range(4)]
+    assert min(len(t) for k, t, _ in train if k < 10) > L.SAMPLE_CHARS
+    dictionaries = L.learn(frame(spark, train))
+    assert {lang for lang, _ in dictionaries} == {"de", "en"}
+    assert L.identify(frame(spark, [(1, text(rng, "de", 50), None)]), dictionaries).first().lang_pred == "de"

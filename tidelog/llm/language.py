@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.ranking import first_per_group
 
-#: Dictionary of one language: at most so many documents of at most so many characters, and so many bytes of them.
+#: Dictionary of one language: the beginnings, of at most so many characters, of at most so many documents, and so many bytes of them.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 64, 16_000, 131_072
 PIECE, LEVEL = 8_192, 3
 MIN_MARGIN = 0.01
@@ -32,24 +32,25 @@ def normal(text: str | None) -> bytes:
     return _NOT_LETTERS.sub(" ", (text or "").lower()).strip().encode("utf-8", "surrogatepass")
 
 
-def learn(docs: DataFrame) -> list[tuple[str, bytes]]:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES) -> list[tuple[str, bytes]]:
     """``(lang, dictionary)``, languages with most documents first.
 
-    ``docs`` has ``doc_id, text, lang``.  A language's sample are its first documents in the
-    order of a hash of the id, whole texts of at most ``SAMPLE_CHARS`` characters;
-    the last ``DICT_BYTES`` of them stay.  So ``DICT_BYTES`` per language reach the
+    ``docs`` has ``doc_id, text, lang``.  A language's sample are its first ``sample_docs`` documents in the
+    order of a hash of the id, however long they are; of each the first ``sample_chars`` characters
+    teach, and the last ``dict_bytes`` of all of them stay.  So ``dict_bytes`` per language reach the
     driver.  Rows without language, id or letters teach nothing.
     """
-    usable = docs.where("lang is not null and doc_id is not null and text is not null").where(F.length("text") <= SAMPLE_CHARS)
+    usable = docs.where("lang is not null and doc_id is not null and text is not null")
     usable = usable.where(F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     keys = usable.select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("order")).distinct()
-    first = first_per_group(keys, ["lang"], [F.col("order"), F.col("doc_id")], SAMPLE_DOCS, spread=["doc_id"])
-    rows = usable.join(first, ["lang", "doc_id"]).select("lang", "order", "doc_id", "text").collect()
+    first = first_per_group(keys, ["lang"], [F.col("order"), F.col("doc_id")], sample_docs, spread=["doc_id"])
+    begin = F.substring("text", 1, sample_chars).alias("text")
+    rows = usable.join(first, ["lang", "doc_id"]).select("lang", "order", "doc_id", begin).collect()
     rows = sorted({(r["lang"], r["order"], r["doc_id"], r["text"]) for r in rows})
     out = []
     for lang in sorted(sizes, key=lambda name: (-sizes[name], name)):
-        content = b" ".join(normal(text) for name, _, _, text in rows if name == lang)[-DICT_BYTES:]
+        content = b" ".join(normal(text) for name, _, _, text in rows if name == lang)[-dict_bytes:]
         if content:
             out.append((lang, content))
     return out
