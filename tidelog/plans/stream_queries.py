@@ -158,3 +158,40 @@ def compact_store(spark, sf):
     log_store.compact_store(spark, root, target, last)
     log_store.process_batch(zones.raw_zone(spark, sf), target, batch_id=last + 1)
     return log_store.read_counters(spark, target)
+
+
+def _merged_root(spark, sf):
+    """A store whose first batches were merged while its ingest query was running."""
+    root = zones.scratch(spark, sf, "merged-online")
+    if root not in zones._written:
+        raw = raw_events.stream_raw_files(spark, zones.raw_zone_path(spark, sf), max_files_per_trigger=zones.files_per_batch(spark, sf))
+        running = ST.start_ingest(raw, root, root + "-checkpoint")
+        try:
+            while (closed := log_store.closed_batch(spark, root + "-checkpoint")) is None:
+                running.awaitTermination(0.2)
+            log_store.merge_batches(spark, root, closed)
+            running.processAllAvailable()
+        finally:
+            running.stop()
+        log_store.merge_batches(spark, root, log_store.closed_batch(spark, root + "-checkpoint"))
+        log_store.remove_merged(spark, root)
+        zones._written.add(root)
+    return root
+
+
+@query("online_merge", _DOCS_SQL)
+def online_merge(spark, sf):
+    return _docs(log_store.read_documents(spark, _merged_root(spark, sf)))
+
+
+@query("online_merge_counters", _COUNTERS)
+def online_merge_counters(spark, sf):
+    return log_store.read_counters(spark, _merged_root(spark, sf))
+
+
+@query("online_merge_files", with_tables(CLASSIFIED, """
+SELECT strftime(event_date, '%Y-%m-%d') AS event_date, true AS one_batch FROM accepted GROUP BY ALL"""))
+def online_merge_files(spark, sf):
+    root = _merged_root(spark, sf)
+    batches = F.count_distinct(F.regexp_extract("path", r"/batch_id=([0-9]+)/", 1))
+    return log_store.store_files(spark, root).groupBy(day("event_date")).agg((batches == 1).alias("one_batch"))

@@ -9,6 +9,8 @@ Layout under one root::
     ticks/batch_id=7/                        errors per five-minute bucket
     recent/batch_id=7/                       newest error payloads of the batch
     dlq/batch_id=7/                          rejects
+    merged/0-7-.../                          the same tables, batches 0 to 7 as one
+    merge_log/                               which merges count, see ``merges``
 
 Every table is addressed by the batch, so writing a batch again replaces its
 own files and nothing else.  Readers merge the parts.  Days are the outer
@@ -28,6 +30,7 @@ from tidelog.functions.text import is_error
 from tidelog.operators import ingest, rollups, windows
 from tidelog.operators.windows import keep_last_document
 from tidelog.schemas import DLQ, DOCUMENT
+from tidelog.sources import merges
 
 DOCS, COUNTERS, BOARD, IPS, TICKS, RECENT, DEAD = "docs", "counters", "board", "ips", "ticks", "recent", "dlq"
 
@@ -145,10 +148,19 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _read_parts(spark: SparkSession, root: str, table: str, schema) -> DataFrame:
-    """The parts of a table; one that was never written is empty."""
-    if not _exists(spark, f"{root}/{table}"):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{table}")
+    """The parts of a table; one that was never written is empty.
+
+    Batches that were merged are read from where the merge put them; their own folders are pruned.
+    """
+    log = merges.read_log(spark, root)
+    empty = spark.createDataFrame([], schema)
+    parts = spark.read.schema(schema).parquet(f"{root}/{table}") if _exists(spark, f"{root}/{table}") else empty
+    for merge in log:
+        parts = parts.where(~F.col("batch_id").between(merge.first, merge.last))
+    for merge in log:
+        if _exists(spark, f"{merge.folder}/{table}"):
+            parts = parts.unionByName(spark.read.schema(schema).parquet(f"{merge.folder}/{table}"))
+    return parts
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -187,13 +199,21 @@ def read_dlq(spark: SparkSession, root: str) -> DataFrame:
 
 
 def store_files(spark: SparkSession, root: str) -> DataFrame:
-    """One row per data file with day, size and time; contents are not read."""
-    if not _exists(spark, f"{root}/{DOCS}"):
-        return spark.createDataFrame([], "event_date date, path string, length long, modificationTime timestamp")
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{root}/{DOCS}")
-    # From the path, because an emptied store has no partitions to find the day in.
-    named = F.regexp_extract("path", r"/event_date=([0-9-]+)/", 1).try_cast("date")
-    return listing.select(named.alias("event_date"), "path", "length", "modificationTime")
+    """One row per data file with day, size and time; contents are not read.  Files of merged batches are left out."""
+    log = merges.read_log(spark, root)
+    found = None
+    for docs, merged in [(f"{root}/{DOCS}", False), *[(f"{m.folder}/{DOCS}", True) for m in log]]:
+        if not _exists(spark, docs):
+            continue
+        listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(docs)
+        # From the path, because an emptied store has no partitions to find the day in.
+        named = F.regexp_extract("path", r"/event_date=([0-9-]+)/", 1).try_cast("date")
+        batch = F.regexp_extract("path", r"/batch_id=([0-9]+)/", 1).try_cast("long")
+        for m in [] if merged else log:
+            listing = listing.where(~F.coalesce(batch.between(m.first, m.last), F.lit(False)))
+        listing = listing.select(named.alias("event_date"), "path", "length", "modificationTime")
+        found = listing if found is None else found.unionByName(listing)
+    return spark.createDataFrame([], "event_date date, path string, length long, modificationTime timestamp") if found is None else found
 
 
 def board_services(counters: DataFrame, tenant_id: str, n: int) -> DataFrame:
@@ -241,18 +261,55 @@ def compact_store(spark: SparkSession, root: str, target: str, last_batch: int)
         _write_part(rows, target, table, last_batch)
 
 
+# -------------------------------------------------------------- online merge
+
+TABLES = [DOCS, COUNTERS, BOARD, IPS, TICKS, RECENT, DEAD]
+
+
+def closed_batch(spark: SparkSession, checkpoint: str) -> int | None:
+    """The last batch the ingest query has committed; later ones may still be written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return max((int(n) for n in names if n.isdigit()), default=None)
+
+
+def merge_batches(spark: SparkSession, root: str, last_batch: int) -> merges.Merge:
+    """All batches up to ``last_batch`` as one, while the ingest query goes on with later ones.
+
+    ``last_batch`` has to be closed (see ``closed_batch``).  Earlier merges are taken into this one.
+    Documents are written once per id and day, metric parts are summed, so the files per day do not
+    grow with the number of batches.  Readers change over when the log has its line, at the very end.
+    """
+    folder = merges.new_folder(0, last_batch)
+    target = f"{root}/{merges.MERGED}/{folder}"
+    compact_store(spark, root, target, last_batch)
+    merges.commit(spark, root, 0, last_batch, folder)
+    return merges.Merge(0, last_batch, target)
+
+
+def remove_merged(spark: SparkSession, root: str) -> list[str]:
+    """Delete the folders that a merge has replaced; run it when readers from before the merge are done."""
+    return merges.delete(spark, merges.superseded(spark, root, TABLES))
+
+
 # ----------------------------------------------------------------- dropping
 
 
-def drop_days(spark: SparkSession, root: str, days: list[str]) -> list[str]:
-    """Remove whole day folders through the Hadoop file system of the store."""
+def drop_days(spark: SparkSession, root: str, days: list[str], dropped: list[str] | None = None) -> list[str]:
+    """Remove whole day folders, merged ones too, through the Hadoop file system of the store.
+
+    Days are appended to ``dropped`` as they go, so the caller has the list also when a delete fails.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    dropped = []
+    dropped = [] if dropped is None else dropped
+    places = [f"{root}/{DOCS}", *[f"{m.folder}/{DOCS}" for m in merges.read_log(spark, root)]]
     for day in days:
-        path = hadoop(f"{root}/{DOCS}/event_date={day}")
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(path) and fs.delete(path, True):
+        gone = False
+        for place in places:
+            path = hadoop(f"{place}/event_date={day}")
+            fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            gone = (fs.exists(path) and fs.delete(path, True)) or gone
+        if gone:
             dropped.append(day)
     return dropped
-
-

@@ -37,6 +37,14 @@ def _day_of(name: str) -> dt.date:
     return day
 
 
+class RetentionFailed(Exception):
+    """A delete went wrong; ``result`` has the days that had been dropped by then."""
+
+    def __init__(self, result: RetentionResult):
+        super().__init__(f"retention stopped after {result.deleted} days")
+        self.result = result
+
+
 def store_indices(spark: SparkSession, root: str) -> DataFrame:
     return R.list_indices(log_store.read_messages(spark, root), log_store.store_files(spark, root))
 
@@ -45,8 +53,13 @@ def _carry_out(spark: SparkSession, root: str, plan: DataFrame, cutoff: dt.datet
     # One row per stored day: a few thousand at most, whatever the data size.
     rows = plan.select("name", "day", "action").collect()
     days = {str(r["day"]): r["name"] for r in rows if r["action"] == R.DROP}
-    dropped = log_store.drop_days(spark, root, sorted(days))
-    spark.catalog.refreshByPath(f"{root}/{log_store.DOCS}")
+    dropped: list[str] = []
+    try:
+        log_store.drop_days(spark, root, sorted(days), dropped)
+    except Exception as error:
+        raise RetentionFailed(RetentionResult(len(rows), len(dropped), [days[d] for d in dropped], cutoff)) from error
+    finally:
+        spark.catalog.refreshByPath(f"{root}/{log_store.DOCS}")
     return RetentionResult(len(rows), len(dropped), [days[d] for d in dropped], cutoff)
 
 
