@@ -74,11 +74,20 @@ def unique_ips_live(spark, sf):
 
 # ----------------------------------------------------- five-minute counters
 
-ISLANDS = f""",
+#: The end of the five minutes with most errors, the latest of equal ones: a moment at which the counters are not zero.
+BUSY = f""",
+busy AS (
+  SELECT make_timestamp((b + 1) * 300000000) AS as_of FROM (
+    SELECT epoch_us(ingested_at) // 300000000 AS b, count(*) AS n FROM accepted WHERE {_ERR} GROUP BY 1 ORDER BY n DESC, b DESC LIMIT 1)
+)"""
+
+
+def _islands(clock: str, until: str = "") -> str:
+    return f""",
 marked AS (
   SELECT tenant_id, service, ingested_at,
     CASE WHEN ingested_at - lag(ingested_at) OVER w <= INTERVAL 5 MINUTES THEN 0 ELSE 1 END AS fresh
-  FROM accepted WHERE {_ERR}
+  FROM accepted WHERE {_ERR}{until}
   WINDOW w AS (PARTITION BY tenant_id, service ORDER BY ingested_at)
 ),
 numbered AS (
@@ -88,13 +97,23 @@ islands AS (
   SELECT tenant_id, service, island, min(ingested_at) AS first_ts, max(ingested_at) AS last_ts, count(*) AS errors FROM numbered GROUP BY ALL
 ),
 idle AS (
-  SELECT tenant_id, service, CASE WHEN (SELECT as_of FROM clock) - last_ts <= INTERVAL 5 MINUTES THEN errors ELSE 0 END AS errors
+  SELECT tenant_id, service, CASE WHEN (SELECT as_of FROM {clock}) - last_ts <= INTERVAL 5 MINUTES THEN errors ELSE 0 END AS errors
   FROM islands QUALIFY row_number() OVER (PARTITION BY tenant_id, service ORDER BY island DESC) = 1
 )"""
 
 
-@query("errors_idle_5m", with_tables(DOCUMENTS + ISLANDS, "SELECT tenant_id, service, errors FROM idle"))
+ISLANDS = _islands("clock")
+BUSY_ISLANDS = BUSY + _islands("busy", " AND ingested_at < (SELECT as_of FROM busy)")
+
+
+@query("errors_idle_5m", with_tables(DOCUMENTS + BUSY_ISLANDS, "SELECT tenant_id, service, errors FROM idle"))
 def errors_idle_5m(spark, sf):
+    ticks = log_store.read_ticks(spark, zones.store_root(spark, sf))
+    return WI.errors_idle_5m(ticks.where(F.col("last_ts") < zones.busy_clock(spark, sf)), zones.busy_clock(spark, sf))
+
+
+@query("errors_idle_5m_latest", with_tables(DOCUMENTS + ISLANDS, "SELECT tenant_id, service, errors FROM idle"))
+def errors_idle_5m_latest(spark, sf):
     return _idle(spark, sf)
 
 
@@ -105,11 +124,17 @@ def error_islands(spark, sf):
     return islands.select("tenant_id", "service", stamp("first_ts"), stamp("last_ts"), "errors")
 
 
-@query("errors_sliding_5m", with_tables(DOCUMENTS, f"""
+@query("errors_sliding_5m", with_tables(DOCUMENTS + BUSY, f"""
+SELECT tenant_id, service, count(*) AS errors FROM accepted, busy
+WHERE {_ERR} AND ingested_at BETWEEN as_of - INTERVAL 5 MINUTES AND as_of GROUP BY ALL"""))
+def errors_sliding_5m(spark, sf):
+    return WI.errors_sliding_5m(zones.messages(spark, sf), zones.busy_clock(spark, sf))
+
+
+@query("errors_sliding_6h", with_tables(DOCUMENTS, f"""
 SELECT tenant_id, service, count(*) AS errors FROM accepted, clock
 WHERE {_ERR} AND ingested_at BETWEEN as_of - INTERVAL 360 MINUTES AND as_of GROUP BY ALL"""))
-def errors_sliding_5m(spark, sf):
-    # Six hours instead of five minutes, so that small test data has rows to count.
+def errors_sliding_6h(spark, sf):
     return WI.errors_sliding_5m(zones.messages(spark, sf), zones.clock(spark, sf), minutes=360)
 
 

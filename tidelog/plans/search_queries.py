@@ -8,6 +8,7 @@ from tidelog.operators import rollups as RU
 from tidelog.operators import search as S
 from tidelog.plans import derive, zones
 from tidelog.plans.derive_sql import DOCUMENTS, rfc3339, with_tables
+from tidelog.plans.metric_queries import BUSY
 from tidelog.plans.registry import day, query, stamp
 from tidelog.sources import log_store, retention_runs
 
@@ -107,10 +108,10 @@ def saved_search(spark, sf):
     return S.search_logs(zones.documents(spark, sf), params).select("doc_id", "service", "level", "message")
 
 
-@query("terms_by_service", with_tables(DOCUMENTS, """
-SELECT service, count(*) AS doc_count FROM documents_now, clock WHERE event_ts >= as_of - INTERVAL 12 HOURS GROUP BY ALL"""))
+@query("terms_by_service", with_tables(DOCUMENTS + BUSY, """
+SELECT service, count(*) AS doc_count FROM documents_now, busy WHERE event_ts >= as_of - INTERVAL 1 HOUR GROUP BY ALL"""))
 def terms_by_service(spark, sf):
-    return RU.terms_by_service(zones.documents(spark, sf), zones.clock(spark, sf), hours=12)
+    return RU.terms_by_service(zones.documents(spark, sf), zones.busy_clock(spark, sf))
 
 
 @query("keep_last_document", with_tables(DOCUMENTS, f"""

@@ -11,10 +11,11 @@ from tidelog.operators import windows as WI
 from tidelog.plans import zones
 from tidelog.plans.derive_sql import CLASSIFIED, DOCUMENTS, rfc3339, with_tables
 from tidelog.plans.ingest_queries import COUNTERS_SQL, DLQ_SQL
-from tidelog.plans.metric_queries import ISLANDS
+from tidelog.plans.metric_queries import BUSY_ISLANDS
 from tidelog.plans.registry import day, query, stamp
 from tidelog.sources import log_store, raw_events
 from tidelog.streaming import ingest_stream as ST
+from tidelog.streaming import live_errors as LE
 
 _DOCS_SQL = with_tables(DOCUMENTS, f"""
 SELECT doc_id, tenant_id, service, level, ip, {rfc3339('ingested_at')} AS ingested_at, strftime(event_date, '%Y-%m-%d') AS event_date
@@ -49,10 +50,26 @@ def stream_boards(spark, sf):
     return log_store.board_services(counters, "tenant-b", 3)
 
 
-@query("stream_idle_errors", with_tables(DOCUMENTS + ISLANDS, "SELECT tenant_id, service, errors FROM idle"))
+_BUSY_IDLE = with_tables(DOCUMENTS + BUSY_ISLANDS, "SELECT tenant_id, service, errors FROM idle")
+
+
+@query("stream_idle_errors", _BUSY_IDLE)
 def stream_idle_errors(spark, sf):
     ticks = log_store.read_ticks(spark, zones.streamed_root(spark, sf))
-    return WI.errors_idle_5m(ticks, zones.clock(spark, sf))
+    return WI.errors_idle_5m(ticks.where(F.col("last_ts") < zones.busy_clock(spark, sf)), zones.busy_clock(spark, sf))
+
+
+@query("stream_live_errors", _BUSY_IDLE)
+def stream_live_errors(spark, sf):
+    # The records that had arrived by then, through the keyed counter, in several batches.
+    root, now = zones.scratch(spark, sf, "live-errors"), spark.range(1).select(zones.busy_clock(spark, sf).alias("now")).first()["now"]
+    if root not in zones._written:
+        ordered = zones.scratch(spark, sf, "raw-by-time")
+        zones.raw_zone(spark, sf).repartitionByRange(3, "timestamp").write.mode("overwrite").parquet(ordered)
+        raw = raw_events.stream_raw_files(spark, ordered, max_files_per_trigger=1).where(F.col("timestamp") < F.lit(now))
+        ST.drain(LE.start_live_errors(raw, root, root + "-checkpoint", interval=None))
+        zones._written.add(root)
+    return LE.read_live_errors(spark, root, F.lit(now))
 
 
 @query("stream_unique_ips", with_tables(CLASSIFIED, """

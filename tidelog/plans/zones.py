@@ -11,6 +11,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.operators import windows
 from tidelog.plans import derive
 from tidelog.session import pin_utc, shared_dir
 from tidelog.sources import log_store, raw_events
@@ -82,3 +83,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clock(spark: SparkSession, sf_dir: str) -> Column:
     """The latest arrival, as a scalar subquery that prunes to one column."""
     return raw_zone(spark, sf_dir).agg(F.max("timestamp")).scalar()
+
+
+def busy_clock(spark: SparkSession, sf_dir: str) -> Column:
+    """The end of the five minutes with most errors, the latest of equal ones."""
+    ticks = log_store.read_ticks(spark, store_root(spark, sf_dir))
+    per = ticks.groupBy("bucket").agg(F.sum("errors").alias("n")).orderBy(F.desc("n"), F.desc("bucket"))
+    return per.limit(1).select(F.timestamp_micros((F.col("bucket") + 1) * (windows.IDLE_SECONDS * 1_000_000))).scalar()
