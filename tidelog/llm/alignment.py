@@ -36,9 +36,9 @@ from tidelog.llm.vocabularies import read_file
 
 BLANK = "▁"
 #: Bytes of text aligned at once (one text at least), and pairs made at once.
-BATCH_BYTES, PAIRS = 2 << 20, 2 << 20
+BATCH_BYTES, PAIRS = 1 << 20, 1 << 20
 #: Different stretches a worker keeps aligned.
-KEPT = 400_000
+KEPT = 250_000
 #: Stretches joined to one text, and texts tokenized in one call.
 TOGETHER, CALL = 64, 64
 #: Partial counts a task holds before it passes them on.
