@@ -11,6 +11,7 @@ goes back as one block that every row block is multiplied with.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -108,13 +109,14 @@ def one_block(spark: SparkSession, columns: np.ndarray) -> BlockMatrix:
     return BlockMatrix(spark.sparkContext.parallelize([((0, 0), block)], 1), rows, cols, rows, cols)
 
 
-def _identity_error(projected: BlockMatrix, rows: DataFrame, n: int, size: int) -> float:
+def _identity_error(rows: DataFrame, n: int, size: int) -> float:
     """Largest entry of the projected rows' covariance minus the identity, centred on their own mean."""
     means = rows.select(F.posexplode("w").alias("at", "v")).groupBy("at").agg((F.sum("v") / n).alias("m")).collect()
     centre = [r["m"] for r in sorted(means)]
     shifted = rows.select("index", F.expr(f"transform(w, (v, i) -> v - element_at(array({', '.join(f'{c!r}d' for c in centre)}), i + 1))").alias("w"))
-    moved = block_matrix(shifted, n, size, "w")
+    moved = block_matrix(shifted, n, size, "w").persist(StorageLevel.MEMORY_AND_DISK)
     again = local(multiply(moved.transpose(), moved, _tasks(n)))
+    moved._java_matrix_wrapper._java_model.blocks().unpersist(False)
     return float(np.abs(again / n - np.eye(size)).max())
 
 
@@ -157,7 +159,7 @@ def whiten(vectors: DataFrame, components: int = 8, shift: int = SHIFT) -> DataF
     apart = f"transform(x, (v, i) -> cast(cast(v as decimal(19,0)) * {n}BD as decimal(38,0)) - element_at(cast(array({exact}) as array<decimal(38,0)>), i + 1))"
     rows = rows.withColumn("apart", F.expr(f"transform({apart}, v -> cast(v as decimal(38,0)))"))
     centred = rows.select("index", F.expr(f"transform(apart, v -> cast(v as double) / {n})").alias("c"))
-    blocks = block_matrix(centred, n, size, "c")
+    blocks = block_matrix(centred, n, size, "c").persist(StorageLevel.MEMORY_AND_DISK)
     most = min(components, size)
     _, share, columns = whitening(local(multiply(blocks.transpose(), blocks, _tasks(n))), n, most)
 
@@ -167,8 +169,9 @@ def whiten(vectors: DataFrame, components: int = 8, shift: int = SHIFT) -> DataF
         found = callMLlibFunc("getIndexedRows", projected._java_matrix_wrapper._java_model)
         found = found.select("index", vector_to_array(F.col("vector")).alias("w"))
         found = scratch.write(found, "whitened")
-        error = _identity_error(projected, found, n, len(live))
+        error = _identity_error(found, n, len(live))
         rows = rows.join(found, "index")
+    blocks._java_matrix_wrapper._java_model.blocks().unpersist(False)
     places = {k: f"w[{live.index(k)}]" if k in live else "cast(null as double)" for k in range(most)}
     each = ", ".join(f"named_struct('component', {k + 1}, 'whitened', {places[k]}, 'explained', {_double(share[k])})" for k in range(most))
     squares = "aggregate(apart, cast(0 as decimal(38,0)), (t, v) -> try_add(t, try_multiply(v, v)))"
