@@ -15,6 +15,7 @@ them.  No task holds the texts of a long conversation.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -128,6 +129,16 @@ def _opened(role: int) -> str:
 
 
 _CLOSED = "<|im_end|>\n"
+_CONTROL = re.compile(r"<(\\*)\|im_")
+
+
+def escaped(text: str) -> str:
+    """``text`` without control tokens: each, and each that is escaped already, gets one more backslash behind its ``<``."""
+    return _CONTROL.sub(r"<\1\\|im_", text)
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<(\\*)\\\|im_", r"<\1|im_", text)
 
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +148,7 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turns, state = row["turns"], row["entry"]
             _, path = trace([role_of(t["role"]) for t in turns], state, row["exit"])
             for i, (turn, (role, action)) in enumerate(zip(turns, path, strict=True)):
-                text = turn["text"] or ""
+                text = escaped(turn["text"] or "")
                 if action == "merge":
                     before, piece = [], "\n\n" + text
                 else:
@@ -155,13 +166,14 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repair(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row per turn of ``turns (conv_id, turn, role, text, ...)``, in the repaired conversation.
+    r"""One row per turn of ``turns (conv_id, turn, role, text, ...)``, in the repaired conversation.
 
     ``position`` orders the turns of a conversation from 0; ``role`` is the repaired
     role, ``action`` keep, relabel or merge, ``inserted`` the empty turns put in before
     it (after the last turn also those at the end), ``conv_cost`` the cost of the
     whole conversation, ``rendered`` what the turn adds to the rendered text: the
-    pieces of a conversation in order are its rendering.
+    pieces of a conversation in order are its rendering.  Control tokens inside a text are escaped
+    (``<\|im_start|>``), so no text opens or closes a turn; ``unescaped`` gives the text back.
 
     Turns are ordered by number, role and text, nulls first; rows that agree in all
     four columns count once.  A null conversation id is a conversation like any
