@@ -271,16 +271,19 @@ def bucket_quantiles(buckets: DataFrame, by: list[str], weight: str, quantiles:
     return rows.groupBy(*by).agg(*marks)
 
 
-def ops_quantiles(samples: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Latency quantiles per bucket metric and minute.
+def ops_quantiles(samples: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99), service: str | None = None) -> DataFrame:
+    """Latency quantiles per bucket metric, service and minute, or of one ``service`` only.
 
-    ``samples`` are cumulative bucket counters; rates are summed over series by
-    bound before interpolating.
+    ``samples`` are cumulative bucket counters; rates are summed over the series of a
+    service by bound before interpolating.  Series without a service label are a service named null.
     """
-    keyed = samples.select("metric", series_key().alias("series"), "le", "ts", "value")
-    increase = counter_increase(keyed, ["metric", "series", "le"])
-    rates = increase.groupBy("metric", "minute", "le").agg((F.sum("increase") / 60).alias("rate"))
-    return bucket_quantiles(rates, ["metric", "minute"], "rate", list(quantiles))
+    named = F.col("labels").getItem("service")
+    if service is not None:
+        samples = samples.where(named == service)
+    keyed = samples.select("metric", named.alias("service"), series_key().alias("series"), "le", "ts", "value")
+    increase = counter_increase(keyed, ["metric", "service", "series", "le"])
+    rates = increase.groupBy("metric", "service", "minute", "le").agg((F.sum("increase") / 60).alias("rate"))
+    return bucket_quantiles(rates, ["metric", "service", "minute"], "rate", list(quantiles))
 
 
 def consumer_lag(offsets: DataFrame) -> DataFrame:
@@ -291,3 +294,9 @@ def consumer_lag(offsets: DataFrame) -> DataFrame:
     return offsets.groupBy("topic", "partition").agg(
         F.greatest(F.max("latest") - F.max("committed"), F.lit(0)).alias("lag")
     )
+
+
+def lag_with_total(lags: DataFrame) -> DataFrame:
+    """The lag of each partition, and of each topic with a null partition."""
+    totals = lags.groupBy("topic").agg(F.sum("lag").alias("lag"))
+    return lags.select("topic", "partition", "lag").unionByName(totals.select("topic", F.lit(None).cast("int").alias("partition"), "lag"))

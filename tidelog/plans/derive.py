@@ -341,8 +341,9 @@ def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Durations in seconds by metric, with the hour they fall into."""
+    """Durations in seconds by metric and service, with the hour they fall into."""
     return table(spark, sf_dir, "events").select(
+        F.when(F.col("user_id") % 2 == 1, "analytics").otherwise("ingestor").alias("service"),
         F.when(F.col("event_type") == "click", "http_request_duration_seconds").otherwise("bulk_batch_duration_seconds").alias("metric"),
         F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"),
         (F.col("value") / 100).alias("seconds"),
@@ -350,18 +351,18 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly scrapes of cumulative duration buckets, with the bounds of the HTTP histogram."""
+    """Hourly scrapes of cumulative duration buckets of two services, with the bounds of the HTTP histogram."""
     from pyspark.sql import Window
 
     from tidelog.operators import telemetry
 
-    hourly = telemetry.histogram_buckets(durations(spark, sf_dir), ["metric", "hour"], "seconds", telemetry.HTTP_SECONDS)
-    # One row per metric, bound and hour, so the running sum is small.
-    so_far = Window.partitionBy("metric", "le").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
+    hourly = telemetry.histogram_buckets(durations(spark, sf_dir), ["metric", "service", "hour"], "seconds", telemetry.HTTP_SECONDS)
+    # One row per metric, service, bound and hour, so the running sum is small.
+    so_far = Window.partitionBy("metric", "service", "le").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
     return hourly.select(
         F.col("hour").alias("ts"),
         "metric",
-        F.create_map(F.lit("service"), F.lit("ingestor")).alias("labels"),
+        F.create_map(F.lit("service"), F.col("service")).alias("labels"),
         "le",
         F.sum("bucket_count").over(so_far).cast("double").alias("value"),
     )

@@ -134,29 +134,49 @@ def ops_by_status(spark, sf):
 _QUANTILES = """
 durations AS (
   SELECT CASE event_type WHEN 'click' THEN 'http_request_duration_seconds' ELSE 'bulk_batch_duration_seconds' END AS metric,
-    date_trunc('hour', ts) AS hour, value / 100 AS seconds FROM events
+    CASE WHEN user_id % 2 = 1 THEN 'analytics' ELSE 'ingestor' END AS service, date_trunc('hour', ts) AS hour, value / 100 AS seconds FROM events
 ),
 per_hour AS (
-  SELECT metric, hour, le, count(*) FILTER (seconds <= le) AS n FROM durations, (SELECT unnest([{bounds}, CAST('inf' AS DOUBLE)]) AS le) b GROUP BY ALL
+  SELECT metric, service, hour, le, count(*) FILTER (seconds <= le) AS n FROM durations, (SELECT unnest([{bounds}, CAST('inf' AS DOUBLE)]) AS le) b GROUP BY ALL
 ),
-later AS (SELECT *, hour > min(hour) OVER (PARTITION BY metric) AS counts FROM per_hour),
-rates AS (SELECT metric, hour AS minute, le, CASE WHEN counts THEN n ELSE 0 END / 60 AS rate FROM later),
+later AS (SELECT *, hour > min(hour) OVER (PARTITION BY metric, service) AS counts FROM per_hour),
+rates AS (SELECT metric, service, hour AS minute, le, CASE WHEN counts THEN n ELSE 0 END / 60 AS rate FROM later),
 laid AS (
-  SELECT *, coalesce(lag(rate) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS low, max(rate) OVER (PARTITION BY metric, minute) AS total
-  FROM rates WINDOW w AS (PARTITION BY metric, minute ORDER BY le)
+  SELECT *, coalesce(lag(rate) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS low, max(rate) OVER (PARTITION BY metric, service, minute) AS total
+  FROM rates WINDOW w AS (PARTITION BY metric, service, minute ORDER BY le)
 )"""
 _AT = "max(CASE WHEN rate >= {q} * total AND below < {q} * total THEN CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (({q} * total - below) / (rate - below)) END END)"
 
 
-@query("ops_quantiles", with_tables(_QUANTILES.format(bounds=_bounds(T.HTTP_SECONDS)), f"""
-SELECT metric, {_MINUTE}, CAST(round({_AT.format(q='0.5::DOUBLE')} * 1e6) AS BIGINT) AS p50,
-  CAST(round({_AT.format(q='0.95::DOUBLE')} * 1e6) AS BIGINT) AS p95, CAST(round({_AT.format(q='0.99::DOUBLE')} * 1e6) AS BIGINT) AS p99
-FROM laid WHERE total > 0 GROUP BY metric, minute"""))
+_P = ", ".join(f"CAST(round({_AT.format(q=q + '::DOUBLE')} * 1e6) AS BIGINT) AS {name}" for q, name in (("0.5", "p50"), ("0.95", "p95"), ("0.99", "p99")))
+_LAID = _QUANTILES.format(bounds=_bounds(T.HTTP_SECONDS))
+
+
+@query("ops_quantiles", with_tables(_LAID, f"SELECT metric, service, {_MINUTE}, {_P} FROM laid WHERE total > 0 GROUP BY metric, service, minute"))
 def ops_quantiles(spark, sf):
     quantiles = T.ops_quantiles(derive.bucket_samples(spark, sf))
+    return quantiles.select("metric", "service", stamp("minute"), _micro("p50"), _micro("p95"), _micro("p99"))
+
+
+@query("ops_quantiles_of_service", with_tables(_LAID, f"""
+SELECT metric, {_MINUTE}, {_P} FROM laid WHERE total > 0 AND service = 'analytics' GROUP BY metric, minute"""))
+def ops_quantiles_of_service(spark, sf):
+    quantiles = T.ops_quantiles(derive.bucket_samples(spark, sf), service="analytics")
     return quantiles.select("metric", stamp("minute"), _micro("p50"), _micro("p95"), _micro("p99"))
 
 
+_LAG = """
+  SELECT topic, "partition", greatest(max("offset" + 1)
+    - max(CASE WHEN "timestamp" < as_of - INTERVAL 1 DAY THEN "offset" + 1 ELSE 0 END), 0) AS lag FROM raw_events, clock GROUP BY ALL"""
+
+
+@query("consumer_lag_total", with_tables(DOCUMENTS + f", lags AS ({_LAG})", """
+SELECT topic, "partition", lag FROM lags UNION ALL SELECT topic, NULL, sum(lag)::BIGINT FROM lags GROUP BY topic"""))
+def consumer_lag_total(spark, sf):
+    raw = zones.raw_zone(spark, sf)
+    return T.lag_with_total(T.consumer_lag(derive.offset_observations(raw, zones.clock(spark, sf))))
+
+
 @query("consumer_lag", with_tables(DOCUMENTS, """
 SELECT topic, "partition", greatest(max("offset" + 1)
   - max(CASE WHEN "timestamp" < as_of - INTERVAL 1 DAY THEN "offset" + 1 ELSE 0 END), 0) AS lag FROM raw_events, clock GROUP BY ALL"""))
