@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,15 @@ def test_plan_stays_native(spark):
 def test_digest_of_nothing(spans, want, docs_of):
     row = S.find_secrets(docs_of(["nothing"])).select(F.sha2(S.span_text("base"), 256).alias("d")).first()
     assert row.d == want
+
+
+def test_long_lists_of_hashes(docs_of):
+    """A text of many spans takes time about in proportion; more spans than are folded together keep their places."""
+    lines = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(12_000)]
+    took = []
+    for n in (3_000, 12_000):
+        began = time.perf_counter()
+        row = S.find_secrets(docs_of(["\n".join(lines[:n])])).select("base", "spans").first()
+        took.append(time.perf_counter() - began)
+        assert [(s.start, s.end) for s in row.base] == [(65 * i, 65 * i + 64) for i in range(n)] and row.spans == row.base
+    assert took[1] < 12 * max(took[0], 1)

@@ -19,6 +19,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import scans
+
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -252,12 +254,9 @@ def _places(text: str, pattern: str, fields: str, kind: str) -> str:
     """Matches as word intervals: blanks in gaps and matches, two to a word, in turn."""
     count = "((length({0}) - length(replace({0}, ' ', ''))) div 2)"
     gap, hit = count.format("p.`0`"), count.format("p.`1`")
-    return f"""aggregate(
-        arrays_zip(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0)),
-        named_struct('at', 0L, 'found', cast(array() as array<struct<{kind}>>)),
-        (acc, p) -> if(p.`1` is null, acc, named_struct('at', acc.at + {gap} + {hit}, 'found', concat(acc.found, array(
-            named_struct('first', acc.at + {gap}, 'last', -(acc.at + {gap} + {hit}), {fields}))))),
-        acc -> acc.found)"""
+    pieces = f"arrays_zip(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0))"
+    found = f"named_struct('first', acc.at + {gap}, 'last', -(acc.at + {gap} + {hit}), {fields})"
+    return scans.placed(pieces, gap, hit, found, f"struct<{kind}>")
 
 
 _BASE_KIND = "first:bigint,last:bigint,label:string"

@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import scans
+
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
@@ -46,7 +48,8 @@ MIN_RATIO = 0.1
 #: Different characters a candidate has to have; a repeated pattern is no key.
 MIN_DISTINCT = 8
 MASK = "[secret]"
-_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+_ONE = "struct<start:int,kind:int,end:int,value:string>"
+_SPAN = f"array<{_ONE}>"
 
 
 def _sql(pattern: str) -> str:
@@ -56,22 +59,22 @@ def _sql(pattern: str) -> str:
 def _matches(text: str, pattern: str, kind: int) -> str:
     """Leftmost non-overlapping matches with code-point offsets: lengths of gaps and matches in turn."""
     p = _sql(pattern)
-    return f"""case when {text} rlike {p} then aggregate(
-        arrays_zip(transform(split({text}, {p}, -1), x -> length(x)), regexp_extract_all({text}, {p}, 0)),
-        named_struct('at', 0, 'found', cast(array() as {_SPAN})),
-        (acc, p) -> if(p.`1` is null, acc, named_struct(
-            'at', acc.at + p.`0` + length(p.`1`),
-            'found', concat(acc.found, array(named_struct('start', acc.at + p.`0`, 'kind', {kind},
-                                                          'end', acc.at + p.`0` + length(p.`1`), 'value', p.`1`))))),
-        acc -> acc.found) else cast(array() as {_SPAN}) end"""
+    pieces = f"arrays_zip(transform(split({text}, {p}, -1), x -> length(x)), regexp_extract_all({text}, {p}, 0))"
+    span = f"named_struct('start', acc.at + p.`0`, 'kind', {kind}, 'end', acc.at + p.`0` + length(p.`1`), 'value', p.`1`)"
+    return f"case when {text} rlike {p} then {scans.placed(pieces, 'p.`0`', 'length(p.`1`)', span, _ONE)} else cast(array() as {_SPAN}) end"
+
+
+def _found_by(kind: int) -> str:
+    """The pattern that finds a kind; one of a single class of characters asks for the least length itself, and misses nothing by it."""
+    _, pattern, group, least = KINDS[kind]
+    return pattern if group == 2 else pattern.replace("+)", f"{{{least - 4 if kind == 1 else least},}})")
 
 
 def base_spans(text: str = "text") -> Column:
     """All spans of the fixed kinds, by start, then kind."""
     parts = []
     for kind, (_, pattern, group, least) in enumerate(KINDS):
-        # A run of at least the least length cannot be missed by the shorter one-class pattern.
-        found = pattern if group == 2 else pattern.replace("+)", f"{{{least - 4 if kind == 1 else least},}})")
+        found = _found_by(kind)
         value = f"length(regexp_extract(s.value, {_sql(pattern)}, {group}))"
         parts.append(f"filter({_matches(text, found, kind)}, s -> {value} >= {least})")
     return F.expr(f"array_sort(concat({', '.join(parts)}))")
@@ -129,16 +132,19 @@ def find_secrets(docs: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     or repeated ids do no harm; columns named like the added ones are replaced.
     """
     model = ",".join(map(str, train(docs)))
-    df = docs.drop("base", "spans", "_text", "_found", "_llr")
+    df = docs.drop("base", "spans", "_text", "_found", "_assigned", "_llr")
     df = df.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     df = df.withColumn("base", base_spans("_text")).withColumn("_found", F.expr(_matches("_text", CANDIDATE, len(KINDS))))
+    df = df.withColumn("_assigned", F.expr(f"filter(base, b -> {' or '.join(f'b.kind = {k}' for k in range(len(KINDS)) if KINDS[k][2] != 1)})"))
     df = df.withColumn("_llr", F.split(F.lit(model), ",").cast("array<int>"))
     score = f"""aggregate({_pieces("s.value")}, 0L, (total, w) -> total + aggregate(sequence(1, length(w) - 1), 0L, (t, i) ->
         t + _llr[128 * ascii(substring(w, i, 1)) + ascii(substring(w, i + 1, 1))]))"""
+    # Candidates are whole runs, and base spans of one class of characters lie within one, so the run itself tells whether it holds one.
+    within = " and ".join(f"not s.value rlike {_sql(_found_by(kind))}" for kind in range(len(KINDS)) if KINDS[kind][2] == 1)
     added = f"""filter(_found, s -> s.value rlike '[A-Za-z]' and size(array_distinct(split(s.value, ''))) >= {MIN_DISTINCT}
-        and not exists(base, b -> b.start < s.end and s.start < b.end)
+        and {within} and not exists(_assigned, b -> b.start < s.end and s.start < b.end)
         and {score} >= {round(1000 * min_ratio)} * (length(s.value) - 1))"""
-    return df.withColumn("spans", F.expr(f"array_sort(concat(base, {added}))")).drop("_text", "_found", "_llr")
+    return df.withColumn("spans", F.expr(f"array_sort(concat(base, {added}))")).drop("_text", "_found", "_assigned", "_llr")
 
 
 def span_text(spans: str) -> Column:
