@@ -1,3 +1,7 @@
+import collections
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest_llm import words
@@ -62,3 +66,45 @@ def test_odd_rows_and_clashing_columns(spark, docs_of, rng):
     assert kept.columns == df.columns
     assert Q.score(df, labels).count() == df.count()
     assert {r.doc_id for r in kept.collect()} <= {k for k, _ in texts}
+
+
+def strength(groups):
+    """Pseudo-counts by moments; ``groups`` are ``(n, mean, prior)``."""
+    n = [g[0] for g in groups]
+    level = sum(p * (1 - p) for _, _, p in groups) / len(groups)
+    spread = sum(k * (m - p) ** 2 for k, m, p in groups) - sum(p * (1 - p) for _, _, p in groups)
+    between = spread / max(sum(n) - sum(k * k for k in n) / sum(n), 1.0)
+    return max(1.0, min(1e6, level / between - 1 if between > 1e-12 else 1e6))
+
+
+def posteriors(rows):
+    """Rates and scores in plain Python, from ``(host, path, probability)`` of each document."""
+    def logit(p):
+        p = max(1e-6, min(1 - 1e-6, p))
+        return math.log(p / (1 - p))
+
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for host, path, p in rows:
+        hosts[host].append(p)
+        paths[host, path].append(p)
+    rate = sum(p for *_, p in rows) / len(rows)
+    k = strength([(len(v), sum(v) / len(v), rate) for v in hosts.values()])
+    of_host = {h: (sum(v) + k * rate) / (len(v) + k) for h, v in hosts.items()}
+    k = strength([(len(v), sum(v) / len(v), of_host[h]) for (h, _), v in paths.items()])
+    of_site = {s: (sum(v) + k * of_host[s[0]]) / (len(v) + k) for s, v in paths.items()}
+    return [(of_host[h], of_site[h, s], 1 / (1 + math.exp(-(logit(p) + logit(of_site[h, s]) - logit(rate))))) for h, s, p in rows]
+
+
+def test_posteriors_against_plain_python(spark, rng):
+    """Hosts and paths of very different sizes, null ones among them, one host with a third of all documents."""
+    texts, labels = corpus(rng, 300)
+    rows = []
+    for i, (k, text) in enumerate(texts):
+        host = "hot" if i % 3 == 0 else rng.choice(["good" if k % 5 > 1 else "poor", None, f"rare{i}"])
+        rows.append((k, text, rng.choice(["en", "de", None]), host))
+    out = Q.score(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, LABELS)).collect()
+    want = posteriors([(r.row_key.host, r.row_key.path, r.p_doc) for r in out])
+    for r, (host_rate, site_rate, score) in zip(out, want, strict=True):
+        assert r.host_rate == pytest.approx(host_rate, abs=1e-9) and r.site_rate == pytest.approx(site_rate, abs=1e-9)
+        assert r.score == pytest.approx(score, abs=1e-9) and (abs(score - 0.5) < 1e-9 or r.keep == (score >= 0.5))
+    assert len({round(r.host_rate, 6) for r in out}) > 5 and len({r.keep for r in out}) == 2
