@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.text import is_error, ws_trim
@@ -324,8 +324,10 @@ def change_outcomes(
         rows = _with_outcome(rows, sliced)
         if not unique:
             break
-        rows = _written(_with_taken(rows, sliced), f"{root}/turn-{turn}")
-        if rows.where(F.col("_now") != F.col("_taken")).isEmpty():
+        changed = Observation()
+        turned = _with_taken(rows, sliced).observe(changed, F.count_if(F.col("_now") != F.col("_taken")).alias("rows"))
+        rows = _written(turned, f"{root}/turn-{turn}")
+        if not changed.get["rows"]:
             break
         rows, turn = rows.withColumn("_taken", F.col("_now")).drop("_now", "outcome", "_here", "_old"), turn + 1
     return rows.select("_row.*", "outcome")
