@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import metadata as M
 from tidelog.schemas import API_KEYS, RETENTION_POLICIES, SERVICES, TENANTS
+from tidelog.session import shared_dir
 from tidelog.sources import metadata as source
 
 from helpers import at, column, message_frame
@@ -170,6 +172,19 @@ def test_long_chain_of_freed_values(spark):
     assert got == {**dict.fromkeys(range(7), "exists"), 7: "ok"}
 
 
+def test_tables_do_not_grow_with_the_chain(spark):
+    """Sixty changes that each need the one before it are walked through once, not in sixty turns."""
+    area = shared_dir(spark, "tidelog-changes")
+
+    def tables():
+        return sum("_SUCCESS" in files for _, _, files in os.walk(area))
+
+    n, before = 60, tables()
+    existing = tenants(spark, *[(f"t{i}", "n", f"s{i}") for i in range(n)])
+    got = outcomes(spark, existing, [change(i, "update", f"t{n - 1 - i}", slug=f"s{n - i}") for i in range(n)])
+    assert got == dict.fromkeys(range(n), "ok") and tables() - before < 10
+
+
 def test_no_changes_and_no_rows(spark):
     none, rows = spark.createDataFrame([], TENANTS), tenants(spark, ("t1", "One", "one"))
     empty = spark.createDataFrame([], CHANGE)

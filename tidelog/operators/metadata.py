@@ -7,14 +7,15 @@ below ``spark.sql.autoBroadcastJoinThreshold`` and splits skewed keys otherwise.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.functions.text import is_error, ws_trim
 from tidelog.functions.times import as_timestamp
-from tidelog.session import shared_dir
+from tidelog.operators.components import connected_components
+from tidelog.scratch import Scratch
 
 # Statuses (fixed values).
 ACTIVE = "active"
@@ -217,63 +218,79 @@ def metadata_audit(tenants: DataFrame, keys: DataFrame, services: DataFrame, pol
 
 # ------------------------------------------------------------ batch changes
 
-#: Changes of one key, or of one unique value, that one task may put in order; beyond it they are folded in slices.
+#: Changes that hang on each other and are made by one task at a time; beyond it they are made piece by piece.
 HOT = 1_000_000
 SLICES = 256
 _WRITES = ("create", "update")
 _OPS = (*_WRITES, "delete", "revoke", "touch")
-
-
-def _before(rows: DataFrame, key: str, value: Column, name: str, sliced: bool, total: bool = False) -> DataFrame:
-    """``name``: of the rows of ``key`` with a lower ``seq``, the last ``value`` that is not null, or their sum.
-
-    With ``sliced``, each slice of a key is reduced on its own first, and what comes before it is handed in.
-    """
-    until = (Window.unboundedPreceding, -1)
-    fold = F.sum if total else (lambda column: F.last(column, ignorenulls=True))
-    rows = rows.withColumn("_fold", value)
-    if not sliced:
-        rows = rows.withColumn(name, fold("_fold").over(Window.partitionBy(key).orderBy("seq").rowsBetween(*until)))
-        return rows.drop("_fold")
-    each = F.sum("_fold") if total else F.max_by("_fold", F.when(F.col("_fold").isNotNull(), F.col("seq")))
-    carry = rows.groupBy(key, "_slice").agg(each.alias("_part"))
-    carry = carry.withColumn("_carry", fold("_part").over(Window.partitionBy(key).orderBy("_slice").rowsBetween(*until)))
-    rows = rows.join(carry.drop("_part"), [key, "_slice"])
-    inside = fold("_fold").over(Window.partitionBy(key, "_slice").orderBy("seq").rowsBetween(*until))
-    both = F.coalesce(inside, F.lit(0)) + F.coalesce("_carry", F.lit(0)) if total else F.coalesce(inside, "_carry")
-    return rows.withColumn(name, both).drop("_fold", "_carry")
-
-
-def _with_outcome(rows: DataFrame, sliced: bool) -> DataFrame:
-    """Outcome of each change if ``_taken`` is right, whether its row was there before, and that row's unique value."""
-    op, taken, invalid = F.col("op"), F.col("_taken"), F.col("_invalid")
-    sets = F.when((op == "create") & ~invalid & ~taken, F.lit(True)).when((op == "delete") & ~invalid, F.lit(False))
-    rows = _before(rows, "_key", sets, "_here", sliced)
-    here = F.coalesce("_here", "_present")
-    outcome = (
-        F.when(invalid, "invalid")
-        .when((op == "create") & (here | taken), "exists")
-        .when((op != "create") & ~here, "not_found")
-        .when((op == "update") & taken, "exists")
-        .otherwise("ok")
-    )
-    rows = rows.withColumn("_here", here).withColumn("outcome", outcome)
-    wrote = F.when((F.col("outcome") == "ok") & op.isin(*_WRITES), F.col("_value"))
-    return _before(rows, "_key", wrote, "_last", sliced).withColumn("_old", F.coalesce("_last", "_first")).drop("_last")
-
-
-def _with_taken(rows: DataFrame, sliced: bool) -> DataFrame:
-    """``_now``: whether another row held a write's unique value at its moment, given all outcomes before it."""
-    op, ok, own = F.col("op"), F.col("outcome") == "ok", F.col("_here") & F.col("_old").eqNullSafe(F.col("_value"))
-    rows = rows.withColumn("_own", own)
-    claims = F.when(ok & ~F.col("_own"), 1).otherwise(0)
-    probes = rows.where("_probe").withColumns({"_step": claims, "_on": F.col("_value"), "_free": F.lit(False)})
-    leaves = ok & F.col("_old").isNotNull() & ((op == "delete") | ((op == "update") & ~F.col("_own")))
-    frees = rows.where(leaves).withColumns({"_step": F.lit(-1), "_on": F.col("_old"), "_free": F.lit(True)})
-    both = _before(probes.unionByName(frees), "_on", F.col("_step"), "_held", sliced, total=True).where(~F.col("_free"))
-    held = F.coalesce("_held", F.lit(0)) + F.col("_holders") - F.col("_own").cast("int")
-    both = both.withColumn("_now", held > 0).drop("_step", "_on", "_free", "_held")
-    return both.unionByName(rows.where(~F.col("_probe")).withColumn("_now", F.lit(False))).drop("_own")
+# Kinds of the rows a task walks through: what a key holds, how many rows hold a value, a change, an invalid one.
+_KEY, _VALUE, _CHANGE, _INVALID = range(4)
+
+
+def _in_turn(key: str, unique: list[str], emit: bool):
+    """Makes the changes of each group one by one; its states come first.  With ``emit``, new states follow it."""
+    key_state, value_state, invalid, writes = _KEY, _VALUE, _INVALID, _WRITES
+
+    def walk(batches):
+        import pyarrow as pa
+
+        group, states, held, moved, made = None, {}, {}, {}, {}
+
+        def new_states(schema):
+            told = [(key_state, k, v, int(here)) for k, (here, v) in made.items()] + [(value_state, None, v, n) for v, n in moved.items() if n]
+            columns = {"_group": [group] * len(told), "_kind": [t[0] for t in told], "_n": [t[3] for t in told], key: [t[1] for t in told]}
+            for i, name in enumerate(unique):
+                columns[name] = [t[1] if name == key and t[0] == key_state else t[2] and t[2][i] for t in told]
+            arrays = [pa.array(columns.get(f.name, [None] * len(told)), f.type) for f in schema]
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+        schema = None
+        for batch in batches:
+            schema = pa.schema([*[pa.field(f.name, f.type) for f in batch.schema], pa.field("outcome", pa.string())])
+            values = zip(*[batch.column(c).to_pylist() for c in unique], strict=True) if unique else [None] * batch.num_rows
+            outcomes = []
+            names = ("_group", "_kind", "_n", "op", key)
+            for (g, kind, n, op, k), value in zip(zip(*[batch.column(c).to_pylist() for c in names], strict=True), values, strict=True):
+                if g != group:
+                    if emit and (made or moved):
+                        yield new_states(schema)
+                    group, states, held, moved, made = g, {}, {}, {}, {}
+                if kind == key_state:
+                    states[k] = (n > 0, value)
+                    outcomes.append(None)
+                    continue
+                if kind == value_state:
+                    held[value] = n
+                    outcomes.append(None)
+                    continue
+                if kind == invalid:
+                    outcomes.append("invalid")
+                    continue
+                here, old = made.get(k) or states.get(k, (False, None))
+                own = here and old == value
+                taken = bool(unique) and op in writes and held.get(value, 0) + moved.get(value, 0) - own > 0
+                if (here or taken) if op == "create" else (here and taken and op == "update"):
+                    outcomes.append("exists")
+                    continue
+                if op != "create" and not here:
+                    outcomes.append("not_found")
+                    continue
+                outcomes.append("ok")
+                if op in writes:
+                    made[k] = (True, value)
+                    if not own:
+                        moved[value] = moved.get(value, 0) + 1
+                        if here:
+                            moved[old] = moved.get(old, 0) - 1
+                elif op == "delete":
+                    made[k] = (False, old)
+                    moved[old] = moved.get(old, 0) - 1
+            told = pa.array(outcomes, pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, told], schema=schema).filter(told.is_valid())
+        if emit and (made or moved):
+            yield new_states(schema)
+
+    return walk
 
 
 def change_outcomes(
@@ -287,55 +304,89 @@ def change_outcomes(
     null key are invalid.  The ``unique`` columns together may belong to one row only: a write that
     takes the value another row has at that moment gets ``exists``.
 
-    A change depends on what came before it on its key and on its unique value.  Both are folds over
-    ``seq`` in Spark windows: the last change that made or removed the row, and the number of rows
-    that hold the value.  Each fold needs the other's result, so they take turns, starting
-    with no value taken, until nothing changes.  As a change depends on earlier ones only, the outcome that
-    stays is that of the changes made one by one, after as many turns at most as changes hang on each other.
-    Every turn is a written table.
+    A change depends on what came before it on its key and on its unique value, and so on along both.
+    Keys and values that meet in a change, or in a row that is changed, are linked; changes of different
+    connected components do not touch each other.  Each component is walked through once, in the order
+    of ``seq``, however long its changes hang on each other; a task streams its rows and holds what the
+    component's keys and values are by then.  A component of more than ``HOT`` changes is walked in
+    pieces of about that many, each by a new task that starts from the states the earlier ones left.
+    Every piece is a written table.
     """
     spark = changes.sparkSession
+    scratch = Scratch(spark, "changes", area="tidelog-changes")
     op = F.col("op")
     invalid = ~op.isin(*_OPS) | F.col(key).isNull()
     for name in required:
         invalid = invalid | (op.isin(*_WRITES) & _blank(name))
     for name in positive:
         invalid = invalid | (op.isin(*_WRITES) & ~(F.coalesce(F.col(name), F.lit(0)) > 0))
-    value = F.struct(*unique) if unique else F.lit(None).cast("string")
-    rows = changes.select(F.struct(*changes.columns).alias("_row"), "seq", "op", F.col(key).alias("_key"), value.alias("_value"), F.coalesce(invalid, F.lit(True)).alias("_invalid"))
-    probe = op.isin(*_WRITES) & ~F.col("_invalid") & F.lit(bool(unique))
-    rows = rows.withColumn("_probe", F.coalesce(probe, F.lit(False)))
-
-    first = snapshot.groupBy(F.col(key).alias("_key")).agg(F.lit(True).alias("_there"), F.min(value).alias("_first"))
-    rows = rows.join(first, "_key", "left").withColumn("_present", F.coalesce("_there", F.lit(False))).drop("_there")
+    # Nodes are hashes: two that fall together only make one component of two.
+    of_key, of_value = F.xxhash64(F.lit("key"), key), F.xxhash64(F.lit("value"), *unique)
+    rows = changes.withColumn("_kind", F.when(F.coalesce(invalid, F.lit(True)), _INVALID).otherwise(_CHANGE))
+    rows = scratch.write(rows, "start")
+    writes = F.lit(bool(unique)) & op.isin(*_WRITES)
+    pairs = rows.where(F.col("_kind") == _CHANGE).groupBy(of_key.alias("a"), F.when(writes, of_value).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = scratch.write(pairs, "pairs")
+
+    # Of the rows there are, those the batch can meet: what its keys hold, and how many hold its values.
+    held = snapshot.groupBy(key).agg(F.min(F.struct(*unique)).alias("_first")) if unique else snapshot.select(key).distinct()
+    others = [F.col(f"_first.{c}").alias(c) for c in unique if c != key]
+    held = held.select(key, *others, F.lit(_KEY).alias("_kind"), F.lit(1).cast("long").alias("_n")).withColumn("a", of_key)
+    held = scratch.write(held.join(pairs.select("a").distinct(), "a", "left_semi"), "held")
+    links, states = pairs.select("a", "b"), held
     if unique:
-        holders = snapshot.groupBy(value.alias("_value")).agg(F.count(F.lit(1)).alias("_holders"))
-        asked = rows.where("_probe").join(holders, "_value", "left").withColumn("_holders", F.coalesce("_holders", F.lit(0)))
-        rows = asked.unionByName(rows.where(~F.col("_probe")).withColumn("_holders", F.lit(0).cast("long")))
-    span = rows.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
-    width = max(1, -(-((span["high"] or 0) - (span["low"] or 0) + 1) // SLICES))
-    rows = rows.withColumn("_slice", F.expr(f"(seq - {span['low'] or 0}L) div {width}L")).withColumn("_taken", F.lit(False))
-
-    root = shared_dir(spark, "tidelog-changes", uuid.uuid4().hex)
-    rows, turn = _written(rows, f"{root}/start"), 0
-    held = [rows, rows.where("_probe")] if unique else [rows]
-    sliced = max(df.groupBy(c).count().agg(F.max("count")).first()[0] or 0 for df, c in zip(held, ("_key", "_value"), strict=False)) > HOT
-    while True:
-        rows = _with_outcome(rows, sliced)
-        if not unique:
-            break
-        changed = Observation()
-        turned = _with_taken(rows, sliced).observe(changed, F.count_if(F.col("_now") != F.col("_taken")).alias("rows"))
-        rows = _written(turned, f"{root}/turn-{turn}")
-        if not changed.get["rows"]:
-            break
-        rows, turn = rows.withColumn("_taken", F.col("_now")).drop("_now", "outcome", "_here", "_old"), turn + 1
-    return rows.select("_row.*", "outcome")
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        holders = snapshot.groupBy(*unique).agg(F.count(F.lit(1)).alias("_n")).withColumn("_kind", F.lit(_VALUE)).withColumn("a", of_value)
+        holders = holders.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        links = links.unionByName(held.select("a", of_value.alias("b")))
+        states = states.unionByName(holders, allowMissingColumns=True)
+    nodes = scratch.write(connected_components(links, scratch).withColumnRenamed("node", "a"), "nodes")
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.join(nodes, "a", "left").withColumn("_group", F.coalesce("component", "a")).drop("a", "component")
+
+    sizes = grouped(pairs).groupBy("_group").agg(F.sum("n").alias("n"))
+    rows = grouped(rows.withColumn("_n", F.lit(None).cast("long")).withColumn("a", F.when(F.col("_kind") == _CHANGE, of_key).otherwise(F.xxhash64("seq"))))
+    states, last = grouped(states), 0
+    if (sizes.agg(F.max("n")).first()[0] or 0) > HOT:
+        span = rows.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+        width = max(1, -(-(span["high"] - span["low"] + 1) // SLICES))
+        rows = rows.withColumn("_slice", F.expr(f"(seq - {span['low']}L) div {width}L"))
+        before = F.sum("n").over(Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+        cuts = rows.where(F.col("_kind") == _CHANGE).join(sizes.where(F.col("n") > HOT).select("_group"), "_group", "left_semi")
+        cuts = cuts.groupBy("_group", "_slice").agg(F.count(F.lit(1)).alias("n"))
+        cuts = scratch.write(cuts.select("_group", "_slice", F.floor(F.coalesce(before, F.lit(0)) / HOT).cast("int").alias("_piece")), "cuts")
+        rows = rows.join(cuts, ["_group", "_slice"], "left").withColumn("_piece", F.coalesce("_piece", F.lit(0))).drop("_slice")
+        rows, states = scratch.write(rows, "rows", by="_piece"), scratch.write(states, "states")
+        last = cuts.agg(F.max("_piece")).first()[0]
+
+    columns = ["_group", "_kind", "_n", *changes.columns]
+    told = None
+    for piece in range(last + 1):
+        here = rows.where(F.col("_piece") == piece).drop("_piece") if last else rows
+        before = states if told is None else _latest(states, here, told.where(F.col("outcome").isNull()), key, unique)
+        walked = here.unionByName(before, allowMissingColumns=True).select(*columns)
+        walked = walked.repartition("_group").sortWithinPartitions("_group", "_kind", "seq")
+        # All fields may be null in a state.
+        schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in walked.schema], T.StructField("outcome", T.StringType())])
+        walked = walked.mapInArrow(_in_turn(key, unique, emit=piece < last), schema)
+        scratch.write(walked, f"walked/_at={piece}")
+        told = spark.read.schema(schema.add("_at", T.IntegerType())).parquet(f"{scratch.root}/walked")
+    return told.where(F.col("outcome").isNotNull()).select(*changes.columns, "outcome")
+
+
+def _latest(states: DataFrame, here: DataFrame, left: DataFrame, key: str, unique: list[str]) -> DataFrame:
+    """What the keys and values of ``here`` are after the pieces that ``left`` their states."""
+    named = ["_group", "_kind", "_n", *dict.fromkeys([key, *unique])]
+    states = states.select(*named, F.lit(-1).alias("_at")).unionByName(left.select(*named, "_at"))
+    keys = states.where(F.col("_kind") == _KEY).join(here.select("_group", key).distinct(), ["_group", key], "left_semi")
+    newest = F.max_by(F.struct("_n", *[c for c in unique if c != key]), "_at")
+    keys = keys.groupBy("_group", key).agg(newest.alias("_new")).select("_group", key, F.lit(_KEY).alias("_kind"), "_new.*")
+    if not unique:
+        return keys
+    asked = here.select("_group", F.struct(*unique).alias("_value")).distinct()
+    values = states.where(F.col("_kind") == _VALUE).withColumn("_value", F.struct(*unique)).join(asked, ["_group", "_value"], "left_semi")
+    values = values.groupBy("_group", "_value").agg(F.sum("_n").alias("_n")).select("_group", "_value.*", F.lit(_VALUE).alias("_kind"), "_n")
+    return keys.unionByName(values, allowMissingColumns=True)
 
 
 def apply_metadata_changes(
