@@ -1,4 +1,6 @@
 import datetime as dt
+import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -158,3 +160,25 @@ def test_published_stream_feeds_the_ingest_stream(spark, tmp_path):
 def test_synthetic_stream_is_a_stream(spark):
     logs = synthetic.synthetic_stream(spark, 5, synthetic.SyntheticConfig())
     assert logs.isStreaming and logs.columns == ["id", "timestamp", "level", "service", "message", "trace_id", "ip"]
+
+
+def test_large_batch_is_read_in_more_tasks(spark, root, monkeypatch):
+    """One raw file: the tables are not made from one task that holds all of it, and nothing staged stays behind."""
+    rng, seen, write = random.Random(3), [], log_store._write_batch
+    raw = raw_frame(spark, [event(message=f"{i} {rng.random()}", trace_id=str(rng.random())) for i in range(6000)]).coalesce(1)
+
+    def watched(rows, *others):
+        parts = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+        seen.append(max(parts))
+        write(rows, *others)
+
+    monkeypatch.setattr(log_store, "_write_batch", watched)
+    monkeypatch.setattr(log_store, "ROW_GROUP", 64 << 10, raising=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
+    try:
+        log_store.process_batch(raw, root, batch_id=0)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] < 3000
+    assert log_store.read_messages(spark, root).count() == 6000
+    assert not os.path.exists(f"{root}/staging/batch_id=0")

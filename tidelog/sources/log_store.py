@@ -9,6 +9,7 @@ Layout under one root::
     ticks/batch_id=7/                        errors per five-minute bucket
     recent/batch_id=7/                       newest error payloads of the batch
     dlq/batch_id=7/                          rejects
+    staging/batch_id=7/                      parsed records, only while the batch is written
     merged/0-7-.../                          the same tables, batches 0 to 7 as one
     merge_log/                               which merges count, see ``merges``
 
@@ -33,6 +34,9 @@ from tidelog.schemas import DLQ, DOCUMENT
 from tidelog.sources import merges
 
 DOCS, COUNTERS, BOARD, IPS, TICKS, RECENT, DEAD = "docs", "counters", "board", "ips", "ticks", "recent", "dlq"
+STAGING = "staging"
+#: Bytes of a staged row group: what a task reads can be cut there, however few the raw files are.
+ROW_GROUP = 32 << 20
 
 _BATCH = T.StructField("batch_id", T.LongType())
 
@@ -100,25 +104,22 @@ def process_batch(
 ) -> None:
     """One batch: documents first, then metrics and dead letters side by side.
 
-    Records are parsed once.  A micro-batch keeps the parsed rows on the
-    executors; a large load names a ``staging`` folder on shared storage, where
-    they outlive any executor.  An exception leaves the batch to be run again as
-    a whole, which replaces whatever it had written.
+    Records are parsed once, into ``staging``, a folder of the batch below ``root`` unless
+    one is named.  There they outlive any executor, each table reads its own columns only, and
+    a large batch is read in more tasks instead of larger ones.  An exception leaves the batch to
+    be run again as a whole, which replaces whatever it had written.
     """
     rows = ingest.classify(raw)
     # Only rejects and error payloads need the original text any further.
     needed = F.col("reject_reason").isNotNull() | is_error(F.col("level"))
     rows = rows.withColumn("value", F.when(needed, F.col("value")))
-    if staging:
-        spark, schema = raw.sparkSession, rows.schema
-        rows.write.mode("overwrite").parquet(staging)
-        _write_batch(spark.read.schema(schema).parquet(staging), root, batch_id, processor_id)
-        return
-    rows.persist()
+    spark, folder = raw.sparkSession, staging or f"{root}/{STAGING}/batch_id={batch_id}"
+    rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(folder)
     try:
-        _write_batch(rows, root, batch_id, processor_id)
+        _write_batch(spark.read.schema(rows.schema).parquet(folder), root, batch_id, processor_id)
     finally:
-        rows.unpersist()
+        if not staging:
+            merges.delete(spark, [folder])
 
 
 def _write_batch(rows: DataFrame, root: str, batch_id: int, processor_id: str | None) -> None:
