@@ -206,6 +206,17 @@ def test_new_snapshot(spark):
     }
 
 
+def test_snapshot_is_not_shuffled_for_few_changed_keys(spark, capsys):
+    """The outcomes are reduced once, to a written table small enough to be broadcast, before the snapshot is read."""
+    existing = spark.range(1000).select(F.format_string("t%d", "id").alias("id"), F.lit("n").alias("name"), F.format_string("s%d", "id").alias("slug"), F.lit("active").alias("status"), F.lit(T0).alias("created_at"), F.lit(T0).alias("updated_at"))
+    changes = spark.createDataFrame([change(1, "delete", "t2"), change(2, "create", "t1000", slug="s2")], CHANGE)
+    snapshot, _ = M.apply_metadata_changes(existing, changes, ["slug"], ["name", "slug"], "2026-06-01T00:00:00Z")
+    snapshot.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert sorted(column(snapshot, "id")) == sorted([f"t{i}" for i in range(1001) if i != 2])
+
+
 def test_audit(spark):
     t = tenants(spark, ("t1", "One", "same"), ("t2", " ", "same"), ("t3", "Three", ""))
     keys = spark.createDataFrame([key("a", raw="x"), key("b", raw="x"), key("c", tenant="ghost")], API_KEYS)

@@ -418,10 +418,12 @@ def apply_metadata_changes(
         last(op, "create", "delete").alias("_set"),
         F.max(op == "delete").alias("_gone"),
         last(F.struct(*[c for c in fixed if c != "created_at"]), "create").alias("_made"),
-        last(F.struct(*fields), *_WRITES).alias("_new"),
+        last(F.struct(op, *fields), *_WRITES).alias("_new"),
         last(F.struct(op), *_WRITES, "revoke").alias("_state"),
         *([last(F.struct(touch_column), "touch", "create").alias("_touch")] if touch_column else []),
     )
+    # Written, as it is used twice, and its size known, so that few changed keys are broadcast and the snapshot stays where it is.
+    done = Scratch(changes.sparkSession, "done", area="tidelog-changes").write(done, "keys")
 
     def value(name: str, old: Column) -> Column:
         wrote = F.col("_new").isNotNull()
